@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .lines import op9_line_chunks
+from .pii import op10_pii
 from .sharding import op5_virtual_slots
 from .simhash import op8_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_virtual_slots": op5_virtual_slots,
     "op8_simhash": op8_simhash,
+    "op9_line_chunks": op9_line_chunks,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {}
