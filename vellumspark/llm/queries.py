@@ -10,8 +10,10 @@ from .lines import op9_line_chunks
 from .pii import op10_pii
 from .sharding import op5_virtual_slots
 from .simhash import op8_simhash
+from .token_files import op3_token_planes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_planes": op3_token_planes,
     "op5_virtual_slots": op5_virtual_slots,
     "op8_simhash": op8_simhash,
     "op9_line_chunks": op9_line_chunks,

@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType
 
 from .common import materialize, small_batches, table
 from .components import connected_components, local_components
@@ -62,17 +63,16 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(count * 2 > len(hashes)).tobytes(), "big")
 
 
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        fp = np.fromiter((majority(shingle_hashes(t)) for t in pdf["text"]), np.uint64, len(pdf))
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_hash": pdf["text_hash"], "fp": fp.view(np.int64)})
+@F.pandas_udf(LongType())
+def fingerprint(text: pd.Series) -> pd.Series:
+    """The fingerprint of each text as a signed long."""
+    return pd.Series(np.fromiter((majority(shingle_hashes(t)) for t in text), np.uint64, len(text)).view(np.int64))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id``, a hash of the text and the fingerprint as a signed long; one pass, no shuffle."""
+    """``doc_id``, a hash of the text and its fingerprint; one pass, no shuffle."""
     small_batches(docs.sparkSession)
-    narrow = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return narrow.mapInPandas(_fingerprints, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprint("text").alias("fp"))
 
 
 def block_masks() -> list[int]:
