@@ -13,6 +13,9 @@ from vellumspark.llm import token_files as tf
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+ENCODER = tf.WordEncoder(PATH, cached=30)
+
+
 class Keep(io.BytesIO):
     def close(self):
         pass
@@ -51,7 +54,15 @@ def test_words_encode_like_whole_texts(texts):
     texts = [*texts, "".join(texts) + "<|endoftext|>" + texts[0], "don't  I'LL\n\n<|startoftext|>"]
     whole = Tokenizer.from_file(PATH)
     want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert list(tf.WordEncoder(PATH, cached=5).encode(texts)) == want
+    assert list(ENCODER.encode(texts)) == want
+
+
+def test_long_texts_are_cut(monkeypatch):
+    from vellumspark.llm import ragged
+
+    texts = ["Some words, more. " * 40, "x" * 300, "Ünd ärgerlich it's 12.5\n" * 30, "", None]
+    want = [np.array(Tokenizer.from_file(PATH).encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(ragged.grouped(texts, tf.last_gap, ENCODER._group, 100)) == want
 
 
 def want(rows):

@@ -69,7 +69,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     repeated = materialize(repeated_chunks(docs), "line-chunks")
     gone = (
         _occurrences(docs)
-        .join(repeated, "h")
+        .join(repeated.hint("merge"), "h")
         .where(~F.struct("id", "th", "pos").eqNullSafe(F.col("first")))
         .groupBy("id", "th")
         .agg(F.collect_set("pos").alias("__vs_gone"))
@@ -82,7 +82,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         return F.array_join(F.transform(left, lambda i: F.get(c, i)["text"]), "\n")
 
     text = F.when(F.col("__vs_gone").isNull(), docs["text"]).otherwise(let(line_chunks(docs["text"]), rebuilt))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__vs_id")) & (F.xxhash64(docs["text"]) == F.col("__vs_th")), "left")
+    # merged at every size: the plan, and what it moves, does not change as the corpus grows
+    joined = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__vs_id")) & (F.xxhash64(docs["text"]) == F.col("__vs_th")), "left")
     out = {"text": text}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

@@ -196,7 +196,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
     keep = prints.join(of, "fp").groupBy("root").agg(first).select(F.col("first.doc_id").alias("__vs_id"), F.col("first.text_hash").alias("__vs_hash"))
     keep = materialize(keep, "simhash-keep")
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__vs_id")) & (F.xxhash64(docs["text"]) == F.col("__vs_hash")), "left_semi")
+    kept = docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__vs_id")) & (F.xxhash64(docs["text"]) == F.col("__vs_hash")), "left_semi")
     again = prints.groupBy("doc_id", "text_hash").count().where("count > 1")
     # whole rows may repeat; only then do the texts need another comparison
     return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

@@ -23,10 +23,12 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,12 +37,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import fresh_dir, materialize, small_batches, table
+from .ragged import grouped, rows_of
 
 MAGIC = b"VSPLANE1"
 BLOCK_IDS = 1 << 16
 END_ID = 2
 #: Words whose ids a worker remembers; when there are more it forgets all and starts again.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 
 
 def open_uri(uri: str, mode: str):
@@ -158,40 +161,95 @@ class PlaneReader:
             held, start = held[n:], start + n
 
 
+# Letters and marks that split and lower-case alike in every library.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+MARKS = r"""!"#$%&()*+,\-./:;=>?@\[\]^_`{|}~"""
+PLAIN, MARKED = re.compile(f"[{LETTERS}{MARKS} \n]*"), re.compile(f"[{MARKS}]+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte: itself if it prints, else the next one from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(256))
+    return [chr(b) if b in shown else chr(256 + next(rest)) for b in range(256)]
+
+
+def last_gap(text: str) -> int:
+    """The last place before a space or newline; 0 if there is none."""
+    return max(0, text.rfind(" "), text.rfind("\n"))
+
+
 class WordEncoder:
     """Encodes by a tokenizer that never joins across a space or newline, remembering each word.
 
     The vocabulary drops white space before it splits, so a text's ids are its words' ids in a
-    row; words here are what spaces and newlines part, other white space is left to the library.
+    row; words are what spaces and newlines part, other white space is left to the library.  A
+    plain text is lower-cased at once and its runs of marks parted from the letters; such words
+    go to the library many at a time and past its normalizer, and come back apart at the pieces
+    that end a word.  All other texts' words go through the whole tokenizer.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.cached = Tokenizer.from_file(path), cached
-        self.known: dict[str, bytes] = {"": b""}
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
+        self.whole, self.split, self.cached = Tokenizer.from_file(path), Tokenizer.from_file(path), cached
+        self.split.normalizer = normalizers.Sequence([])
+        self.split.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        names = self.whole.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for p, i in names.items() if p.endswith("</w>")]] = True
+        self.letters = dict(enumerate(_byte_letters())) | {32: " "}
+        self.known: dict[str, bytes] = {}
+
+    def _plain(self, words: list[str]) -> None:
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            line = " ".join(some).encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.split.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+            raw, cuts = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            self.known.update(zip(some, (raw[a:b] for a, b in zip([0, *cuts], cuts))))
+
+    def _other(self, words: list[str]) -> None:
+        for w, e in zip(words, self.whole.encode_batch_fast(words, add_special_tokens=False)):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _rows(self, words: list[str]) -> list[bytes]:
+        get = self.known.get
+        found = [get(w) for w in words]
+        new = [w for w, f in zip(words, found) if f is None]
+        if new:
+            if len(self.known) + len(new) > self.cached:
+                self.known.clear()
+                new = words
+            # a word that was changed above holds no other characters, so both ways give its ids
+            self._plain([w for w in new if w and PLAIN.fullmatch(w) and (w.isalpha() or MARKED.fullmatch(w)) and w == w.lower()])
+            self._other([w for w in new if w not in self.known])
+            found = [self.known[w] for w in words]
+        return found
+
+    def _group(self, texts: list[str]) -> list[np.ndarray]:
+        ready = [MARKED.sub(r" \g<0> ", t.lower()) if PLAIN.fullmatch(t) else t for t in texts]
+        return rows_of([t.replace("\n", " ") for t in ready], " ", self._rows, "<u4")
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        for text in texts:
-            words = (text or "").replace("\n", " ").split(" ")
-            new = [w for w in set(words) if w not in self.known]
-            if new:
-                if len(self.known) + len(new) > self.cached:
-                    self.known = {"": b""}
-                    new = list(set(words) - {""})
-                for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                    self.known[w] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join(map(self.known.__getitem__, words))
+        return grouped(texts, last_gap, self._group)
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """One a worker process, so that its tasks share the words."""
+    return WordEncoder(path)
 
 
 def _write(root: str, vocabulary: str, kind: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, writer = WordEncoder(vocabulary), None
+        words, writer = encoder(vocabulary), None
         name = f"{root}/.writing-{uuid.uuid4().hex}"
         end = struct.pack("<I", END_ID)
         for pdf in batches:
-            for doc_id, ids in zip(pdf["doc_id"].tolist(), encoder.encode(pdf["text"].tolist())):
+            for doc_id, ids in zip(pdf["doc_id"].tolist(), words.encode(pdf["text"].tolist())):
                 if writer is None:
                     writer, first = PlaneWriter(open_uri(name, "wb"), kind), doc_id
                 writer.add(None if doc_id is None else int(doc_id), np.frombuffer(ids + end, "<u4"))
