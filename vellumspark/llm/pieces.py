@@ -27,7 +27,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import re
-import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -38,8 +38,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, StringType
 
 from .common import small_batches, table
+from .ragged import gather, grouped, rows_of
 
 BLANK = "▁"
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZàáâäçèéêëíîïñóôöùúûüß"
 #: Words and pairs that a worker remembers; when there are more it forgets them and starts again.
 CACHED_WORDS, CACHED_PAIRS = 500_000, 1_000_000
 #: Longer words are streamed and not remembered.
@@ -59,11 +61,18 @@ class PieceModel:
         self.unknown = min(s for _, s in pieces if s is not None) - 10
         self.words: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
-        text = "".join(self.id)
-        newline = "" if "\n" in text else "\n"
-        inner = any(BLANK in p.lstrip(BLANK) for p in self.id)
-        # a word ends where no piece can reach over: before a blank and around a newline
-        self.word = None if inner else re.compile(f"{newline}|{BLANK}*[^{BLANK}{newline}]+|{BLANK}+" if newline else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+        # a word ends where no piece can reach over: before a blank, around a newline, and
+        # between a letter and a mark that never stand side by side in a piece
+        beside = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
+        self.parted = not any(x[1] == BLANK != x[0] or "\n" in x for x in beside)
+        marks = "".join(m for m in ".,!?:;" if not any(x[1] == m and x[0] in LETTERS for x in beside))
+        self.before_mark = re.compile(f"(?<=[{LETTERS}])(?=[{marks}])") if marks else None
+        raw = [p.encode() for p in self.names]
+        for b in range(256):
+            raw[bytes_at + b] = bytes([b])
+        self.spelled = np.frombuffer(b"".join(raw), np.uint8)
+        self.spelled_len = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.spelled_at = np.cumsum(self.spelled_len) - self.spelled_len
 
     @staticmethod
     @lru_cache(maxsize=2)
@@ -157,52 +166,76 @@ class PieceModel:
             yield self._ids(text, piece, self._path(piece, len(text)))
 
     def _word(self, word: str) -> bytes:
-        if len(word) > LONGEST_WORD:
+        n = len(word)
+        if n > LONGEST_WORD or self.kind != "bpe":
             return np.array([i for some in self.stream([word]) for i in some], "<u4").tobytes()
-        piece, best = [-1], [0.0]
-        for i in range(1, len(word) + 1):
-            t, s = self._node(word, i, piece, best)
-            piece.append(t)
-            best.append(s)
-        return np.array(self._ids(word, piece, self._path(piece, len(word))), "<u4").tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text, as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        marked = BLANK + text.replace(" ", BLANK)
-        if self.word is None:
-            return np.array([i for some in self.stream([marked]) for i in some], "<u4").tobytes()
-        known, words = self.words, self.word.findall(marked)
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        for w in words:
-            if w not in known:
-                ids = self._word(w)
-                if len(w) <= LONGEST_WORD:
-                    known[w] = ids
-        return b"".join([known[w] if w in known else self._word(w) for w in words])
+        # as in _node and _ids, with the calls written out
+        get, pairs, longest, piece, start = self.id.get, self.pairs, self.longest, [-1] * (n + 1), [*range(-1, n)]
+        for i in range(1, n + 1):
+            for j in range(i - 1, i - longest - 1 if i > longest else -1, -1):
+                t = get(word[j:i])
+                if t is not None:
+                    p = piece[j]
+                    if p < 0 or pairs.get(p << 20 | t) or p << 20 | t not in pairs and self.apart(p, t):
+                        piece[i], start[i] = t, j
+                        break
+        out, i = array("I"), n
+        while i:
+            j = start[i]
+            if piece[i] >= 0:
+                out.append(piece[i])
+            else:
+                out.extend(self.bytes_at + c for c in reversed(word[j:i].encode("utf-8", "surrogatepass")))
+            i = j
+        out.reverse()
+        return out.tobytes()
+
+    def _rows(self, words: list[str]) -> list[bytes]:
+        get = self.words.get
+        found = [get(w) for w in words]
+        new = [w for w, f in zip(words, found) if f is None]
+        if new:
+            if len(self.words) + len(new) > CACHED_WORDS:
+                self.words.clear()
+            fresh = {w: self._word(w) for w in new}
+            found = [fresh[w] if f is None else f for w, f in zip(words, found)]
+            self.words.update((w, b) for w, b in fresh.items() if len(w) <= LONGEST_WORD)
+        return found
+
+    def _words(self, marked: str) -> str:
+        """The text with a NUL between words."""
+        runs = BLANK + BLANK in marked
+        out = re.sub(f"(?<!{BLANK}){BLANK}", "\0" + BLANK, marked) if runs else marked.replace(BLANK, "\0" + BLANK)
+        if "\n" in out:
+            out = out.replace("\n", "\0\n\0")
+        return self.before_mark.sub("\0", out) if self.before_mark else out
+
+    def _group(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = [np.empty(0, "<u4")] * len(texts)
+        plain = [k for k, t in enumerate(texts) if t and self.parted and "\0" not in t]
+        if plain:
+            for k, ids in zip(plain, rows_of([self._words(texts[k]) for k in plain], "\0", self._rows, "<u4")):
+                out[k] = ids
+        for k in set(range(len(texts))) - set(plain):
+            out[k] = np.array([i for some in self.stream([texts[k]]) for i in some], "<u4")
+        return out
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of whole texts, as little-endian unsigned 32-bit integers."""
+
+        def cut(text: str) -> int:
+            found = max((m.start() for m in re.finditer(f"(?<!{BLANK}){BLANK}", text)), default=0) if self.parted else 0
+            return found
+
+        return grouped([BLANK + t.replace(" ", BLANK) if t else "" for t in texts], cut, self._group)
 
     # -- decoding ---------------------------------------------------------------------------
 
     def decode(self, ids: bytes) -> str:
         """The text of the ids; the first blank was added by encoding."""
-        first, out = self.bytes_at, []
-        raw = bytearray()
-        for i in np.frombuffer(ids, "<u4").tolist():
-            if first <= i < first + 256:
-                raw.append(i - first)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(self.names[i])
-        out.append(raw.decode("utf-8", "replace"))
-        return "".join(out).replace(BLANK, " ")[1:]
+        i = np.frombuffer(ids, "<u4")
+        spelled, _ = gather(self.spelled, self.spelled_at[i], self.spelled_len[i])
+        return spelled.tobytes().decode("utf-8", "replace").replace(BLANK, " ")[1:]
 
 
 def encoded(text: Column, path: str) -> Column:
@@ -210,7 +243,7 @@ def encoded(text: Column, path: str) -> Column:
 
     def run(some: pd.Series) -> pd.Series:
         model = PieceModel.load(path)
-        return pd.Series([model.encode(t) for t in some], dtype=object)
+        return pd.Series(list(model.encode(some.tolist())), dtype=object)
 
     return F.pandas_udf(run, BinaryType(), F.PandasUDFType.SCALAR)(text)
 
