@@ -6,20 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op6_nearest
 from .decontam import op2_decontaminate
 from .language import op7_language
 from .lines import op9_line_chunks
 from .pieces import op4_pieces
 from .pii import op10_pii
+from .secrets import op1_secrets
 from .sharding import op5_virtual_slots
 from .simhash import op8_simhash
 from .token_files import op3_token_planes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_decontaminate": op2_decontaminate,
     "op3_token_planes": op3_token_planes,
     "op4_pieces": op4_pieces,
     "op5_virtual_slots": op5_virtual_slots,
+    "op6_nearest": op6_nearest,
     "op7_language": op7_language,
     "op8_simhash": op8_simhash,
     "op9_line_chunks": op9_line_chunks,
