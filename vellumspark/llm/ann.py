@@ -3,15 +3,17 @@
 Vectors are grouped by value first: copies are one entry with the ``KEEP`` smallest ids, so a
 vector that fills a third of the table is scanned once and can't crowd out other neighbours.
 
-* Cells: each entry goes to the nearest of a number of centres that grows with the table, so
-  a cell stays about as large; a crowded cell is dealt into sub-blocks of bounded size.
+* Cells: each entry goes to the nearest of about as many centres as the root of the number of
+  entries; a cell with many entries is dealt into sub-blocks of bounded size.
 * Codes: what is left of the centre, brought to length one, is cut into pieces of ``SUB`` values, each replaced by one
   of 16 words.  Words are chosen and trained by the anisotropic loss: the part of the error
   that is parallel to the vector weighs ``ETA`` times the rest, since it is that part which
   changes large inner products.
 * Scan: nearness of q and x is ``q.x - |x|^2 / 2``; ``|x|`` is kept exactly, ``q.x`` is read
   from tables of 256 sums, one for each pair of four-bit codes.
-* Each query probes its best cells, the best ``RERANK`` candidates are compared exactly with
+* Each query probes its best cells.  How many is measured when the index is built: as many as
+  hold ``PROBE_TARGET`` of the true neighbours of ``PROBE_ASKED`` sampled vectors among the
+  sample.  Clustered vectors need few cells, vectors without any structure most of them.  The best ``RERANK`` candidates are compared exactly with
   the original vectors in double precision.
 
 Centres and words are trained on at most ``SAMPLE`` vectors, those of the smallest id hashes;
@@ -40,10 +42,10 @@ SUB, WORDS = 2, 16
 #: Threshold of the score-aware loss, as a share of a vector's length.
 THRESHOLD = 0.2
 SAMPLE, ROUNDS = 20_000, 8
-#: Entries of a cell on average, and of a sub-block at most.
-CELL_ROWS, BLOCK_ROWS = 400, 4000
-#: Share of the cells that a query probes, and cells at least.
-PROBE_SHARE, PROBE_LEAST = 0.1, 24
+#: Entries of a sub-block at most.
+BLOCK_ROWS = 4000
+#: Share of the sample's true neighbours that the probed cells must hold, and vectors that are asked.
+PROBE_TARGET, PROBE_ASKED = 0.98, 256
 RERANK = 100
 
 
@@ -106,6 +108,19 @@ class Codebook:
         self.word = np.stack([np.resize(kmeans(left[:, m], WORDS, 4, m), (WORDS, SUB)) for m in range(self.pieces)])
         for _ in range(ROUNDS):
             self._train(left, unit, self._choose(left, unit))
+        self.n_probe = self._tuned(sample, cell)
+
+    def _tuned(self, sample: np.ndarray, cell: np.ndarray, k: int = 10) -> int:
+        """The fewest probes that reach the target."""
+        asked = sample[:PROBE_ASKED]
+        far = (sample**2).sum(axis=1) / 2 - asked @ sample.T
+        far[np.arange(len(asked)), np.arange(len(asked))] = np.inf
+        true = np.argsort(far, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+        if not true.size:
+            return len(self.centre)
+        place = np.argsort(self.probes(asked, len(self.centre)), axis=1)
+        needed = np.sort(np.take_along_axis(place, cell[true], 1).ravel())
+        return int(needed[math.ceil(PROBE_TARGET * len(needed)) - 1]) + 1
 
     def _padded(self, x: np.ndarray) -> np.ndarray:
         return np.pad(x, ((0, 0), (0, self.pieces * SUB - self.dim))).reshape(len(x), self.pieces, SUB)
@@ -232,9 +247,7 @@ def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     n = entries.count()
     if not n:
         return empty
-    cells = max(1, math.ceil(n / CELL_ROWS))
-    book = Codebook(sample_of(entries), cells)
-    cells = len(book.centre)
+    book = Codebook(sample_of(entries), math.isqrt(n - 1) + 1)
     shared = spark.sparkContext.broadcast(book)
     coded = materialize(entries.select("entry", "v").mapInPandas(_encode(shared), "entry long, cell int, norm2 double, scale double, code binary"), "ann-codes")
     sizes = coded.groupBy("cell").count()
@@ -242,7 +255,7 @@ def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     parts = materialize(parts, "ann-cells")
 
     asked = distinct_vectors(rows.where(is_query), 1).select("entry", "v")
-    probed = asked.mapInPandas(_probe(shared, min(cells, max(PROBE_LEAST, math.ceil(PROBE_SHARE * cells)))), "query long, v array<double>, cell int")
+    probed = asked.mapInPandas(_probe(shared, book.n_probe), "query long, v array<double>, cell int")
     # a crowded cell has several sub-blocks; a query goes to each of them, an entry to one
     left = coded.join(parts, "cell").select("cell", F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int").alias("part"), F.col("entry").alias("id"), "norm2", "scale", "code", F.lit(None).cast("array<double>").alias("v"))
     right = probed.join(parts, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("query").alias("id"), F.lit(None).cast("double").alias("norm2"), F.lit(None).cast("double").alias("scale"), F.lit(None).cast("binary").alias("code"), "v")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,8 +43,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each session; they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_vellum_shipped", False):
+        return
+    here = Path(__file__).resolve().parent.parent
+    path = Path(tempfile.mkdtemp(prefix="vellum-")) / f"{here.name}.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for f in here.rglob("*.py"):
+            out.write(f, f.relative_to(here.parent))
+    context.addPyFile(str(path))
+    context._vellum_shipped = True
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches that Python workers hold; whole texts travel in them."""
+    """Before Python runs on executors: bound the Arrow batches, in which whole texts travel."""
+    ship_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

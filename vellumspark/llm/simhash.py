@@ -63,7 +63,6 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(count * 2 > len(hashes)).tobytes(), "big")
 
 
-@F.pandas_udf(LongType())
 def fingerprint(text: pd.Series) -> pd.Series:
     """The fingerprint of each text as a signed long."""
     return pd.Series(np.fromiter((majority(shingle_hashes(t)) for t in text), np.uint64, len(text)).view(np.int64))
@@ -72,7 +71,7 @@ def fingerprint(text: pd.Series) -> pd.Series:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id``, a hash of the text and its fingerprint; one pass, no shuffle."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprint("text").alias("fp"))
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.pandas_udf(fingerprint, LongType())("text").alias("fp"))
 
 
 def block_masks() -> list[int]:
