@@ -257,10 +257,17 @@ def decoded(ids: Column, path: str) -> Column:
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """Id, ids and decoded text of each document."""
+    """Id, text, ids and decoded text of each document; the ids cross to the JVM once."""
     small_batches(docs.sparkSession)
-    ids = docs.select("doc_id", "text", encoded(docs["text"], path).alias("ids"))
-    return ids.select("doc_id", "text", "ids", decoded(ids["ids"], path).alias("decoded"))
+
+    def run(some: pd.Series) -> pd.DataFrame:
+        model = PieceModel.load(path)
+        ids = list(model.encode(some.tolist()))
+        return pd.DataFrame({"ids": ids, "decoded": [model.decode(x) for x in ids]})
+
+    both = F.pandas_udf(run, "ids binary, decoded string", F.PandasUDFType.SCALAR)(docs["text"])
+    whole = docs.select("doc_id", "text", both.alias("__vs_both"))
+    return whole.select("doc_id", "text", "__vs_both.ids", "__vs_both.decoded")
 
 
 def piece_digest(docs: DataFrame, path: str) -> DataFrame:
