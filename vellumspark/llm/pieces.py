@@ -43,7 +43,7 @@ from .ragged import gather, grouped, rows_of
 BLANK = "▁"
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZàáâäçèéêëíîïñóôöùúûüß"
 #: Words and pairs that a worker remembers; when there are more it forgets them and starts again.
-CACHED_WORDS, CACHED_PAIRS = 500_000, 1_000_000
+CACHED_WORDS, CACHED_PAIRS = 900_000, 1_000_000
 #: Longer words are streamed and not remembered.
 LONGEST_WORD = 48
 
@@ -165,30 +165,45 @@ class PieceModel:
         if text:
             yield self._ids(text, piece, self._path(piece, len(text)))
 
-    def _word(self, word: str) -> bytes:
-        n = len(word)
-        if n > LONGEST_WORD or self.kind != "bpe":
-            return np.array([i for some in self.stream([word]) for i in some], "<u4").tobytes()
+    def _fresh(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words.  In sorted order each takes over the nodes of what it begins like."""
+        out, before = {}, ""
         # as in _node and _ids, with the calls written out
-        get, pairs, longest, piece, start = self.id.get, self.pairs, self.longest, [-1] * (n + 1), [*range(-1, n)]
-        for i in range(1, n + 1):
-            for j in range(i - 1, i - longest - 1 if i > longest else -1, -1):
-                t = get(word[j:i])
-                if t is not None:
-                    p = piece[j]
-                    if p < 0 or pairs.get(p << 20 | t) or p << 20 | t not in pairs and self.apart(p, t):
-                        piece[i], start[i] = t, j
-                        break
-        out, i = array("I"), n
-        while i:
-            j = start[i]
-            if piece[i] >= 0:
-                out.append(piece[i])
-            else:
-                out.extend(self.bytes_at + c for c in reversed(word[j:i].encode("utf-8", "surrogatepass")))
-            i = j
-        out.reverse()
-        return out.tobytes()
+        get, pairs, longest, piece, start = self.id.get, self.pairs, self.longest, [-1], [-1]
+        for word in sorted(words):
+            n = len(word)
+            if n > LONGEST_WORD or self.kind != "bpe":
+                out[word] = np.array([i for some in self.stream([word]) for i in some], "<u4").tobytes()
+                continue
+            k = 0
+            for a, b in zip(word, before):
+                if a != b:
+                    break
+                k += 1
+            del piece[k + 1 :], start[k + 1 :]
+            before = word
+            for i in range(k + 1, n + 1):
+                found, at = -1, i - 1
+                for j in range(i - 1, i - longest - 1 if i > longest else -1, -1):
+                    t = get(word[j:i])
+                    if t is not None:
+                        p = piece[j]
+                        if p < 0 or pairs.get(p << 20 | t) or p << 20 | t not in pairs and self.apart(p, t):
+                            found, at = t, j
+                            break
+                piece.append(found)
+                start.append(at)
+            ids, i = array("I"), n
+            while i:
+                j = start[i]
+                if piece[i] >= 0:
+                    ids.append(piece[i])
+                else:
+                    ids.extend(self.bytes_at + c for c in reversed(word[j:i].encode("utf-8", "surrogatepass")))
+                i = j
+            ids.reverse()
+            out[word] = ids.tobytes()
+        return out
 
     def _rows(self, words: list[str]) -> list[bytes]:
         get = self.words.get
@@ -197,7 +212,7 @@ class PieceModel:
         if new:
             if len(self.words) + len(new) > CACHED_WORDS:
                 self.words.clear()
-            fresh = {w: self._word(w) for w in new}
+            fresh = self._fresh(new)
             found = [fresh[w] if f is None else f for w, f in zip(words, found)]
             self.words.update((w, b) for w, b in fresh.items() if len(w) <= LONGEST_WORD)
         return found
