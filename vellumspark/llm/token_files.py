@@ -43,7 +43,7 @@ MAGIC = b"VSPLANE1"
 BLOCK_IDS = 1 << 16
 END_ID = 2
 #: Words whose ids a worker remembers; when there are more it forgets all and starts again.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 900_000
 
 
 def open_uri(uri: str, mode: str):
@@ -67,7 +67,7 @@ def move_uri(src: str, dst: str) -> None:
 def to_planes(ids: np.ndarray, kind: str = "byte") -> list[bytes]:
     """The planes of a block, lowest byte or bit first, compressed; b"" for a plane of zeros."""
     raw = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
-    pack = zstandard.ZstdCompressor(level=3)
+    pack = zstandard.ZstdCompressor(level=1)
     rows = raw.T if kind == "byte" else np.packbits(np.unpackbits(raw, axis=1, bitorder="little").T, axis=1, bitorder="little")
     return [pack.compress(np.ascontiguousarray(r).tobytes()) if r.any() else b"" for r in rows]
 
