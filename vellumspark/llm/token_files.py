@@ -223,8 +223,9 @@ class WordEncoder:
                 self.known.clear()
                 new = words
             # a word that was changed above holds no other characters, so both ways give its ids
-            self._plain([w for w in new if w and PLAIN.fullmatch(w) and (w.isalpha() or MARKED.fullmatch(w)) and w == w.lower()])
-            self._other([w for w in new if w not in self.known])
+            plain = [bool(SIMPLE.fullmatch(w)) and w == w.lower() for w in new]
+            self._plain([w for w, p in zip(new, plain) if p])
+            self._other([w for w, p in zip(new, plain) if not p])
             found = [self.known[w] for w in words]
         return found
 
@@ -234,7 +235,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        return grouped(texts, last_gap, self._group)
+        return grouped(texts, last_gap, self._group, 3_000_000)
 
 
 @lru_cache(maxsize=1)
@@ -267,7 +268,7 @@ def _write(root: str, vocabulary: str, kind: str):
 
 def write_token_files(docs: DataFrame, root: str, vocabulary: str, kind: str = "byte") -> DataFrame:
     """Write all documents in ascending order of id; the table of files, in that order."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1000)
     ranged = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     ranged = ranged.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would make floats of ids beside a null
     return materialize(ranged.mapInPandas(_write(root, vocabulary, kind), "part int, path string, docs long, ids long"), "token-files")
