@@ -60,3 +60,33 @@ def match_spans(text: Column, pattern: str) -> Column:
         return F.zip_with(hits, prefix_sums(steps), lambda h, s: F.struct(s.alias("start"), (s + F.length(h)).alias("end"), h.alias("text")))
 
     return let(both, spans)
+
+
+def _at(counted: Column, k: Column) -> Column:
+    """Value number ``k`` (from 1) of a multiset given as sorted ``array<struct<v, c>>``."""
+    return let(prefix_sums(F.transform(counted, lambda x: x["c"])), lambda cum: F.get(counted, F.size(F.filter(cum, lambda x: x < k)))["v"])
+
+
+def _count(counted: Column) -> Column:
+    return F.aggregate(counted, F.lit(0).cast("long"), lambda acc, x: acc + x["c"])
+
+
+def p90_exclusive(counted: Column) -> Column:
+    """The ninth decile by the exclusive method for ten values or more, else the maximum, else 0.
+
+    Takes distinct values with their counts, in order: what is held grows with those only.
+    """
+
+    def of(n: Column) -> Column:
+        j = F.least(F.greatest(F.floor(9 * (n + 1) / F.lit(10.0)).cast("long"), F.lit(1)), n - 1)
+        d = 9 * (n + 1) - 10 * j
+        decile = let(j, lambda k: (_at(counted, k) * (10 - d) + _at(counted, k + 1) * d) / 10.0)
+        return F.when(n >= 10, decile).when(n > 0, F.element_at(counted, -1)["v"].cast("double")).otherwise(F.lit(0.0))
+
+    return let(_count(counted), of)
+
+
+def latency_percentile(counted: Column, p: int) -> Column:
+    """The value at ``n * p / 100``, cut, in a sorted list, to one digit; 0.0 for none."""
+    at = lambda n: _at(counted, F.greatest(F.lit(1), F.floor(n * p / F.lit(100.0)).cast("long")))
+    return F.coalesce(F.round(let(_count(counted), at), 1), F.lit(0.0))
