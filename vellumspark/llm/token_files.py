@@ -164,7 +164,7 @@ class PlaneReader:
 # Letters and marks that split and lower-case alike in every library.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARKS = r"""!"#$%&()*+,\-./:;=>?@\[\]^_`{|}~"""
-PLAIN, MARKED = re.compile(f"[{LETTERS}{MARKS} \n]*"), re.compile(f"[{MARKS}]+")
+PLAIN, MARKED, SIMPLE = re.compile(f"[{LETTERS}{MARKS} \n]*"), re.compile(f"[{MARKS}]+"), re.compile(f"[{LETTERS}]+|[{MARKS}]+")
 
 
 def _byte_letters() -> list[str]:
