@@ -42,7 +42,7 @@ def slug(label: Column) -> Column:
 
 def plain_quotes(text: Column) -> Column:
     """No-break and thin spaces to spaces, zero-width spaces removed, curly quotes straightened."""
-    return F.translate(text, "  “”‘’​", "  \"\"''")
+    return F.translate(text, "\u00a0\u2009\u201c\u201d\u2018\u2019\u200b", "  \"\"''")
 
 
 def normalize_chars(text: Column) -> Column:
@@ -97,7 +97,7 @@ def process_number(text: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Trimmed lines, as Python's splitlines parts them."""
-    lines = F.split(F.regexp_replace(text, r"(?:\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x85  ])\z", ""), r"\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x85  ]", -1)
+    lines = F.split(F.regexp_replace(text, r"(?:\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x85\u2028\u2029])\z", ""), r"\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x85\u2028\u2029]", -1)
     return F.transform(lines, strip)
 
 
@@ -190,7 +190,8 @@ def uuid5(name: Column) -> Column:
 def retry_after(value: Column, now: Column) -> Column:
     """Seconds to wait by a Retry-After header (seconds or HTTP date), not below 0; null if neither."""
     date = F.try_to_timestamp(F.regexp_replace(value, r"^\w{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.coalesce(F.greatest(value.try_cast("double"), F.lit(0.0)), F.greatest((F.unix_timestamp(date) - F.unix_timestamp(now)).cast("double"), F.lit(0.0)))
+    wait = F.coalesce(value.try_cast("double"), (F.unix_timestamp(date) - F.unix_timestamp(now)).cast("double"))
+    return F.when(wait.isNotNull(), F.greatest(wait, F.lit(0.0)))
 
 
 def backoff(attempt: Column, jitter: Column) -> Column:

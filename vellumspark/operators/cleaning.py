@@ -25,7 +25,7 @@ def repeated_lines(pages: DataFrame, doc: str, page: str, text: str, least_pages
 
 def drop_lines(text: Column, repeated: Column) -> Column:
     """The text without lines whose trimmed form is in an array; untouched where there is none."""
-    lines = F.filter(F.split(text, r"\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x85  ]", -1), lambda x: ~F.array_contains(repeated, strip(x)))
+    lines = F.filter(F.split(text, r"\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x85\u2028\u2029]", -1), lambda x: ~F.array_contains(repeated, strip(x)))
     return F.when(F.size(F.coalesce(repeated, F.array().cast("array<string>"))) > 0, F.array_join(lines, "\n")).otherwise(text)
 
 

@@ -65,8 +65,8 @@ def year_extract(spark, sf_dir):
     SELECT doc_id, md5(replace(replace(replace(replace(replace(replace(replace(nfc_normalize(t), chr(160), ' '), chr(8201), ' '), chr(8220), '"'), chr(8221), '"'), chr(8216), ''''), chr(8217), ''''), chr(8203), '')) AS digest FROM x"""
 )
 def normalize_text(spark, sf_dir):
-    t = F.replace("text", F.lit(" a"), F.lit(" “a"))
-    t = F.replace(F.replace(t, F.lit("e"), F.lit("é")), F.lit(". "), F.lit("”​. "))
+    t = F.replace("text", F.lit(" a"), F.lit("\u00a0\u201ca"))
+    t = F.replace(F.replace(t, F.lit("e"), F.lit("e\u0301")), F.lit(". "), F.lit("\u201d\u200b.\u2009"))
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_chars(t)).alias("digest"))
 
 
