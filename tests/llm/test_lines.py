@@ -12,6 +12,10 @@ def h(s):
     return xxhash.xxh64_intdigest(s.encode(), 42)
 
 
+def long(line):
+    return line.count(" ") >= lines.LONG_LINE
+
+
 def chunks(text):
     all_lines = text.split("\n")
     hs = [0, *map(h, all_lines)]
@@ -19,7 +23,8 @@ def chunks(text):
     roll = [r - (1 << 64) if r >> 63 else r for r in roll]
     out, begin = [], 0
     for i in range(len(roll)):
-        if i == len(roll) - 1 or i and roll[i] < roll[i - 1] and roll[i] <= roll[i + 1]:
+        alone = long(all_lines[i]) or i + 1 < len(roll) and long(all_lines[i + 1])
+        if alone or i == len(roll) - 1 or i and roll[i] < roll[i - 1] and roll[i] <= roll[i + 1]:
             out.append(all_lines[begin : i + 1])
             begin = i + 1
     return out
@@ -35,9 +40,11 @@ def brute(rows):
         kept = []
         for c in chunks(t):
             key = "\n".join(c)
-            if len(c) >= 2 and key in seen:
+            counts = len(c) >= 2 or long(key)
+            if counts and key in seen:
                 continue
-            seen.setdefault(key, i)
+            if counts:
+                seen.setdefault(key, i)
             kept.append(key)
         out[i] = "\n".join(kept)
     return out
@@ -54,6 +61,14 @@ def test_equal_to_brute_force(spark):
     assert sum(map(len, filter(None, got.values()))) < 0.7 * sum(len(t or "") for _, t in rows)
 
 
+def test_long_lines_are_passages_of_their_own(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"own {i}\n{passage}\nlast {i}") for i in range(5)] + [(9, passage[:100] + f"\nshort\n{passage} more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
+    assert got == {0: rows[0][1], 9: rows[5][1]} | {i: f"own {i}\nlast {i}" for i in range(1, 5)}
+
+
 def test_chunks_give_the_text_back(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     bad = docs.where(F.array_join(F.transform(lines.line_chunks(F.col("text")), lambda c: c["text"]), "\n") != F.col("text"))

@@ -3,8 +3,11 @@
 A rolling hash runs over the hashes of two neighbouring lines, and a chunk ends wherever it is
 lower than at the lines before and after.  That depends on four lines only, so a passage is
 cut alike wherever it stands, and no two neighbours can both be ends: chunks have three lines
-on average and two at least, but for a text's last one.  A chunk of several lines that occurs more than once in the corpus stays where it first occurs (smallest id, then
-text hash, then place) and is removed elsewhere.
+on average and two at least, but for a text's last one.  A line of over ``LONG_LINE`` words is
+a passage of several lines that only lacks the breaks: it is a chunk of its own.
+
+A chunk of several lines, or such a line, that occurs more than once in the corpus stays where
+it first occurs (smallest id, then text hash, then place) and is removed elsewhere.
 
 Occurrences are grouped by the chunk's own bytes with partial sums, which compares the bytes
 and counts a frequent passage once per task; a hash then only names the group.  Should two
@@ -23,7 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.arrays import let
 from .common import materialize, table
 
-MIN_LINES = 2
+MIN_LINES, LONG_LINE = 2, 50
+
+
+def is_long(line: Column) -> Column:
+    """A line of over ``LONG_LINE`` words, told by its blanks."""
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= LONG_LINE
 
 
 def line_chunks(text: Column) -> Column:
@@ -38,7 +46,9 @@ def line_chunks(text: Column) -> Column:
 
         def ends(r: Column) -> Column:
             low = lambda x, i: (x < F.get(r, i - 1)) & (x <= F.get(r, i + 1))
-            return F.filter(F.transform(r, lambda x, i: F.when(low(x, i) | (i == F.size(r) - 1), i + 1)), lambda e: e.isNotNull())
+            alone = lambda i: F.coalesce(is_long(F.get(lines, i)), F.lit(False))
+            end = lambda x, i: low(x, i) | alone(i) | alone(i + 1) | (i == F.size(r) - 1)
+            return F.filter(F.transform(r, lambda x, i: F.when(end(x, i), i + 1)), lambda e: e.isNotNull())
 
         def parts(e: Column) -> Column:
             begin = F.concat(F.array(F.lit(0)), F.slice(e, F.lit(1), F.size(e) - 1))
@@ -50,9 +60,9 @@ def line_chunks(text: Column) -> Column:
 
 
 def _occurrences(docs: DataFrame, *more: str) -> DataFrame:
-    """Chunks of several lines with their place; ``text`` on request."""
+    """Chunks of several lines, and long lines, with their place; ``text`` on request."""
     named = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), F.posexplode(line_chunks(F.col("text"))).alias("pos", "c"))
-    return named.where(F.col("c.n") >= MIN_LINES).select("id", "th", "pos", F.xxhash64("c.text").alias("h"), *more)
+    return named.where((F.col("c.n") >= MIN_LINES) | is_long(F.col("c.text"))).select("id", "th", "pos", F.xxhash64("c.text").alias("h"), *more)
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
