@@ -19,7 +19,8 @@ def norm(a: Column) -> Column:
 
 
 def cosine_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """``qid, id, score`` for ``vectors(id, v)`` and ``queries(qid, v)``; a query never meets itself.
+    """``qid, id, score`` for ``vectors(id, v)`` and ``queries(qid, v)``; a query never meets itself
+    (ids of different types name different things).
 
     A stated query set against all rows: the queries go to the vectors in blocks of a proven
     size, one broadcast each.
@@ -30,7 +31,8 @@ def cosine_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     blocks = max(1, -(-int(size) // BROADCAST_BYTES))
     parts = [asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k) for k in range(blocks)]
     score = dot(F.col("v"), F.col("qv")) / (F.col("vn") * F.col("qn"))
-    found = [unit.crossJoin(F.broadcast(p)).where(F.col("qid") != F.col("id")).select("qid", "id", score.alias("score")) for p in parts]
+    other = F.col("qid") != F.col("id") if dict(queries.dtypes)["qid"] == dict(vectors.dtypes)["id"] else F.lit(True)
+    found = [unit.crossJoin(F.broadcast(p)).where(other).select("qid", "id", score.alias("score")) for p in parts]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

@@ -11,6 +11,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, MapType, StructField, StructType
 
 from ..functions.text import word_tokens
 from ..profiles import NOT_FOUND
@@ -30,7 +31,7 @@ class Generator(Protocol):
 
 def embed(rows: DataFrame, text: str, load: Callable[[], Embedder], batch: int = 32) -> DataFrame:
     """Adds ``dense`` and ``sparse`` from one pass of the model; ``load`` runs once in each task."""
-    schema = rows.schema.add("dense", "array<float>").add("sparse", "map<int,float>")
+    schema = StructType([*rows.schema.fields, StructField("dense", ArrayType(FloatType())), StructField("sparse", MapType(IntegerType(), FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()

@@ -19,4 +19,4 @@ PAGE = (
     "tables array<array<array<string>>>"
 )
 GOLDEN = "id string, pergunta string, tipo_query string, resposta_esperada string, docs_relevantes array<string>, tipo_ato_filtro string, year_filtro int"
-RECORD = "registros:array<struct<titulo:string,pdfs:array<struct<url:string,arquivo:string,tipo:string>>>>"
+RECORD = "registros array<struct<titulo:string,pdfs:array<struct<url:string,arquivo:string,tipo:string>>>>"
