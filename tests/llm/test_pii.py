@@ -65,3 +65,17 @@ def test_empty_table_and_repeated_rows(spark):
     assert pii.find_pii(spark.createDataFrame([], schema)).count() == 0
     got = pii.find_pii(spark.createDataFrame([(None, "a@b.c")] * 2, schema)).collect()
     assert [r.n_email for r in got] == [1, 1]
+
+
+def test_sql_finds_the_same(spark):
+    import duckdb
+
+    texts = [t for t in TEXTS if t is None or len(t) < 3000] + ["x IBAN DE89 3704 0044 0532 0130 00 y", "ssn 078-05-1120;call +49 30 1234567, visa 4111 1111 1111 1111", "ecarte 4111111111111111"]
+    rows = list(enumerate(texts))
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    found = con.sql(pii.ORACLE_SQL)
+    want = {r[0]: dict(zip(found.columns, r)) for r in found.fetchall()}
+    got = {r.doc_id: r.asDict() for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want

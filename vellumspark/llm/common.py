@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -27,9 +28,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders of this process; they go when it ends.
+_ROOTS: dict[str, str] = {}
+
+
+def _remove(spark: SparkSession, root: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the JVM may be gone already; the folder then stays until the shared one is cleared
+        pass
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder; nothing is there yet."""
-    return f"{shared_dir(spark)}/vellum/{name}-{uuid.uuid4().hex}"
+    """A new path under the shared folder; it lasts as long as this process."""
+    shared = shared_dir(spark)
+    if shared not in _ROOTS:
+        _ROOTS[shared] = f"{shared}/vellum-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _ROOTS[shared])
+    return f"{_ROOTS[shared]}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

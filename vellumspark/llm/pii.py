@@ -89,7 +89,7 @@ def _found(text: Column, kind: str, pattern: str, hint: Column, keep) -> Column:
         begin = F.greatest(s["start"] + 1 - CONTEXT, F.lit(1).cast("long")).cast("int")
         before = F.substring(text, begin, (s["start"] + 1).cast("int") - begin)
         near = F.concat(before, F.lit(" "), F.substring(text, (s["end"] + 1).cast("int"), F.lit(CONTEXT)))
-        score = F.when(near.rlike(rf"(?i)\b(?:{words})"), F.lit(base + more)).otherwise(F.lit(base))
+        score = F.when(near.rlike(rf"(?i)(?<![a-z0-9])(?:{words})"), F.lit(base + more)).otherwise(F.lit(base))
         return F.struct(s["start"].alias("start"), F.lit(order).alias("ord"), s["end"].alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
 
     none = F.array().cast("array<struct<start:bigint,ord:int,end:bigint,kind:string,score:double>>")
@@ -129,3 +129,47 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
+
+
+def _oracle() -> str:
+    """The same spans by DuckDB's expressions: its engine needs no possessive forms but has no look-around."""
+    patterns = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "", ""),
+        "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "", ""),
+        "card": (r"[0-9](?:[\x20-]?[0-9])+", "", ""),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "", ""),
+        "iban": (r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", "^|[^A-Za-z0-9]", "[^A-Za-z0-9]|$"),
+        "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "^|[^0-9-]", "[^0-9-]|$"),
+    }
+    digits = "regexp_replace(hit, '[^0-9]', '', 'g')"
+    doubled = f"({digits}[len({digits}) - i])::INT * (1 + i % 2)"
+    luhn = f"list_sum(list_transform(range(0, len({digits})), lambda i: CASE WHEN {doubled} > 9 THEN {doubled} - 9 ELSE {doubled} END)) % 10 = 0"
+    bare = "replace(hit, ' ', '')"
+    mod97 = f"list_reduce(list_transform(string_split({bare}[5:] || {bare}[1:4], ''), lambda c: CASE WHEN ord(c) < 58 THEN ord(c) - 48 ELSE ord(c) - 55 END::BIGINT), lambda a, c: (CASE WHEN c < 10 THEN a * 10 ELSE a * 100 END + c) % 97, 0::BIGINT) = 1"
+    keep = {
+        "email": "true",
+        "ip": "len(list_filter(string_split(hit, '.'), lambda p: len(ltrim(p, '0')) > 3 OR coalesce(try_cast(nullif(ltrim(p, '0'), '') AS INT), 0) > 255)) = 0",
+        "card": f"CASE WHEN len({digits}) BETWEEN 12 AND 19 THEN {luhn} ELSE false END",
+        "phone": f"len({digits}) BETWEEN 9 AND 15",
+        "iban": mod97,
+        "ssn": "true",
+    }
+    parts = []
+    for order, kind in enumerate(KINDS):
+        (body, before, after), (base, more, words) = patterns[kind], SCORES[kind]
+        whole = f"({before})({body})({after})" if before else body
+        hits = f"regexp_extract_all(text, '{whole}', 2)" if before else f"regexp_extract_all(text, '{whole}')"
+        lead = f"list_transform(regexp_extract_all(text, '{whole}', 1), lambda x: len(x))" if before else "NULL::BIGINT[]"
+        near = f"text[greatest(s + 1 - {CONTEXT}, 1):s] || ' ' || text[s + len(hit) + 1:s + len(hit) + {CONTEXT}]"
+        parts.append(f"""SELECT doc_id, {order} AS ord, '{kind}' AS kind, s, s + len(hit) AS e, CASE WHEN regexp_matches({near}, '(?i)(?:^|[^a-z0-9])(?:{words})') THEN {base}::DOUBLE + {more}::DOUBLE ELSE {base}::DOUBLE END AS score
+  FROM (SELECT doc_id, text, hits[i] AS hit, (list_sum(list_transform(gaps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(alls[1:i - 1], lambda x: len(x))), 0) + coalesce(leads[i], 0))::BIGINT AS s
+    FROM (SELECT doc_id, text, {hits} AS hits, regexp_extract_all(text, '{whole}') AS alls, string_split_regex(text, '{whole}') AS gaps, {lead} AS leads, unnest(range(1, len({hits}) + 1)) AS i FROM d))
+  WHERE {keep[kind]}""")
+    spans = " UNION ALL ".join(parts)
+    count = ", ".join(f"coalesce(count_if(kind = '{k}'), 0)::BIGINT AS n_{k}" for k in KINDS[:4])
+    joined = lambda where: f"coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord, e) FILTER (WHERE {where}), '')"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), found AS (SELECT * FROM ({spans}) WHERE ord < 4 OR score >= {MIN_SCORE})
+SELECT d.doc_id, {count}, sha256({joined("ord < 4")}) AS base_sha256, {joined("ord >= 0")} AS spans, coalesce(list(score ORDER BY s, ord, e) FILTER (WHERE ord >= 0), []) AS scores FROM d LEFT JOIN found USING (doc_id) GROUP BY d.doc_id"""
+
+
+ORACLE_SQL = _oracle()
