@@ -107,7 +107,7 @@ class Codebook:
         left, unit, _ = self._split(sample, cell)
         self.word = np.stack([np.resize(kmeans(left[:, m], WORDS, 4, m), (WORDS, SUB)) for m in range(self.pieces)])
         for _ in range(ROUNDS):
-            self._train(left, unit, self._choose(left, unit))
+            self._train(left, unit, self._chosen(left, unit))
         self.n_probe = self._tuned(sample, cell)
 
     def _tuned(self, sample: np.ndarray, cell: np.ndarray, k: int = 10) -> int:
@@ -145,6 +145,10 @@ class Codebook:
                 total = rest + along[at, m, code[:, m]]
         return code.reshape(n, self.pieces)
 
+    def _chosen(self, left: np.ndarray, unit: np.ndarray, rows: int = 1024) -> np.ndarray:
+        """``_choose`` for many vectors, some at a time."""
+        return np.concatenate([self._choose(left[i : i + rows], unit[i : i + rows]) for i in range(0, len(left), rows)])
+
     def _train(self, left: np.ndarray, unit: np.ndarray, code: np.ndarray) -> None:
         """Words of least loss for the codes: a small linear system each."""
         at = np.arange(self.pieces)
@@ -162,13 +166,10 @@ class Codebook:
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cell, codes (two in a byte) and length of what is left for each vector."""
-        cell, codes, scales = nearest(x, self.centre), [], []
-        for i in range(0, len(x), 2048):
-            left, unit, scale = self._split(x[i : i + 2048], cell[i : i + 2048])
-            codes.append(self._choose(left, unit))
-            scales.append(scale)
-        code = np.concatenate(codes)
-        return cell, (code[:, 0::2] | code[:, 1::2] << 4).astype(np.uint8), np.concatenate(scales)
+        cell = nearest(x, self.centre)
+        left, unit, scale = self._split(x, cell)
+        code = self._chosen(left, unit)
+        return cell, (code[:, 0::2] | code[:, 1::2] << 4).astype(np.uint8), scale
 
     def probes(self, q: np.ndarray, n: int) -> np.ndarray:
         """The n cells whose centres are nearest to each query."""
