@@ -96,3 +96,35 @@ def test_streaming_reads_each_file_once(spark, tmp_path):
     assert [run(), run()] == [4, 4]
     spark.range(10, 12).write.parquet(f"{root}/in/b")
     assert run() == 6
+
+
+def test_settings(tmp_path, monkeypatch):
+    import os
+
+    from vellumspark.sources.config import load_settings
+
+    monkeypatch.setenv("VS_SET", "kept")
+    monkeypatch.setenv("VS_EMPTY", "")
+    monkeypatch.delenv("VS_NEW", raising=False)
+    (tmp_path / ".env").write_text("# VS_NO=1\nVS_SET=x\nVS_EMPTY = 'full'\nVS_NEW=\"a=b\"\nbroken\n")
+    assert load_settings(tmp_path / ".env") == {"VS_EMPTY": "full", "VS_NEW": "a=b"}
+    assert os.environ["VS_SET"] == "kept" and load_settings(tmp_path / "none") == {}
+    monkeypatch.delenv("VS_NEW")
+
+
+def test_samples_and_errors(spark):
+    rows = spark.createDataFrame([("ren", "b", None), ("ren", "a", "e1"), ("dsp", "z", "e2"), ("dsp", "y", None), ("xxx", "q", "e3")], "kind string, path string, error string")
+    got = corpus.samples_of(rows, {"ren": "b", "dsp": "none"}, "kind", "path").collect()
+    assert sorted((r.kind, r.path) for r in got) == [("dsp", "y"), ("ren", "b")]
+    assert [r.error for r in corpus.first_errors(rows, "error", "path", 2).collect()] == ["e1", "e3"]
+
+
+def test_pages_with_tables(spark):
+    from vellumspark.operators.cleaning import page_with_tables
+    from vellumspark.schemas import PAGE
+
+    block = (0.0, 1.0, 2.0, 3.0, "body", 0)
+    pages = [("d", 2, 100.0, [block], [[["1", "2"], ["3", "4"]], [["h", None], ["x", "y"]]]), ("e", 1, 100.0, [block], [])]
+    got = {r.doc_id: r for r in page_with_tables(spark.createDataFrame(pages, PAGE)).collect()}
+    assert got["d"].text == "body\n\n[[TABELA:p2t2]]\n" and got["e"].text == "body"
+    assert [tuple(t) for t in got["d"].tables] == [("p2t2", 2, "| h |  |\n| --- | --- |\n| x | y |", 2, 2)]

@@ -15,6 +15,23 @@ def page_text(blocks: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(placed), lambda b: b["text"]), "\n")
 
 
+def page_with_tables(pages: DataFrame) -> DataFrame:
+    """Pages (``schemas.PAGE``) as ``doc_id, page, text, tables``: text in reading order, and a mark for each table that is kept.
+
+    Marks count all tables of the page, those left out as well.
+    """
+
+    def entry(rows: Column, j: Column) -> Column:
+        ident = F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("t"), (j + 1).cast("string"))
+        wide = F.array_max(F.transform(rows, F.size))
+        return F.struct(ident.alias("id"), F.col("page").alias("page"), table_markdown(rows).alias("markdown"), F.size(rows).alias("rows"), wide.alias("cols"), is_semantic_table(rows).alias("keep"))
+
+    found = pages.select("doc_id", "page", page_text(F.col("blocks")).alias("body"), F.filter(F.transform("tables", entry), lambda t: t["keep"] & (t["markdown"] != "")).alias("kept"))
+    marks = F.array_join(F.transform("kept", lambda t: F.concat(F.lit("\n\n[[TABELA:"), t["id"], F.lit("]]\n"))), "")
+    bare = F.transform("kept", lambda t: F.struct(t["id"].alias("id"), t["page"].alias("page"), t["markdown"].alias("markdown"), t["rows"].alias("rows"), t["cols"].alias("cols")))
+    return found.select("doc_id", "page", F.concat("body", marks).alias("text"), bare.alias("tables"))
+
+
 def repeated_lines(pages: DataFrame, doc: str, page: str, text: str, least_pages: int = 3, shortest: int = 8, longest: int = 200) -> DataFrame:
     """``doc, line, pages``: trimmed lines that stand on at least ``least_pages`` pages of a document."""
     lines = pages.select(doc, page, F.explode(F.array_distinct(split_lines(F.col(text)))).alias("line")).where(F.length("line").between(shortest, longest))

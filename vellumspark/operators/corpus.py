@@ -51,6 +51,17 @@ def profile(rows: DataFrame, flags: dict[str, Column], errors: Column) -> DataFr
     return rows.agg(F.count("*").alias("n"), F.count_if(errors.isNull()).alias("n_ok"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in flags.items()])
 
 
+def first_errors(rows: DataFrame, error: str, order: str, n: int = 5) -> DataFrame:
+    return rows.where(F.col(error).isNotNull()).orderBy(order).limit(n)
+
+
+def samples_of(rows: DataFrame, wanted: dict[str, str], kind: str, path: str) -> DataFrame:
+    """One row for each kind: the wanted path if it is there, else the first path of the kind."""
+    first = F.coalesce(*[F.when(F.col(kind) == k, F.when(F.col(path) == p, 0)) for k, p in wanted.items()], F.lit(1))
+    best = rows.where(F.col(kind).isin(*wanted)).groupBy(kind).agg(F.min_by(path, F.struct(first, path)).alias(path))
+    return rows.join(best, [kind, path], "left_semi")
+
+
 def counted(rows: DataFrame, by: str, value: str, name: str) -> DataFrame:
     """``by`` and its distinct values with their counts, in order, as ``array<struct<v, c>>``.
 
