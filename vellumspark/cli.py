@@ -69,7 +69,7 @@ def chunk(spark: SparkSession, args) -> None:
 
 def build(spark: SparkSession, args) -> None:
     began, chunks = time.time(), spark.read.parquet(args.chunks)
-    lexical.build_index(chunks, "chunk_id").save(args.out)
+    lexical.store_index(chunks, "chunk_id", args.out)
     print(json.dumps({"n_chunks": chunks.count(), "seconds": round(time.time() - began, 1)}))
 
 

@@ -36,7 +36,9 @@ def round_robin(rows: DataFrame, cells: list[str], key: str, n: int, seed: int =
     """``n`` rows, one of each cell in turn, cells in shuffled order."""
     cell = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in cells])
     turn = F.row_number().over(Window.partitionBy(*cells).orderBy(shuffled(F.col(key), seed), key))
-    return rows.withColumns({"turn": turn, "cell": shuffled(cell, seed)}).orderBy("turn", "cell", key).limit(n)
+    # no cell gives more than n rows, so each task keeps its first n of a cell only
+    near = rows.withColumns({"turn": turn, "cell": shuffled(cell, seed)}).where(F.col("turn") <= n)
+    return near.orderBy("turn", "cell", key).limit(n)
 
 
 def good_chunks(rows: DataFrame, least_chars: int = 300, kinds: tuple[str, ...] = PRIORITY_TYPES) -> DataFrame:

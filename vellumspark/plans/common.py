@@ -13,8 +13,14 @@ def words_sql(x: str) -> str:
     return WORDS_SQL.format(x=x)
 
 
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts in fewer files than there are cores are spread, since a row group is one task's work."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    few = name in TEXTS and len(rows._jdf.inputFiles()) < cores
+    return rows.repartition(cores) if few else rows
 
 
 class Registry:

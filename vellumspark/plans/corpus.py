@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_pdf_url
 from ..operators import chunking, corpus, sampling
 from ..profiles import PLAIN
+from ..sources.scratch import scratch
 from ..streaming.resume import ingest
 from .common import Registry, table
 
@@ -167,9 +168,7 @@ def top_creators(spark, sf_dir):
 @query()
 def stream_resume(spark, sf_dir):
     """The same files are ingested twice and must be there once."""
-    from ..streaming.resume import scratch
-
-    root = scratch(spark)
+    root = scratch(spark, "ingest")
     schema = table(spark, sf_dir, "events").schema
     counts = [ingest(spark, f"{sf_dir}/events.parquet*", schema, f"{root}/sink", f"{root}/checkpoint") for _ in range(2)]
     return spark.createDataFrame([(i, n) for i, n in enumerate(counts)], "run int, rows_in_sink long")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.arrays import latency_percentile, p90_exclusive
 from ..operators import context, corpus, dense, evaluate, fusion, lexical, models
+from ..sources.scratch import scratch
 from .common import Registry, table, words_sql
 
 query = Registry()
@@ -30,7 +31,7 @@ def top_sql(source: str, k: int, name: str, where: str = "true") -> str:
 
 
 def _index(spark, sf_dir) -> lexical.LexicalIndex:
-    return lexical.build_index(table(spark, sf_dir, "documents"), "doc_id")
+    return lexical.store_index(table(spark, sf_dir, "documents"), "doc_id", scratch(spark, "index"))
 
 
 def _named(ranked: DataFrame, score: int = 6) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,13 +17,3 @@ def ingest(spark: SparkSession, source: str, schema: str, sink: str, checkpoint:
     query = step(stream).writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(sink)
     query.awaitTermination()
     return spark.read.parquet(sink).count()
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder where driver and executors both can write: under ``spark.checkpoint.dir`` if it is set."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="vellum-")
-    return f"{shared.rstrip('/')}/ingest-{uuid.uuid4().hex}"
