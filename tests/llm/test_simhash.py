@@ -81,3 +81,31 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.component_id for r in kept.collect()) == [1, 4, 5, 7]
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
     assert simhash.simhash_groups(docs.limit(0)).count() == 0
+
+
+def test_pipeline_groups_equal_brute_force_jaccard(spark):
+    rng = random.Random(8)
+    rows = []
+    for base in range(40):  # edits that leave a similarity of about 0.5 to 1, in chains
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(40, 200))]
+        for _ in range(6):
+            rows.append((len(rows), " ".join(words)))
+            words = list(words)
+            for _ in range(rng.randrange(1, 5)):
+                words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    up = {i: i for i in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in sets:
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) and (x := top(i)) != (y := top(j)):
+                up[max(x, y)] = min(x, y)
+    want = {top(i) for i in sets}
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == want and len(want) < 200
