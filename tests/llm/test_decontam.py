@@ -75,3 +75,45 @@ def test_blocks_stage_nulls_and_empty(spark, block_bytes):
     assert kept.columns == docs.columns and sorted(r.item_id for r in kept.collect()) == [2, 3, 4, 6]
     assert decontam.drop_contaminated(docs, bench.limit(0)).count() == 6
     assert decontam.contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_every_accepted_pattern_leaves_a_hit():
+    for n in range(1, 19):  # all patterns that the masks don't see, word by word
+        masks = [m for m, own in decontam._masks({n}) if own is None or n in own]
+        unseen = [""]
+        for _ in range(n):
+            longer = [p + c for p in unseen for c in "01"]
+            unseen = [p for p in longer if not any(decontam.sees(m, p[-len(m) :]) for m in masks)]
+        assert not [p for p in unseen if decontam.verdict(np.array([c == "1" for c in p]), n)[0]]
+    # longer: the most equal words in any pattern of n words without a hit, by its last four
+    most = {"": 0}
+    for n in range(1, 401):
+        after = {}
+        for last, equal in most.items():
+            for c in "01":
+                p = last + c
+                if not any(decontam.sees(m, p[-len(m) :]) for m in decontam.MASKS):
+                    after[p[-4:]] = max(after.get(p[-4:], 0), equal + (c == "1"))
+        most = after
+        if n >= decontam.SPAN:
+            assert max(most.values()) < decontam.OVERLAP * n
+    # 13 equal words of a stretch with four in five equal: some five of them in a row have one other at most
+    assert all(any(decontam.sees(m, p) for m in decontam.MASKS) for p in ("11111", "01111", "10111", "11011", "11101", "11110"))
+
+
+def test_regular_and_random_replacements_are_found():
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate([2, 4, 5, 6, 7, 8, 9, 10, 16, 20, 25, 30, 59])]
+    index, passages = decontam.Index.build(passages_of(rows)), passages_of(rows)
+    for number, (i, passage) in enumerate(rows * 12):
+        item = passage.split()
+        if number < 2 * len(rows):
+            item[number // len(rows) + 2 :: 5 - number // len(rows)] = ["other"] * len(item[number // len(rows) + 2 :: 5 - number // len(rows)])
+        else:
+            for k in rng.sample(range(len(item)), int(0.3 * len(item))):
+                item[k] = "other"
+        text = " ".join(["before it"] + item + rng.choices(vocabulary, k=30))
+        assert index.leaks(text) == brute(text, passages)
+        cut = " ".join(item[1:])  # without the first word, at the very start of the text
+        assert index.leaks(cut) == brute(cut, passages)

@@ -1,7 +1,10 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Fixed masks over windows of ``SPAN`` words ignore some positions, so a window still hashes
-alike when words there were replaced.  The masked hashes of all windows of the benchmark and
+Fixed masks over windows of four or five words ignore some positions, so a window still hashes
+alike when words there were replaced.  No pattern of replaced words that the verdict accepts
+goes without a hit: the four masks see every one in passages of ``SPAN`` words or more, and
+passages with fewer words get masks of their own for the patterns that the four don't see.
+The masked hashes of all windows of the benchmark and
 of every document are joined; around each hit the passage is laid over the document on the
 hit's diagonal and compared word by word.
 
@@ -13,17 +16,19 @@ The benchmark is dealt into blocks of ``BLOCK_BYTES``; each block's hashes are b
 joined with all documents where these are read, so no text is shuffled and no broadcast grows
 with the benchmark.  A larger benchmark takes more blocks, not larger ones.
 
-Defined results: words are runs of letters and digits, lower-cased; passages shorter than a
-window hash as a whole; passages without words, null ones and null or empty texts never
+Defined results: words are runs of letters and digits, lower-cased; passages without words, null ones and null or empty texts never
 match; passages with the same words are one, under the smallest id; rows without an id are
 judged like others; empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +38,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import small_batches, table
 
 # The masks; ones are compared, zeros are ignored.
-MASKS = ("1110110111", "1101101110", "1011011101", "0111110011")
+MASKS = ("1111", "11101", "10111", "11011")
+#: Passages with fewer words have masks of their own.
 SPAN = 10
 RUN, MISS, OVERLAP = 13, 4, 0.7
 BLOCK_BYTES = 4 << 20
@@ -43,28 +49,22 @@ WORD = re.compile(r"[^\W_]+")
 SCHEMA = "array<struct<item_id:bigint,matched:int,overlap:double>>"
 
 _RNG = np.random.default_rng(20)
-_COEF = _RNG.integers(1, 1 << 63, SPAN, dtype=np.uint64) | np.uint64(1)
-_SALT = _RNG.integers(1, 1 << 63, SPAN + len(MASKS), dtype=np.uint64)
+_COEF = _RNG.integers(1, 1 << 63, SPAN + 1, dtype=np.uint64) | np.uint64(1)
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def _masks(lengths: set[int]) -> list[tuple[int, list[int], int]]:
-    """Salt, compared positions and span of each mask; one without gaps for each short length."""
-    spaced = [(SPAN + k, [j for j, c in enumerate(m) if c == "1"], SPAN) for k, m in enumerate(MASKS)]
-    return spaced + [(n, list(range(n)), n) for n in sorted(lengths) if n < SPAN]
-
-
-def _hashes(ids: np.ndarray, mask: tuple[int, list[int], int]) -> np.ndarray:
-    salt, places, span = mask
-    n = len(ids) - span + 1
+def _hashes(ids: np.ndarray, mask: str) -> np.ndarray:
+    n = len(ids) - len(mask) + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.full(n, _SALT[salt])
-    for j in places:
-        out += ids[j : j + n] * _COEF[j]
+    # the mask itself is the salt
+    out = np.full(n, np.uint64(int(_COEF[-1]) * int(mask, 2) % (1 << 64)))
+    for j, c in enumerate(mask):
+        if c == "1":
+            out += ids[j : j + n] * _COEF[j]
     out ^= out >> np.uint64(29)
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
@@ -85,18 +85,49 @@ def verdict(equal: np.ndarray, length: int) -> tuple[bool, int, float]:
     return best_stretch(equal) >= need or matched >= OVERLAP * length, matched, matched / length
 
 
+def sees(mask: str, pattern: str) -> bool:
+    """Whether a window of the pattern (ones are equal words) has ones wherever the mask has."""
+    return any(all(p == "1" or m == "0" for m, p in zip(mask, pattern[at:])) for at in range(len(pattern) - len(mask) + 1))
+
+
+@functools.cache
+def short_masks(length: int) -> tuple[str, ...]:
+    """Masks for passages of so many words: the sparsest accepted patterns that ``MASKS`` don't see."""
+    found: list[str] = []
+    for pattern in sorted(("".join(x) for x in itertools.product("01", repeat=length)), key=lambda x: x.count("1")):
+        if "1" in pattern and verdict(np.array([c == "1" for c in pattern]), length)[0] and not any(sees(m, pattern) for m in (*MASKS, *found)):
+            found.append(pattern.strip("0"))
+    return tuple(found)
+
+
+def _masks(lengths: set[int]) -> list[tuple[str, set[int] | None]]:
+    """Each mask, and the lengths of the passages that it is for (none: all)."""
+    own: dict[str, set[int]] = {}
+    for n in sorted(n for n in lengths if n < SPAN):
+        for m in short_masks(n):
+            own.setdefault(m, set()).add(n)
+    return [(m, None) for m in MASKS] + list(own.items())
+
+
 @dataclass
 class Index:
     """One block of the benchmark: words, passages and sorted window hashes."""
 
     number: dict[str, int]
     items: list[tuple[int, np.ndarray]]
-    masks: list[tuple[int, list[int], int]]
+    masks: list[tuple[str, set[int] | None]]
     hashes: np.ndarray
     item: np.ndarray
     place: np.ndarray
     near: np.ndarray
 
+    def __post_init__(self) -> None:
+        """All passages' words in one array; where each begins, its size and the equal words that it needs."""
+        self.size = np.array([len(ids) for _, ids in self.items], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.words = np.concatenate([np.empty(0, np.uint64), *(ids for _, ids in self.items)])
+        self.need = np.array([min(RUN, math.ceil(0.8 * n), math.ceil(OVERLAP * n)) for n in self.size.tolist()], np.int64)
+
     @staticmethod
     def build(passages: list[tuple[int, list[str]]]) -> "Index":
         number: dict[str, int] = {}
@@ -104,8 +135,8 @@ class Index:
         masks = _masks({len(ids) for _, ids in items})
         parts = []
         for k, (_, ids) in enumerate(items):
-            for m in masks:
-                if m[2] == SPAN or m[2] == len(ids):
+            for m, own in masks:
+                if own is None or len(ids) in own:
                     h = _hashes(ids, m)
                     parts.append((h, np.full(len(h), k, np.int32), np.arange(len(h), dtype=np.int32)))
         h, item, place = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32))
@@ -119,21 +150,23 @@ class Index:
         get = self.number.get
         ids = np.array([get(w, 0) for w in words_of(text)], np.uint64)
         known = np.concatenate([[0], np.cumsum(ids != 0)])
-        tried: set[tuple[int, int]] = set()
-        for m in self.masks:
+        tried = []
+        for m, _ in self.masks:
             h = _hashes(ids, m)
             if not len(h):
                 continue
             # a window with too few benchmark words can't be one of the benchmark's
-            at = np.flatnonzero(known[m[2] :] - known[: len(known) - m[2]] >= len(m[1]))
+            at = np.flatnonzero(known[len(m) :] - known[: len(known) - len(m)] >= m.count("1"))
             at = at[self.near[h[at] >> np.uint64(64 - FILTER_BITS)]]
             if not len(at):
                 continue
             low, high = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
-            for p, a, b in zip(at.tolist(), low.tolist(), high.tolist()):
-                tried.update((k, p - q) for k, q in zip(self.item[a:b].tolist(), self.place[a:b].tolist()))
+            times = high - low
+            hit = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
+            # passage and diagonal in one number
+            tried.append((self.item[hit].astype(np.int64) << 32) + (np.repeat(at, times) - self.place[hit] + (1 << 31)))
         best: dict[int, tuple[int, float]] = {}
-        for k, d in tried:
+        for k, d in self._enough(ids, np.unique(np.concatenate(tried))) if tried else ():
             i, passage = self.items[k]
             a, b = max(0, -d), min(len(passage), len(ids) - d)
             leak, matched, share = verdict(passage[a:b] == ids[d + a : d + b], len(passage))
@@ -141,6 +174,19 @@ class Index:
                 best[i] = (matched, share)
         return [(i, *x) for i, x in sorted(best.items())]
 
+    def _enough(self, ids: np.ndarray, tried: np.ndarray, rows: int = 4096) -> Iterator[tuple[int, int]]:
+        """The passages and diagonals that have as many equal words as a leak needs at least."""
+        for at in range(0, len(tried), rows):
+            k, d = tried[at : at + rows] >> 32, (tried[at : at + rows] & 0xFFFFFFFF) - (1 << 31)
+            size = self.size[k]
+            start = np.cumsum(size) - size
+            inside = np.arange(size.sum()) - np.repeat(start, size)
+            place = inside + np.repeat(d, size)
+            fits = (place >= 0) & (place < len(ids))
+            equal = fits & (self.words[np.repeat(self.begin[k], size) + inside] == ids[np.where(fits, place, 0)])
+            good = np.add.reduceat(equal.astype(np.int32), start) >= self.need[k]
+            yield from zip(k[good].tolist(), d[good].tolist())
+
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Index]:
     """The benchmark's blocks, one after another; only distinct texts are collected."""
