@@ -79,3 +79,13 @@ def test_sql_finds_the_same(spark):
     want = {r[0]: dict(zip(found.columns, r)) for r in found.fetchall()}
     got = {r.doc_id: r.asDict() for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_cards_of_separated_digits(spark):
+    texts = ["4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "x 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1 y", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
+    assert [got[i].n_card for i in range(3)] == [1, 1, 0]
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert ([r.n_email, r.n_ip, r.n_card, r.n_phone], r.base_sha256) == brute(t)

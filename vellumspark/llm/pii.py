@@ -100,12 +100,14 @@ def _found(text: Column, kind: str, pattern: str, hint: Column, keep) -> Column:
 def pii_spans(text: Column) -> Column:
     """All base spans and the added spans of ``MIN_SCORE`` or more, by start, then kind."""
     digit = text.rlike("[0-9]{2}")
+    # a card's digits may all stand apart
+    digits = text.rlike(r"[0-9][\x20-]?[0-9]")
     size = lambda s: F.length(_digits(s))
     yes = lambda s: F.lit(True)
     base = [
         _found(text, "email", EMAIL, F.contains(text, F.lit("@")), yes),
         _found(text, "ip", IP, text.rlike(r"[0-9]\.[0-9]"), _is_ip),
-        _found(text, "card", CARD, digit, _has_luhn),
+        _found(text, "card", CARD, digits, _has_luhn),
         _found(text, "phone", PHONE, F.contains(text, F.lit("+")), lambda s: size(s).between(9, 15)),
     ]
     added = [
