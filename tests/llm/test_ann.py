@@ -87,3 +87,14 @@ def test_words_weigh_the_parallel_error_more():
     book.eta = 8.0
     assert parallel(book._choose(left, unit)) < parallel(plain)
     assert aware.shape == (2000, book.pieces)
+
+
+def test_depth_is_measured_over_the_whole_index(spark, monkeypatch):
+    monkeypatch.setattr(ann, "RERANK", 10)  # too few for vectors without clusters
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 64))
+    rows = list(enumerate((x / np.linalg.norm(x, axis=1, keepdims=True)).tolist()))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(ann.search(frame, F.col("vec_id") % 100 == 0).collect())
+    value = recall(got, brute(rows, range(0, 6000, 100)))
+    assert value >= 0.9, value

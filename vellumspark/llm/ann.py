@@ -13,8 +13,11 @@ vector that fills a third of the table is scanned once and can't crowd out other
   from tables of 256 sums, one for each pair of four-bit codes.
 * Each query probes its best cells.  How many is measured when the index is built: as many as
   hold ``PROBE_TARGET`` of the true neighbours of ``PROBE_ASKED`` sampled vectors among the
-  sample.  Clustered vectors need few cells, vectors without any structure most of them.  The best ``RERANK`` candidates are compared exactly with
+  sample.  Clustered vectors need few cells, vectors without any structure most of them.  The best candidates are compared exactly with
   the original vectors in double precision.
+* How many candidates is measured over the whole index: the exact neighbours of ``DEPTH_ASKED``
+  vectors among all vectors are ranked by their codes among all probed ones, and as many are
+  compared as hold ``DEPTH_TARGET`` of them, ``RERANK`` at least.  The probes are raised likewise.
 
 Centres and words are trained on at most ``SAMPLE`` vectors, those of the smallest id hashes;
 every vector is indexed.
@@ -47,6 +50,8 @@ BLOCK_ROWS = 4000
 #: Share of the sample's true neighbours that the probed cells must hold, and vectors that are asked.
 PROBE_TARGET, PROBE_ASKED = 0.98, 256
 RERANK = 100
+#: Share of the true neighbours among all vectors that the compared candidates must hold, and vectors that are asked.
+DEPTH_TARGET, DEPTH_ASKED = 0.96, 128
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -235,6 +240,69 @@ def _scan(shared, top: int):
     return run
 
 
+def _exact(shared, k: int):
+    """The nearest entries in each task of the asked vectors, without themselves."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, q = shared.value
+        for pdf in batches:
+            x, entry = np.array(pdf["v"].tolist(), float), pdf["entry"].to_numpy()
+            far = (x**2).sum(axis=1) / 2 - q @ x.T
+            far[own[:, None] == entry] = np.inf
+            order = np.argsort(far, axis=1, kind="stable")[:, :k]
+            out = pd.DataFrame({"asked": np.repeat(np.arange(len(q)), order.shape[1]), "entry": entry[order].ravel(), "far": np.take_along_axis(far, order, 1).ravel()})
+            yield out[np.isfinite(out["far"])]
+
+    return run
+
+
+def _ahead(shared):
+    """How many probed entries of each task come before each true neighbour by their codes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        book, q, probed, asked, limit = shared.value
+        table_of, count = book.tables(q), np.zeros(len(asked), np.int64)
+        for pdf in batches:
+            near = _nearness(book, q, table_of, pdf)
+            near[~probed[:, pdf["cell"].to_numpy()]] = -np.inf
+            near.sort(axis=1)
+            for i, (a, at) in enumerate(zip(asked, limit)):
+                count[i] += near.shape[1] - np.searchsorted(near[a], at, "right")
+        yield pd.DataFrame({"i": np.arange(len(asked)), "n": count})
+
+    return run
+
+
+def _nearness(book: Codebook, q: np.ndarray, table_of: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
+    code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
+    near = np.zeros((len(q), len(rows)))
+    for b in range(code.shape[1]):
+        near += table_of[:, b, code[:, b]]
+    return near * rows["scale"].to_numpy() + q @ book.centre[rows["cell"].to_numpy()].T - rows["norm2"].to_numpy() / 2
+
+
+def measured(entries: DataFrame, coded: DataFrame, book: Codebook, k: int) -> tuple[int, int]:
+    """Probes and candidates that hold the targets' shares of true neighbours among all entries."""
+    spark = entries.sparkSession
+    some = entries.orderBy(F.xxhash64("entry"), "entry").limit(DEPTH_ASKED).select("entry", "v").toPandas()
+    q = np.array(some["v"].tolist(), float)
+    own = spark.sparkContext.broadcast((some["entry"].to_numpy(), q))
+    close = entries.select("entry", "v").mapInPandas(_exact(own, k), "asked int, entry long, far double")
+    true = _top(close, "asked", ["far", "entry"], k).select("asked", "entry").join(coded, "entry").toPandas()
+    if not len(true):
+        return book.n_probe, RERANK
+    asked = true["asked"].to_numpy()
+    place = np.argsort(book.probes(q, len(book.centre)), axis=1)
+    at = place[asked, true["cell"].to_numpy()]
+    n_probe = max(book.n_probe, int(np.sort(at)[math.ceil(PROBE_TARGET * len(at)) - 1]) + 1)
+    limit = _nearness(book, q, book.tables(q), true)[asked, np.arange(len(true))]
+    shared = spark.sparkContext.broadcast((book, q, place < n_probe, asked, limit))
+    ahead = coded.mapInPandas(_ahead(shared), "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas().set_index("i")["n"]
+    rank = np.where(at < n_probe, ahead.reindex(range(len(true))).to_numpy() + 1, np.inf)
+    depth = np.sort(rank)[math.ceil(DEPTH_TARGET * len(rank)) - 1]
+    return n_probe, max(RERANK, int(depth) + 1)
+
+
 def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     """The ``k`` nearest other rows of each row that ``is_query`` holds for.
 
@@ -251,17 +319,18 @@ def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     book = Codebook(sample_of(entries), math.isqrt(n - 1) + 1)
     shared = spark.sparkContext.broadcast(book)
     coded = materialize(entries.select("entry", "v").mapInPandas(_encode(shared), "entry long, cell int, norm2 double, scale double, code binary"), "ann-codes")
+    n_probe, depth = measured(entries, coded, book, k)
     sizes = coded.groupBy("cell").count()
     parts = sizes.select("cell", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("parts"))
     parts = materialize(parts, "ann-cells")
 
     asked = distinct_vectors(rows.where(is_query), 1).select("entry", "v")
-    probed = asked.mapInPandas(_probe(shared, book.n_probe), "query long, v array<double>, cell int")
+    probed = asked.mapInPandas(_probe(shared, n_probe), "query long, v array<double>, cell int")
     # a crowded cell has several sub-blocks; a query goes to each of them, an entry to one
     left = coded.join(parts, "cell").select("cell", F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int").alias("part"), F.col("entry").alias("id"), "norm2", "scale", "code", F.lit(None).cast("array<double>").alias("v"))
     right = probed.join(parts, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("query").alias("id"), F.lit(None).cast("double").alias("norm2"), F.lit(None).cast("double").alias("scale"), F.lit(None).cast("binary").alias("code"), "v")
-    near = left.union(right).groupBy("cell", "part").applyInPandas(_scan(shared, RERANK), "query long, entry long, near double")
-    best = _top(near, "query", [F.desc("near"), "entry"], RERANK)
+    near = left.union(right).groupBy("cell", "part").applyInPandas(_scan(shared, depth), "query long, entry long, near double")
+    best = _top(near, "query", [F.desc("near"), "entry"], depth)
 
     queries = asked.select(F.col("entry").alias("query"), F.col("v").alias("qv"))
     gap = F.sqrt(F.aggregate(F.zip_with("qv", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
