@@ -45,19 +45,48 @@ def prefix_sums(values: Column) -> Column:
     return let(values, lambda a: F.when(F.size(a) > 0, blocks(a)).otherwise(F.array().cast("array<long>")))
 
 
-def match_spans(text: Column, pattern: str) -> Column:
+def match_spans(text: Column, pattern: str, beside: int = 0, least: int = 1, keep: Callable[[Column], Column] | None = None) -> Column:
     """All matches of a pattern as ``array<struct<start, end, text>>``; code points, end exclusive.
 
     SQL has no ``finditer``: a match starts after the gaps and matches before it.  The pattern
-    must not match the empty string and must not depend on groups.
+    must not match the empty string and must not depend on groups.  ``keep`` is a condition on
+    a match's text.
+
+    With ``beside`` each match also has the characters ``before`` and ``after`` it, so many at
+    most.  They are put together from the ends of the gaps and matches next to it, never cut
+    from the text, whose start may be far away.  No match is shorter than ``least``.
     """
     both = F.struct(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    # so many neighbours hold all the characters that are asked for
+    near = -(-beside // least)
+    head = lambda s: F.substring(s, 1, beside)
+    tail = lambda s: F.when(F.length(s) > beside, F.substring(s, -beside, beside)).otherwise(s)
 
     def spans(b: Column) -> Column:
         hits = b["hit"]
         gone = F.concat(F.array(F.lit(0)), F.transform(hits, F.length))
         steps = F.zip_with(F.slice(b["gap"], 1, F.size(hits)), F.slice(gone, 1, F.size(hits)), lambda g, m: F.length(g) + m)
-        return F.zip_with(hits, prefix_sums(steps), lambda h, s: F.struct(s.alias("start"), (s + F.length(h)).alias("end"), h.alias("text")))
+        whole = F.zip_with(hits, prefix_sums(steps), lambda h, s: F.struct(s.alias("start"), (s + F.length(h)).alias("end"), h.alias("text")))
+        if beside:
+            whole = F.transform(whole, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), i.alias("i")))
+        kept = F.filter(whole, lambda s: keep(s["text"])) if keep else whole
+        if not beside:
+            return kept
+        # the end of each match with the gap before it, the beginning with the gap after it
+        tails = F.zip_with(F.slice(b["gap"], 1, F.size(hits)), hits, lambda g, h: tail(F.concat(tail(g), tail(h))))
+        heads = F.zip_with(hits, F.slice(b["gap"], 2, F.size(hits)), lambda h, g: head(F.concat(head(h), head(g))))
+
+        def sides(x: Column) -> Column:
+            def one(s: Column) -> Column:
+                first = F.greatest(s["i"] - near, F.lit(0))
+                before = tail(F.concat(F.array_join(F.slice(x["tails"], first + 1, s["i"] - first), ""), tail(F.get(b["gap"], s["i"]))))
+                after = head(F.concat(head(F.get(b["gap"], s["i"] + 1)), F.array_join(F.slice(x["heads"], s["i"] + 2, F.lit(near)), "")))
+                return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), before.alias("before"), after.alias("after"))
+
+            return F.transform(x["kept"], one)
+
+        some = let(F.struct(kept.alias("kept"), tails.alias("tails"), heads.alias("heads")), sides)
+        return F.when(F.size(hits) > 0, some).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,text:string,before:string,after:string>>"))
 
     return let(both, spans)
 
