@@ -51,6 +51,47 @@ def test_checksums_and_context_add_spans(spark):
     assert got == {0: "iban:5:32", 1: "", 2: "ssn:4:15", 3: ""}
 
 
+def test_account_numbers_end_where_their_country_says(spark):
+    texts = [
+        "IBAN DE89370400440532013000 BIC COBADEFF", "GB82WEST12345698765432 REF 12", "pay NO93 8601 1117 947 NOW", "DE8937040044053201300 0 X", "XX89370400440532013000", "DE89370400440532013000A",
+        "first DE89370400440532013000, GB82 WEST 1234 5698 7654 32, then FR1420041010050500013M02606 AND",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("iban")] for r in pii.find_pii(docs).collect()}
+    assert got == {0: ["iban:5:27"], 1: ["iban:0:22"], 2: ["iban:4:22"], 3: ["iban:0:23"], 4: [], 5: [], 6: ["iban:6:28", "iban:30:57", "iban:64:91"]}
+
+
+def test_time_grows_with_the_text_only(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    def seconds(n):
+        docs = spark.createDataFrame([(1, "mail a@b.cc " * n)], "doc_id long, text string")
+        began = time.time()
+        assert pii.find_pii(docs).where(F.col("n_email") == n).count() == 1
+        return time.time() - began
+
+    seconds(2_000)
+    assert seconds(40_000) < 3 * seconds(20_000) + 2
+
+
+def test_scores_follow_the_words_beside(spark):
+    import random
+
+    rng = random.Random(6)
+    words = ["card", "visa", "host", "mail", "4111111111111111", "1.2.3.4", "a@b.cc", "plain", "Ωmega", "x" * 30, "+49 30 1234567"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(30))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find_pii(docs).collect():
+        t = texts[r.doc_id]
+        for span, score in zip(filter(None, r.spans.split(",")), r.scores):
+            kind, start, end = span.split(":")
+            base, more, told = pii.SCORES[kind]
+            near = t[max(0, int(start) - pii.CONTEXT) : int(start)] + " " + t[int(end) : int(end) + pii.CONTEXT]
+            assert score == (base + more if re.search(rf"(?i)(?<![a-z0-9])(?:{told})", near) else base), (t, span)
+
+
 def test_whole_table_and_clashing_columns(spark, sf):
     from pyspark.sql import functions as F
 

@@ -2,10 +2,11 @@
 
 Everything is a DataFrame expression.  The patterns are written so that no text makes them
 slow or deep: possessive repeats never give characters back, and a run of characters is only
-tried from its start or from the end of the match before (``\\G``).
+tried from its start or from the end of the match before (``\\G``).  Context is read off the
+gaps and matches beside a span, so the cost grows with a text's length only.
 
 Base kinds (email, ip, card, phone) are reported whatever their score.  The method adds two
-kinds, ``iban`` (mod-97) and ``ssn`` (needs a context word), if they reach ``MIN_SCORE``.
+kinds, ``iban`` (as long as its country has it, mod-97) and ``ssn`` (needs a context word), if they reach ``MIN_SCORE``.
 ``n_email`` to ``n_phone`` and ``base_sha256`` count base spans only.
 
 Defined results: a null text counts as empty and gives a row without spans; spans of different
@@ -23,13 +24,22 @@ KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 MIN_SCORE = 0.6
 #: Code points before and after a span in which context words count.
 CONTEXT = 48
+#: No match of a kind's pattern is shorter.
+LEAST = {"email": 5, "ip": 7, "card": 2, "phone": 3, "iban": 15, "ssn": 11}
 
 # Patterns of each kind.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+# Length of an account number by country (the public IBAN registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = "|".join(rf"(?:{'|'.join(codes.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items())
+IBAN = rf"(?<![A-Za-z0-9])(?:{_IBAN})(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
 # Base score of a confirmed span, what a context word adds, and the words.
@@ -85,15 +95,12 @@ def _found(text: Column, kind: str, pattern: str, hint: Column, keep) -> Column:
     order, (base, more, words) = KINDS.index(kind), SCORES[kind]
 
     def scored(s: Column) -> Column:
-        # the span's first code point is number start + 1; what lies before it starts CONTEXT earlier
-        begin = F.greatest(s["start"] + 1 - CONTEXT, F.lit(1).cast("long")).cast("int")
-        before = F.substring(text, begin, (s["start"] + 1).cast("int") - begin)
-        near = F.concat(before, F.lit(" "), F.substring(text, (s["end"] + 1).cast("int"), F.lit(CONTEXT)))
+        near = F.concat(s["before"], F.lit(" "), s["after"])
         score = F.when(near.rlike(rf"(?i)(?<![a-z0-9])(?:{words})"), F.lit(base + more)).otherwise(F.lit(base))
         return F.struct(s["start"].alias("start"), F.lit(order).alias("ord"), s["end"].alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
 
     none = F.array().cast("array<struct<start:bigint,ord:int,end:bigint,kind:string,score:double>>")
-    spans = F.filter(match_spans(text, pattern), lambda s: keep(s["text"]))
+    spans = match_spans(text, pattern, CONTEXT, LEAST[kind], keep)
     return F.when(hint, F.transform(spans, scored)).otherwise(none)
 
 
@@ -140,7 +147,7 @@ def _oracle() -> str:
         "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "", ""),
         "card": (r"[0-9](?:[\x20-]?[0-9])+", "", ""),
         "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "", ""),
-        "iban": (r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", "^|[^A-Za-z0-9]", "[^A-Za-z0-9]|$"),
+        "iban": (f"(?:{_IBAN})", "^|[^A-Za-z0-9]", "[^A-Za-z0-9]|$"),
         "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "^|[^0-9-]", "[^0-9-]|$"),
     }
     digits = "regexp_replace(hit, '[^0-9]', '', 'g')"
