@@ -37,6 +37,51 @@ def test_streaming_commits_early_and_gives_the_same_ids():
     assert [i for p in parts for i in p] == SP.encode(text[1:])
 
 
+def test_window_stays_small_and_all_paths_pass_its_beginning():
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdethinngs▁,é") for _ in range(6000))
+    window, widest, done = pieces.Lattice(MODEL), 0, 0
+    for c in text:
+        window.extend(c)
+        widest = max(widest, len(window.text))
+        if met := window.met():
+            for j in window.alive[-1]:  # walk each survivor's path
+                while j > met:
+                    j = window.start[j]
+                assert j == met
+            window.commit(met)
+            done += met
+    assert widest <= 4 * MODEL.longest and done > len(text) - widest
+
+
+def test_all_ids_come_from_commits(monkeypatch):
+    import pyarrow.parquet as pq
+
+    model = pieces.PieceModel.load.__wrapped__(PATH)
+    commits, whole, read, plain = {}, [0], pieces.Lattice.ids, pieces.Lattice.commit
+
+    def ids_of(self, at):
+        out = read(self, at)
+        commits[self.text[:at]] = out.tobytes()
+        return out
+
+    def commit(self, at):
+        whole[0] += 1
+        return plain(self, at)
+
+    monkeypatch.setattr(pieces.Lattice, "ids", ids_of)
+    monkeypatch.setattr(pieces.Lattice, "commit", commit)
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist() + LONG
+    got = list(model.encode(texts))
+    assert [ids(x) for x in got] == SP.encode([t or "" for t in texts])
+    # every word's ids are those that a commit has given; longer words are made of several commits
+    for text, raw in zip(texts, got):
+        words = [w for w in model._words("▁" + text.replace(" ", "▁")).split("\0") if w] if text else []
+        if all(len(w) <= pieces.LONGEST_WORD for w in words):
+            assert b"".join(commits[w] for w in words) == raw
+    assert whole[0] > 100
+
+
 def test_long_texts_are_cut_between_words():
     texts = ["some words   more, words.\n" * 50, "x" * 500, *random_texts(50, 2)]
     marked = ["▁" + t.replace(" ", "▁") if t else "" for t in texts]

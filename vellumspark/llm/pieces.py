@@ -1,10 +1,11 @@
 """SentencePiece encoding by a streaming Viterbi, and decoding.
 
 The lattice has a node for each character boundary.  A node keeps one backpointer: the piece
-that ends there on the best path.  Only nodes within the longest piece's length of the end can
-still be extended, so once the paths from all of these meet in one boundary the ids before it
-are committed and their characters forgotten.  A text of any length is encoded in a window of
-a few piece lengths.
+that ends there on the best path.  A boundary survives as long as what follows it is the
+beginning of some piece; paths that go on can only go on from survivors.  So wherever the
+backpointer paths of all survivors meet in one boundary, the ids before it are committed and
+their characters forgotten.  The window is what lies between the last meeting and the end: a
+few piece lengths, however long the text.
 
 What "best" means depends on the model's kind:
 
@@ -14,14 +15,20 @@ What "best" means depends on the model's kind:
   merged on their own, and each prefix has exactly one such row.  So a piece may follow the
   piece on the node's path only if that pair stays apart; pairs are remembered.
 
-So ids equal the sentencepiece library's for a BPE model, which the tests check.  Words whose
-pieces can't reach over a boundary (before a blank, around a newline) are encoded once and
-remembered in a bounded table.
+So ids equal the sentencepiece library's for a BPE model, which the tests check.
+
+All ids come from commits.  Some meetings are known beforehand: between two characters that
+stand side by side in no piece (before a blank, around a newline) nothing survives but the
+boundary itself.  What lies between two such places, a word, is streamed alike wherever it
+stands.  So a worker streams each word once and remembers its commits in a bounded table, and
+new words are streamed in sorted order, each going on from the nodes of what it shares with
+the one before.
 
 Defined results: null and empty texts have no ids; characters without a piece become their
 UTF-8 bytes; U+2581 reads as a blank, as in the library, so it does not survive a round trip;
-bytes that form no character decode to U+FFFD; repeated rows give repeated results; an empty
-table gives an empty result.
+bytes that form no character decode to U+FFFD; texts of any length, without any blank too, are
+encoded whole; repeated rows give repeated results; columns besides id and text are not read;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,10 +51,85 @@ BLANK = "▁"
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZàáâäçèéêëíîïñóôöùúûüß"
 #: Words and pairs that a worker remembers; when there are more it forgets them and starts again.
 CACHED_WORDS, CACHED_PAIRS = 900_000, 1_000_000
-#: Longer words are streamed and not remembered.
+#: Longer words are committed in parts and not remembered.
 LONGEST_WORD = 48
 
 
+class Lattice:
+    """The window: its characters and, for each boundary, piece, start of that piece, score and survivors."""
+
+    def __init__(self, model: "PieceModel"):
+        self.model, self.text = model, ""
+        # node 0 carries the piece before the window
+        self.piece, self.start, self.best, self.alive = [-1], [-1], [0.0], [[0]]
+
+    def rewind(self, n: int) -> None:
+        """Forget all characters after the first ``n``."""
+        self.text = self.text[:n]
+        for nodes in (self.piece, self.start, self.best, self.alive):
+            del nodes[n + 1 :]
+
+    def extend(self, more: str) -> None:
+        """Add a node for each character."""
+        model, piece, start, best, alive = self.model, self.piece, self.start, self.best, self.alive
+        step, pairs, apart, score, merging = model.step.get, model.pairs.get, model.apart, model.score, model.kind == "bpe"
+        i, text = len(self.text), self.text + more
+        self.text = text
+        for i in range(i + 1, len(text) + 1):
+            found, at, here = -1, i - 1, [i]
+            top = best[at] + model.unknown
+            for j in alive[-1]:  # the shortest piece first
+                code = step(text[j:i])
+                if code is None:
+                    continue
+                if code & 1:
+                    here.append(j)
+                if code > 1:
+                    t = (code >> 1) - 1
+                    if not merging:
+                        if best[j] + score[t] > top:
+                            found, at, top = t, j, best[j] + score[t]
+                    elif found < 0:  # exactly one piece fits
+                        p = piece[j]
+                        if p < 0 or (pairs(p << 20 | t) or pairs(p << 20 | t) is None and apart(p, t)):
+                            found, at = t, j
+            piece.append(found)
+            start.append(at)
+            best.append(top)
+            alive.append(here)
+
+    def met(self) -> int:
+        """The last boundary that the paths of all survivors have in common."""
+        heads = set(self.alive[-1])
+        while len(heads) > 1:
+            last = max(heads)
+            heads.remove(last)
+            heads.add(self.start[last])
+        return heads.pop()
+
+    def ids(self, at: int) -> array:
+        """The ids of the path to boundary ``at``."""
+        out, piece, start, text, raw = array("I"), self.piece, self.start, self.text, self.model.bytes_at
+        while at:
+            before = start[at]
+            if piece[at] >= 0:
+                out.append(piece[at])
+            else:
+                out.extend(raw + c for c in reversed(text[before:at].encode("utf-8", "surrogatepass")))
+            at = before
+        out.reverse()
+        return out
+
+    def commit(self, at: int) -> array:
+        """The ids before boundary ``at``, where all paths meet; the window begins there from now on."""
+        out = self.ids(at)
+        self.text, self.piece, self.best = self.text[at:], self.piece[at:], self.best[at:]
+        self.start = [-1, *(j - at for j in self.start[at + 1 :])]
+        # lists before the end are no longer read
+        self.alive = [[]] * len(self.text) + [[j - at for j in self.alive[-1]]]
+        return out
+
+
 class PieceModel:
     """A vocabulary: pieces with scores, and byte pieces for all that has none."""
 
@@ -58,6 +140,9 @@ class PieceModel:
         self.score = [s for _, s in pieces]
         self.id = {p: i for i, (p, s) in enumerate(pieces) if s is not None}
         self.longest = max(map(len, self.id))
+        # what pieces begin with: 1 if longer ones do, and twice the next id if it is a piece itself
+        begun = {p[:k] for p in self.id for k in range(1, len(p))}
+        self.step = {p: (self.id.get(p, -1) + 1) << 1 | (p in begun) for p in begun | set(self.id)}
         self.unknown = min(s for _, s in pieces if s is not None) - 10
         self.words: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
@@ -111,98 +196,32 @@ class PieceModel:
             known = self.pairs[key] = self.merged(x + y) == [x, y]
         return known
 
-    def _node(self, text: str, i: int, piece: list[int], best: list[float]) -> tuple[int, float]:
-        """Piece that ends at boundary i of the best path and that path's score; -1: a character without a piece."""
-        get, found = self.id.get, -1
-        if self.kind == "bpe":
-            # exactly one piece fits, most often a short one
-            for j in range(i - 1, max(0, i - self.longest) - 1, -1):
-                if (t := get(text[j:i])) is not None and ((p := piece[j]) < 0 or self.apart(p, t)):
-                    return t, 0.0
-            return -1, 0.0
-        top = best[i - 1] + self.unknown
-        for j in range(max(0, i - self.longest), i):
-            if (t := get(text[j:i])) is not None and best[j] + self.score[t] > top:
-                found, top = t, best[j] + self.score[t]
-        return found, top
-
-    def _path(self, piece: list[int], end: int) -> list[int]:
-        """Boundaries of the path to ``end``, last first."""
-        out = [end]
-        while end:
-            end -= len(self.names[piece[end]]) if piece[end] >= 0 else 1
-            out.append(end)
-        return out
-
-    def _ids(self, text: str, piece: list[int], path: list[int]) -> list[int]:
-        out: list[int] = []
-        for a, b in zip(path[::-1], path[-2::-1]):
-            out += [piece[b]] if piece[b] >= 0 else [self.bytes_at + c for c in text[a:b].encode("utf-8", "surrogatepass")]
-        return out
-
-    def stream(self, parts: Iterable[str]) -> Iterator[list[int]]:
-        """Ids of the characters of ``parts``, as they are committed.  Node 0 carries the piece before the window."""
-        text, piece, best, limit = "", [-1], [0.0], 4 * self.longest
+    def stream(self, parts: Iterable[str]) -> Iterator[array]:
+        """Ids of the characters of ``parts``, as they are committed."""
+        window = Lattice(self)
         for part in parts:
-            for c in part:
-                text += c
-                t, s = self._node(text, len(text), piece, best)
-                piece.append(t)
-                best.append(s)
-                if len(text) >= limit:
-                    n = len(text)
-                    whole = self._path(piece, n)
-                    common = set(whole)
-                    for end in range(n - self.longest + 1, n):
-                        common &= set(self._path(piece, end))
-                    if met := max(common):
-                        done = whole[whole.index(met) :]
-                        yield self._ids(text, piece, done)
-                        text, piece, best = text[met:], piece[met:], best[met:]
-                        limit = max(4 * self.longest, len(text) + self.longest)
-                    else:
-                        limit = 2 * n
-        if text:
-            yield self._ids(text, piece, self._path(piece, len(text)))
+            for i in range(0, len(part), self.longest):
+                window.extend(part[i : i + self.longest])
+                if met := window.met():
+                    yield window.commit(met)
+        if window.text:
+            yield window.commit(len(window.text))
 
     def _fresh(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct words.  In sorted order each takes over the nodes of what it begins like."""
-        out, before = {}, ""
-        # as in _node and _ids, with the calls written out
-        get, pairs, longest, piece, start = self.id.get, self.pairs, self.longest, [-1], [-1]
+        """Commits of distinct words; nothing survives a word's end but the end itself."""
+        out, window = {}, Lattice(self)
         for word in sorted(words):
-            n = len(word)
-            if n > LONGEST_WORD or self.kind != "bpe":
-                out[word] = np.array([i for some in self.stream([word]) for i in some], "<u4").tobytes()
+            if len(word) > LONGEST_WORD:
+                out[word] = b"".join(some.tobytes() for some in self.stream([word]))
                 continue
             k = 0
-            for a, b in zip(word, before):
+            for a, b in zip(word, window.text):
                 if a != b:
                     break
                 k += 1
-            del piece[k + 1 :], start[k + 1 :]
-            before = word
-            for i in range(k + 1, n + 1):
-                found, at = -1, i - 1
-                for j in range(i - 1, i - longest - 1 if i > longest else -1, -1):
-                    t = get(word[j:i])
-                    if t is not None:
-                        p = piece[j]
-                        if p < 0 or pairs.get(p << 20 | t) or p << 20 | t not in pairs and self.apart(p, t):
-                            found, at = t, j
-                            break
-                piece.append(found)
-                start.append(at)
-            ids, i = array("I"), n
-            while i:
-                j = start[i]
-                if piece[i] >= 0:
-                    ids.append(piece[i])
-                else:
-                    ids.extend(self.bytes_at + c for c in reversed(word[j:i].encode("utf-8", "surrogatepass")))
-                i = j
-            ids.reverse()
-            out[word] = ids.tobytes()
+            window.rewind(k)
+            window.extend(word[k:])
+            out[word] = window.ids(len(word)).tobytes()
         return out
 
     def _rows(self, words: list[str]) -> list[bytes]:
@@ -232,7 +251,7 @@ class PieceModel:
             for k, ids in zip(plain, rows_of([self._words(texts[k]) for k in plain], "\0", self._rows, "<u4")):
                 out[k] = ids
         for k in set(range(len(texts))) - set(plain):
-            out[k] = np.array([i for some in self.stream([texts[k]]) for i in some], "<u4")
+            out[k] = np.frombuffer(b"".join(some.tobytes() for some in self.stream([texts[k]])), "<u4")
         return out
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
