@@ -4,21 +4,26 @@ Fixed masks over windows of four or five words ignore some positions, so a windo
 alike when words there were replaced.  No pattern of replaced words that the verdict accepts
 goes without a hit: the four masks see every one in passages of ``SPAN`` words or more, and
 passages with fewer words get masks of their own for the patterns that the four don't see.
-The masked hashes of all windows of the benchmark and
-of every document are joined; around each hit the passage is laid over the document on the
-hit's diagonal and compared word by word.
+
+The masked hashes of all windows of the documents are joined with those of the benchmark, and
+around each hit the passage is laid over the document on the hit's diagonal and compared word
+by word (by 64-bit hashes of the words).  Both sides of the join are tables; the benchmark is
+never collected.  Before the join most windows are left out by a Bloom filter of the
+benchmark's hashes.  Its size is bounded (``FILTER_BITS``); a benchmark that fills it lets
+more windows through to the join and loses nothing.
+
+Documents are compared in blocks of ``BLOCK`` words, so no task holds a long text for each of
+its hits.
 
 A document leaks a passage if the best stretch of the diagonal (each equal word counts 1, each
 other one -``MISS``, so at least four in five are equal) has ``RUN`` equal words, or all but a
 fifth of a shorter passage; or if ``OVERLAP`` of the whole passage's words are equal there.
 
-The benchmark is dealt into blocks of ``BLOCK_BYTES``; each block's hashes are broadcast and
-joined with all documents where these are read, so no text is shuffled and no broadcast grows
-with the benchmark.  A larger benchmark takes more blocks, not larger ones.
-
-Defined results: words are runs of letters and digits, lower-cased; passages without words, null ones and null or empty texts never
-match; passages with the same words are one, under the smallest id; rows without an id are
-judged like others; empty tables give empty results.
+Defined results: words are runs of letters and digits, lower-cased; passages without words,
+null ones and null or empty texts never match; passages with the same words are one, under the
+smallest id (null: -1); rows without an id and repeated rows are judged like others, each on
+its own; texts and passages of any length are compared whole; columns besides id and text are
+kept and not read; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -27,26 +32,29 @@ import functools
 import itertools
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import small_batches, table
+from .common import materialize, small_batches, table
 
 # The masks; ones are compared, zeros are ignored.
 MASKS = ("1111", "11101", "10111", "11011")
 #: Passages with fewer words have masks of their own.
 SPAN = 10
 RUN, MISS, OVERLAP = 13, 4, 0.7
-BLOCK_BYTES = 4 << 20
-#: Windows are first looked up in a table of so many bits.
-FILTER_BITS = 22
+#: Bits of the filter: so many for each hash of the benchmark, within these powers of two.
+BITS_PER_HASH, FILTER_BITS = 256, (16, 26)
+#: Words of a document that are compared at once.
+BLOCK = 4096
+#: Words whose hashes a worker remembers.
+CACHED_WORDS = 500_000
 WORD = re.compile(r"[^\W_]+")
 SCHEMA = "array<struct<item_id:bigint,matched:int,overlap:double>>"
+WINDOWS = "array<struct<h:bigint,at:int>>"
 
 _RNG = np.random.default_rng(20)
 _COEF = _RNG.integers(1, 1 << 63, SPAN + 1, dtype=np.uint64) | np.uint64(1)
@@ -109,127 +117,171 @@ def _masks(lengths: set[int]) -> list[tuple[str, set[int] | None]]:
     return [(m, None) for m in MASKS] + list(own.items())
 
 
-@dataclass
-class Index:
-    """One block of the benchmark: words, passages and sorted window hashes."""
-
-    number: dict[str, int]
-    items: list[tuple[int, np.ndarray]]
-    masks: list[tuple[str, set[int] | None]]
-    hashes: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
-    near: np.ndarray
-
-    def __post_init__(self) -> None:
-        """All passages' words in one array; where each begins, its size and the equal words that it needs."""
-        self.size = np.array([len(ids) for _, ids in self.items], np.int64)
-        self.begin = np.cumsum(self.size) - self.size
-        self.words = np.concatenate([np.empty(0, np.uint64), *(ids for _, ids in self.items)])
-        self.need = np.array([min(RUN, math.ceil(0.8 * n), math.ceil(OVERLAP * n)) for n in self.size.tolist()], np.int64)
-
-    @staticmethod
-    def build(passages: list[tuple[int, list[str]]]) -> "Index":
-        number: dict[str, int] = {}
-        items = [(i, np.array([number.setdefault(w, len(number) + 1) for w in words], np.uint64)) for i, words in passages]
-        masks = _masks({len(ids) for _, ids in items})
-        parts = []
-        for k, (_, ids) in enumerate(items):
-            for m, own in masks:
-                if own is None or len(ids) in own:
-                    h = _hashes(ids, m)
-                    parts.append((h, np.full(len(h), k, np.int32), np.arange(len(h), dtype=np.int32)))
-        h, item, place = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32))
-        order = np.argsort(h, kind="stable")
-        near = np.zeros(1 << FILTER_BITS, bool)
-        near[h >> np.uint64(64 - FILTER_BITS)] = True
-        return Index(number, items, masks, h[order], item[order], place[order], near)
-
-    def leaks(self, text: str | None) -> list[tuple[int, int, float]]:
-        """Each leaked passage once: id, equal words and share on its best diagonal."""
-        get = self.number.get
-        ids = np.array([get(w, 0) for w in words_of(text)], np.uint64)
-        known = np.concatenate([[0], np.cumsum(ids != 0)])
-        tried = []
-        for m, _ in self.masks:
-            h = _hashes(ids, m)
-            if not len(h):
-                continue
-            # a window with too few benchmark words can't be one of the benchmark's
-            at = np.flatnonzero(known[len(m) :] - known[: len(known) - len(m)] >= m.count("1"))
-            at = at[self.near[h[at] >> np.uint64(64 - FILTER_BITS)]]
-            if not len(at):
-                continue
-            low, high = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
-            times = high - low
-            hit = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
-            # passage and diagonal in one number
-            tried.append((self.item[hit].astype(np.int64) << 32) + (np.repeat(at, times) - self.place[hit] + (1 << 31)))
-        best: dict[int, tuple[int, float]] = {}
-        for k, d in self._enough(ids, np.unique(np.concatenate(tried))) if tried else ():
-            i, passage = self.items[k]
-            a, b = max(0, -d), min(len(passage), len(ids) - d)
-            leak, matched, share = verdict(passage[a:b] == ids[d + a : d + b], len(passage))
-            if leak and matched > best.get(i, (0, 0.0))[0]:
-                best[i] = (matched, share)
-        return [(i, *x) for i, x in sorted(best.items())]
-
-    def _enough(self, ids: np.ndarray, tried: np.ndarray, rows: int = 4096) -> Iterator[tuple[int, int]]:
-        """The passages and diagonals that have as many equal words as a leak needs at least."""
-        for at in range(0, len(tried), rows):
-            k, d = tried[at : at + rows] >> 32, (tried[at : at + rows] & 0xFFFFFFFF) - (1 << 31)
-            size = self.size[k]
-            start = np.cumsum(size) - size
-            inside = np.arange(size.sum()) - np.repeat(start, size)
-            place = inside + np.repeat(d, size)
-            fits = (place >= 0) & (place < len(ids))
-            equal = fits & (self.words[np.repeat(self.begin[k], size) + inside] == ids[np.where(fits, place, 0)])
-            good = np.add.reduceat(equal.astype(np.int32), start) >= self.need[k]
-            yield from zip(k[good].tolist(), d[good].tolist())
-
-
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Index]:
-    """The benchmark's blocks, one after another; only distinct texts are collected."""
-    texts = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
-    size = texts.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    n = max(1, math.ceil(size / block_bytes))
-    for k in range(n):
-        same: dict[tuple[str, ...], list[int]] = defaultdict(list)
-        for text, item in texts.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect():
-            if words := tuple(words_of(text)):
-                same[words].append(-1 if item is None else item)
-        if same:
-            yield Index.build(sorted((min(v), list(k)) for k, v in same.items()))
-
-
-def _leaks(docs: DataFrame, index: Index) -> Column:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+_known: dict[str, int] = {}
 
-    def run(text: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("item_id", "matched", "overlap"), x)) for x in shared.value.leaks(t)] for t in text], dtype=object)
 
-    return F.pandas_udf(run, SCHEMA, F.PandasUDFType.SCALAR)(docs["text"])
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    words, known = words_of(text), _known
+    if len(known) > CACHED_WORDS:
+        known.clear()
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def _passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        words = [word_hashes(t) for t in pdf["text"]]
+        out = pd.DataFrame({"item": pdf["item_id"], "words": [w.view(np.int64) for w in words]})
+        yield out[[len(w) > 0 for w in words]]
+
+
+def passages(benchmark: DataFrame) -> DataFrame:
+    """``item``, ``words`` (their hashes) of each passage with words; equal ones under the smallest id."""
+    texts = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1).cast("long")).alias("item_id"), "text").where("text is not null")
+    some = texts.mapInPandas(_passages, "item long, words array<long>")
+    return some.groupBy("words").agg(F.min("item").alias("item_id")).select(F.monotonically_increasing_id().alias("item"), "item_id", "words")
+
 
+def _seeds(masks: list[tuple[str, set[int] | None]]):
+    """All windows of the passages: masked hash, passage, place."""
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` and a column of the passages that each row leaks (``item_id, matched, overlap``)."""
-    small_batches(docs.sparkSession)
-    found = [_leaks(docs, index) for index in blocks(benchmark, block_bytes)]
-    none = F.array().cast(SCHEMA)
-    return docs.withColumn(name, F.concat(*found) if found else none)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for item, words in zip(pdf["item"], pdf["words"]):
+                words = np.asarray(words, np.int64).view(np.uint64)
+                for m, own in masks:
+                    if own is None or len(words) in own:
+                        h = _hashes(words, m)
+                        yield pd.DataFrame({"h": h.view(np.int64), "item": item, "place": np.arange(len(h), dtype=np.int32)})
+
+    return run
+
+
+def _filter_of(seeds: DataFrame) -> np.ndarray:
+    """The filter's bits, packed; two for each hash.  At most 2 ** FILTER_BITS[1] bits reach the driver."""
+    n = seeds.count()
+    bits = min(max(FILTER_BITS[0], math.ceil(math.log2(max(1, BITS_PER_HASH * n)))), FILTER_BITS[1])
+    one = F.shiftrightunsigned("h", 64 - bits)
+    two = F.shiftrightunsigned("h", 64 - 2 * bits).bitwiseAND(F.lit((1 << bits) - 1))
+    each = seeds.select(F.explode(F.array(one, two)).alias("bit"))
+    held = each.groupBy(F.shiftright("bit", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit & 7 as int))")).alias("set")).toPandas()
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    out[held["byte"].to_numpy()] = held["set"].to_numpy()
+    return out
+
+
+def windows(words: np.ndarray, masks: list[str], held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of a text's windows that the filter lets through."""
+    bits, found, places = int(held.size * 8).bit_length() - 1, [], []
+    for m in masks:
+        h = _hashes(words, m)
+        one = h >> np.uint64(64 - bits)
+        at = np.flatnonzero(held[one >> np.uint64(3)] >> (one & np.uint64(7)).astype(np.uint8) & 1)
+        two = h[at] >> np.uint64(64 - 2 * bits) & np.uint64((1 << bits) - 1)
+        at = at[(held[two >> np.uint64(3)] >> (two & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+        found.append(h[at])
+        places.append(at.astype(np.int32))
+    return (np.concatenate(found), np.concatenate(places)) if found else (np.empty(0, np.uint64), np.empty(0, np.int32))
+
+
+def _seen(shared):
+    """The windows of each text that pass the filter; null if none does."""
+
+    def run(text: pd.Series) -> pd.Series:
+        masks, held = shared.value
+        out = []
+        for t in text:
+            h, at = windows(word_hashes(t), masks, held)
+            out.append([{"h": a, "at": b} for a, b in zip(h.view(np.int64).tolist(), at.tolist())] if len(h) else None)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, WINDOWS, F.PandasUDFType.SCALAR)
+
+
+def _blocks(size: int):
+    """The words of each text in blocks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row, text in zip(pdf["row"], pdf["text"]):
+                words = word_hashes(text).view(np.int64)
+                cut = range(0, len(words), size)
+                yield pd.DataFrame({"row": row, "block": np.arange(len(cut), dtype=np.int32), "words": [words[i : i + size] for i in cut]})
+
+    return run
+
+
+def _best_stretch(equal: Column) -> Column:
+    """As ``best_stretch``, over an array of booleans."""
+    start = F.struct(*[F.lit(0).alias(k) for k in ("sum", "equal", "best_sum", "best")])
+
+    def step(s: Column, e: Column) -> Column:
+        total = s["sum"] + F.when(e, 1).otherwise(-MISS)
+        lost = total < 0
+        total, count = F.when(lost, 0).otherwise(total), F.when(lost, 0).otherwise(s["equal"] + e.cast("int"))
+        more = total > s["best_sum"]
+        return F.struct(total.alias("sum"), count.alias("equal"), F.greatest(total, s["best_sum"]).alias("best_sum"), F.when(more, count).otherwise(s["best"]).alias("best"))
+
+    return F.aggregate(equal, start, step, lambda s: s["best"])
+
+
+def flagged(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``docs`` with ``__vs_row`` and the windows that the filter lets through, the benchmark's passages and their windows; all written."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    items = materialize(passages(benchmark), "leak-passages")
+    lengths = {r.n for r in items.where(F.size("words") < SPAN).select(F.size("words").alias("n")).distinct().collect()}  # SPAN values at most
+    masks = _masks(lengths)
+    seeds = materialize(items.mapInPandas(_seeds(masks), "h long, item long, place int"), "leak-seeds")
+    shared = spark.sparkContext.broadcast(([m for m, _ in masks], _filter_of(seeds)))
+    found = docs.withColumns({"__vs_row": F.monotonically_increasing_id(), "__vs_windows": _seen(shared)(docs["text"])})
+    return materialize(found, "leak-windows"), items, seeds
+
+
+def leaks(found: DataFrame, items: DataFrame, seeds: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``row, item_id, matched, overlap``: each passage that a row leaks once, on its best diagonal."""
+    some = found.where("__vs_windows is not null").select(F.col("__vs_row").alias("row"), F.explode("__vs_windows").alias("w"))
+    hits = some.select("row", F.col("w.h").alias("h"), F.col("w.at").alias("at")).join(seeds.hint("merge"), "h")
+    lines = materialize(hits.select("row", "item", (F.col("at") - F.col("place")).alias("d")).distinct(), "leak-diagonals")
+    rows = lines.select(F.col("row").alias("__vs_hit")).distinct()
+    texts = found.where("__vs_windows is not null").select(F.col("__vs_row").alias("row"), "text")
+    texts = texts.join(rows.hint("merge"), F.col("row") == F.col("__vs_hit"), "left_semi")
+    words = texts.mapInPandas(_blocks(block), "row long, block int, words array<long>").withColumnRenamed("words", "__vs_text")
+    # the part of the passage over each block that it reaches into
+    n = F.size("words")
+    reach = F.sequence(F.floor(F.greatest("d", F.lit(0)) / block).cast("int"), F.floor(F.greatest(F.col("d") + n - 1, F.lit(0)) / block).cast("int"))
+    laid = lines.join(items.hint("merge"), "item").select("row", "item", "item_id", "d", n.alias("n"), "words", F.explode(reach).alias("block"))
+    both = laid.join(words.hint("merge"), ["row", "block"])
+    begin = F.greatest(F.col("block") * block, F.col("d"))
+    end = F.least(F.col("block") * block + F.size("__vs_text"), F.col("d") + F.col("n"))
+    one = F.slice("words", begin - F.col("d") + 1, F.greatest(end - begin, F.lit(0)))
+    two = F.slice("__vs_text", begin - F.col("block") * block + 1, F.greatest(end - begin, F.lit(0)))
+    part = both.select("row", "item", "item_id", "d", "n", F.struct("block", F.zip_with(one, two, lambda x, y: x == y).alias("equal")).alias("part"))
+    whole = part.groupBy("row", "item", "d").agg(F.first("item_id").alias("item_id"), F.first("n").alias("n"), F.flatten(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["equal"])).alias("equal"))
+    judged = whole.select("row", "item_id", "n", _best_stretch(F.col("equal")).alias("stretch"), F.size(F.filter("equal", lambda e: e)).alias("matched"))
+    leak = (F.col("stretch") >= F.least(F.lit(RUN), F.ceil(F.lit(0.8) * F.col("n")))) | (F.col("matched") >= F.lit(OVERLAP) * F.col("n"))
+    best = judged.where(leak).groupBy("row", "item_id").agg(F.max(F.struct("matched", (F.col("matched") / F.col("n")).alias("overlap"))).alias("b"))
+    return best.select("row", "item_id", "b.matched", "b.overlap")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per leaking row: its id, the passages' ids and the largest share of one of them."""
-    narrow = docs.select("doc_id", "text")
-    hit = with_leaks(narrow, benchmark, "leaks").where(F.size("leaks") > 0)
-    field = lambda name: F.transform("leaks", lambda x: x[name])
-    return hit.select("doc_id", F.array_sort(field("item_id")).alias("item_ids"), F.array_max(field("overlap")).alias("overlap"), F.array_max(field("matched")).alias("matched"))
+    found, items, seeds = flagged(docs.select("doc_id", "text"), benchmark)
+    of = leaks(found, items, seeds).groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.max("overlap").alias("overlap"), F.max("matched").alias("matched"))
+    ids = found.where("__vs_windows is not null").select(F.col("__vs_row").alias("row"), "doc_id")
+    return ids.join(of.hint("merge"), "row").select("doc_id", "item_ids", "overlap", "matched")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that leak a passage; same columns."""
-    return with_leaks(docs, benchmark, "__vs_leaks").where(F.size("__vs_leaks") == 0).select(*docs.columns)
+    """``docs`` without the rows that leak a passage; same columns.  Only rows with hits are shuffled."""
+    found, items, seeds = flagged(docs, benchmark)
+    rows = leaks(found, items, seeds).select(F.col("row").alias("__vs_leak")).distinct()
+    clean = found.where("__vs_windows is null")
+    left = found.where("__vs_windows is not null").join(rows.hint("merge"), F.col("__vs_row") == F.col("__vs_leak"), "left_anti")
+    return clean.union(left).select(*docs.columns)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
