@@ -1,30 +1,37 @@
+import re
+
 import numpy as np
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vellumspark.llm import decontam, language
+from vellumspark.llm import language
 
-from .test_decontam import passages_of
+from .test_decontam import brute as brute_leaks, passages_of
+from .test_language import brute_counts, brute_predict
 from .test_lines import brute as brute_lines
-from .test_simhash import brute_print, groups
+from .test_simhash import jaccard_groups
 
 
-def test_stages_equal_brute_force(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    rows = [(i, t) for i, t in rows if (p := model.predict(t))[0] != "und" and p[1] >= language.MIN_SCORE]
+def brute_run(docs, bench):
+    """What is left of ``(doc_id, text, lang)`` rows with distinct ids: id to text."""
+    model = brute_counts([(t, k) for i, t, k in docs if i is not None and not language.is_held_out(i)])
+    rows = [(i, t) for i, t, _ in docs if (p := brute_predict(model, t))[0] != "und" and p[1] >= language.MIN_SCORE]
     rows = list(brute_lines(rows).items())
-    of = groups({i: brute_print(t) for i, t in rows})
+    of = jaccard_groups(dict(rows))
     rows = [(i, t) for i, t in rows if of[i] == i]
-    index = decontam.Index.build(passages_of([(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]))
-    rows = [(i, t) for i, t in rows if not index.leaks(t)]
+    passages = passages_of(bench)
+    return {i: t for i, t in rows if not brute_leaks(t, passages)}
+
+
+def test_stages_equal_brute_force(spark, sf):
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows = brute_run(docs, [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()])
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     got = corpus_pipeline.run(spark, sf).collect()
-    assert {r.doc_id: (r.text, np.frombuffer(r.ids, "<u4").tolist(), r.decoded) for r in got} == {i: (t, sp.encode(t), t) for i, t in rows}
-    assert 0.5 * docs.count() < len(got) < docs.count()
+    assert {r.doc_id: (r.text, np.frombuffer(r.ids, "<u4").tolist(), r.decoded) for r in got} == {i: (t, sp.encode(t), t) for i, t in rows.items()}
+    assert 0.5 * len(docs) < len(got) < len(docs)
 
 
 def test_stages_keep_the_columns(spark, sf):

@@ -13,8 +13,12 @@ fingerprints can meet there, and each is linked to the smallest only.  So the wo
 the bucket, not with its square, and no link between different fingerprints is lost.
 
 The pipeline's near duplicates (``drop_near_duplicates``) have a law of their own: five-word
-shingle sets with a Jaccard similarity of 0.8 or more.  Texts that share one of 40 bands of six
-minima are compared exactly; at a similarity of 0.8 that leaves out 5 pairs in a million.
+shingle sets with a Jaccard similarity of 0.8 or more.  Only texts that share one of 40 bands of
+six minima with another go on; at a similarity of 0.8 that leaves out 5 pairs in a million.  Of
+these, shingles are ordered from the rarest to the most frequent: two sets that are so alike
+share one of their rarest fifth, and where they share the first one says how much they can have
+in common at most.  So in a cloud of copies that were edited too much, each text's own shingles
+keep it from meeting the others, and work grows with the alike texts.
 
 Defined results: a null or empty text, or one of white space only, has fingerprint zero and
 is linked like any other; fewer words than a shingle form one shingle; rows that share an id
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType
 
 from .common import materialize, small_batches, table
@@ -232,27 +236,54 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return sizes.where("5 * i >= 4 * (s - i)").select("a", "b")
 
 
+def _shared(texts: DataFrame) -> DataFrame:
+    """``__vs_node``: the texts that share a band with another."""
+    dealt = texts.select("node", F.explode("s.bands").alias("key"))
+    keys = dealt.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    return dealt.join(keys.hint("merge"), "key", "left_semi").select(F.col("node").alias("__vs_node")).distinct()
+
+
+def rare_shingles(sets: DataFrame) -> DataFrame:
+    """``g, node, n, own, pos``: the shingles among which a text shares one with each that is alike.
+
+    A text's shingles are ordered by the number of texts that hold them; ``pos`` is the place in
+    that order, ``own`` the number of those that no other text has.  Of ``n`` the first
+    ``n - ceil(0.8 n) + 1`` are enough, and those that are its own meet none.
+    """
+    each = sets.select("node", F.size("set").alias("n"), F.explode("set").alias("g"))
+    often = each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    shared = each.join(often.hint("merge"), "g").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("held"))
+    placed = shared.select("node", "n", (F.col("n") - F.size("held")).alias("own"), F.posexplode("held").alias("k", "x"))
+    return placed.select("x.g", "node", "n", "own", (F.col("own") + F.col("k")).alias("pos")).where("pos <= n - ceil(0.8 * n)")
+
+
+#: Whether two texts that first share a shingle at their places may be alike: sizes, and what can follow in both.
+_MAY = "5 * least({x}.n, {y}.n) >= 4 * greatest({x}.n, {y}.n) and 9 * least({x}.n - {x}.pos, {y}.n - {y}.pos) >= 4 * ({x}.n + {y}.n)"
+
+
 def jaccard_links(texts: DataFrame, docs: DataFrame) -> DataFrame:
     """Links ``a, b`` that join all texts of a Jaccard similarity of 0.8 or more.
 
     ``texts`` has a row for each distinct text: ``node`` (hash of the text) and its sketch ``s``.
-    Each text that shares a band is compared with the smallest of that band first; then all
-    pairs of a band whose ends are not joined yet.
+    Each text is compared with one of those that hold the same rare shingle first, the one with
+    the fewest shingles of its own; then all that may be alike and aren't joined yet.
     """
-    by_key = Window.partitionBy("key")
-    dealt = texts.select("node", F.col("s.n").alias("n"), F.explode("s.bands").alias("key"))
-    met = dealt.withColumns({"hub": F.min("node").over(by_key), "last": F.max("node").over(by_key)}).where("hub <> last").drop("last")
-    met = materialize(met, "near-bands")
-    nodes = met.select(F.col("node").alias("__vs_node")).distinct()
+    nodes = materialize(_shared(texts), "near-nodes")
     named = docs.select(F.xxhash64("text").alias("node"), "text")
     some = named.join(nodes.hint("merge"), F.col("node") == F.col("__vs_node"), "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = materialize(some.select("node", F.pandas_udf(_set, "array<long>")("text").alias("set")), "near-sets")
-    stars = met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = materialize(_alike(stars, sets), "near-stars")
+    empty = sets.where(F.size("set") == 0).select(F.col("node").alias("a"))
+    alike = empty.crossJoin(F.broadcast(empty.agg(F.min("a").alias("b")))).where("a <> b")  # with one row
+    rare = materialize(rare_shingles(sets), "near-rare")
+    hubs = materialize(rare.groupBy("g").agg(F.min(F.struct("own", "node", "n", "pos")).alias("hub"), F.count("*").alias("texts")).where("texts > 1").select("g", "hub"), "near-hubs")
+    met = rare.join(hubs.hint("merge"), "g")
+    stars = met.alias("x").where("node <> hub.node").where(_MAY.format(x="x", y="hub"))
+    links = materialize(_alike(stars.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), sets).union(alike), "near-stars")
     root = connected_components(links)
-    left = met.join(root, "node", "left").select("key", "node", "n", "hub", F.coalesce("root", "node").alias("root")).where("node <> hub")
-    x, y = left.alias("x"), left.alias("y")
-    apart = x.join(y, F.expr("x.key = y.key and x.node < y.node and x.root <> y.root and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"))
+    rooted = met.join(root.hint("merge"), "node", "left").select("g", "node", "n", "pos", F.col("hub.node").alias("hub"), F.coalesce("root", "node").alias("root"))
+    rooted = materialize(rooted.where("node <> hub"), "near-rooted")
+    x, y = rooted.alias("x"), rooted.alias("y")
+    apart = x.join(y.hint("merge"), F.expr(f"x.g = y.g and x.node < y.node and x.root <> y.root and {_MAY.format(x='x', y='y')}"))
     rest = materialize(apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "near-rest")
     return links.union(materialize(_alike(rest, sets), "near-links"))
 
