@@ -5,14 +5,19 @@ frequency of its character 5-grams that are known, or of its 4-grams if none is,
 down to single letters.
 
 Word counts cover all training documents: each task counts its own, and the sums meet by
-language and word.  The model keeps the most frequent words of each language, ``MODEL_WORDS``
-in total over all languages, and takes the n-grams from those, weighted by count, so what is
-broadcast is bounded whatever the corpus; every other word counts as unseen.  How many words
-a language keeps is read off a histogram of its counts, so no task ever sees all of them.
-
-Defined results: ``und`` with score 0 for a null text, a text without a letter, or if nothing
-was learned; ties go to the language that sorts first; rows without an id are neither learned
-from nor held out; an empty table gives an empty result.
+language and word.  The n-grams are counted over all of these words, weighted by their counts.
+The model holds the ``MODEL_WORDS`` most frequent words of each language and the ``MODEL_GRAMS``
+most frequent n-grams of each length in each language, with their counts in all languages; so
+what is broadcast grows with the number of languages and not with the corpus, and no language
+is lost.  The cut is exact: it is found from histograms of the counts, and only the entries of
+the last step, a thousandth of the equally frequent ones, are ranked.
+
+Defined results: words are runs of letters (Unicode category L) in lower case; ``und`` with
+score 0 for a null text, a text without a letter, or if nothing was learned; ties go to the
+language that sorts first; equally frequent words are taken by a part of their hash and then in
+order; rows without an id are neither learned from nor held out; repeated rows count and are
+predicted each; texts and words of any length are read whole; other columns are not read; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,21 +30,32 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import materialize, small_batches, table
 
-MODEL_WORDS, MODEL_GRAMS = 200_000, 100_000
+#: Words of a language, and n-grams of each length in it, that the model holds.
+MODEL_WORDS, MODEL_GRAMS = 50_000, 25_000
 ORDERS = (5, 4, 3, 2, 1)
-#: A longer run of letters is not learned as a word; its n-grams still score it.
-LONGEST_WORD = 64
+#: Equally frequent entries are cut by so many parts of their hash.
+PARTS = 1024
 #: Distinct words that a task counts before it passes the sums on.
 HELD_WORDS = 400_000
 #: The score is the posterior as if a text had at most so many words; longer ones are all alike.
 SCORED_WORDS = 20
 MIN_SCORE = 0.5
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+
+
+def _marks() -> str:
+    """Characters that are neither letters nor decimal digits, but count as part of words in patterns."""
+    found = [c for c in range(0x110000) if (x := chr(c)).isalnum() and not x.isalpha() and not x.isdecimal()]
+    ends = [0, *(i for i in range(1, len(found)) if found[i] != found[i - 1] + 1), len(found)]
+    return "".join(f"{chr(found[a])}-{chr(found[b - 1])}" for a, b in zip(ends, ends[1:]))
+
+
+#: A run of letters.
+WORD = re.compile(rf"[^\W\d_{_marks()}]+")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -69,8 +85,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
     """``lang, word, n`` over all rows of ``labelled`` (``text``, ``lang``)."""
     small_batches(labelled.sparkSession)
     known = labelled.select("text", "lang").where("text is not null and lang is not null")
-    parts = known.mapInPandas(_count, "lang string, word string, n long")
-    return parts.where(F.length("word") <= LONGEST_WORD).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return known.mapInPandas(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def grams(word: str, order: int) -> list[str]:
@@ -78,6 +93,70 @@ def grams(word: str, order: int) -> list[str]:
     return [padded[i : i + order] for i in range(max(1, len(padded) - order + 1))]
 
 
+def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: dict[tuple[str, int], dict[str, int]] = defaultdict(dict)
+
+    def drain() -> Iterator[pd.DataFrame]:
+        for (lang, order), of in held.items():
+            yield pd.DataFrame({"lang": lang, "order": order, "gram": list(of), "n": list(of.values())})
+        held.clear()
+
+    for pdf in batches:
+        for lang, word, n in zip(pdf["lang"], pdf["word"], pdf["n"].tolist()):
+            for order in ORDERS:
+                of = held[lang, order]
+                for g in grams(word, order):
+                    of[g] = of.get(g, 0) + n
+        if sum(map(len, held.values())) > HELD_WORDS:
+            yield from drain()
+    yield from drain()
+
+
+def gram_counts(words: DataFrame) -> DataFrame:
+    """``lang, order, gram, n`` over all of ``words`` (``lang, word, n``)."""
+    return words.mapInPandas(_count_grams, "lang string, order int, gram string, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counts: DataFrame, by: list[str], key: str, room: int) -> DataFrame:
+    """The ``room`` entries of each group with the largest ``n``; ties by part of the hash, then by ``key``.
+
+    Two histograms tell where to cut; only the entries of one count and one part are ranked.
+    """
+    spark = counts.sparkSession
+    step, part = F.floor(F.log2("n") * 8).cast("int"), F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+    kinds = ", ".join(f"`{c}` {counts.schema[c].dataType.simpleString()}" for c in by)
+
+    def cut(rows: list, of: int) -> dict[tuple, tuple]:
+        """For each group the last step that is needed, and how many entries come before it."""
+        groups: dict[tuple, list] = defaultdict(list)
+        for r in rows:
+            groups[tuple(r)[: len(by)]].append(tuple(r)[len(by) :])
+        out = {}
+        for g, x in groups.items():
+            held = 0
+            for at in sorted(x, key=lambda y: [-y[0], *y[1:-1]]):  # largest count first, then smallest part
+                out[g] = (at[:of], held)
+                held += at[of]
+                if held >= room - before.get(g, 0):
+                    break
+        return out
+
+    before: dict[tuple, int] = {}
+    first = cut(counts.groupBy(*by, step.alias("step")).count().collect(), 1)  # a few hundred rows a group
+    if not first:
+        return counts.limit(0)
+    before = {g: held for g, (_, held) in first.items()}
+    low = F.broadcast(spark.createDataFrame([(*g, at[0]) for g, (at, _) in first.items()], f"{kinds}, __vs_step int"))
+    last = counts.join(low, by).where(step == F.col("__vs_step"))
+    second = cut(last.groupBy(*by, "n", part.alias("part")).count().collect(), 2)  # at most PARTS rows a count of the step
+    edge = [(*g, first[g][0][0], n, p, room - before[g] - held) for g, ((n, p), held) in second.items()]
+    edges = F.broadcast(spark.createDataFrame(edge, f"{kinds}, __vs_step int, __vs_n long, __vs_part int, __vs_left long"))
+    near = counts.join(edges, by).withColumns({"__vs_s": step, "__vs_p": part})
+    whole = near.where("__vs_s > __vs_step or __vs_s = __vs_step and (n > __vs_n or n = __vs_n and __vs_p < __vs_part)")
+    ranked = near.where("n = __vs_n and __vs_p = __vs_part").withColumn("__vs_rank", F.row_number().over(Window.partitionBy(*by).orderBy(key)))
+    return whole.select(*counts.columns).union(ranked.where("__vs_rank <= __vs_left").select(*counts.columns))
+
+
 @dataclass
 class LanguageModel:
     """Log frequencies: a row for each known word or n-gram, a column for each language."""
@@ -88,29 +167,19 @@ class LanguageModel:
     table: np.ndarray
 
     @staticmethod
-    def fit(rows: pd.DataFrame) -> "LanguageModel":
-        """From ``lang, word, n``, already bounded in number."""
-        langs = sorted(set(rows["lang"]))
+    def of(langs: list[str], held: list[pd.DataFrame]) -> "LanguageModel":
+        """From the counts (``lang, key, n``) of the words and of the n-grams of each length."""
         column = {k: i for i, k in enumerate(langs)}
-        by_word: dict[str, np.ndarray] = {}
-        by_gram: list[dict[str, np.ndarray]] = [{} for _ in ORDERS]
-        for lang, word, n in zip(rows["lang"], rows["word"], rows["n"]):
-            c = column[lang]
-            by_word.setdefault(word, np.zeros(len(langs)))[c] += n
-            for held, order in zip(by_gram, ORDERS):
-                for g in grams(word, order):
-                    if (row := held.get(g)) is None:
-                        row = held[g] = np.zeros(len(langs))
-                    row[c] += n
         names, parts, at = [], [], 0
-        for held in (by_word, *by_gram):
-            kept = sorted(held, key=lambda k: (-held[k].sum(), k))[: MODEL_WORDS if held is by_word else MODEL_GRAMS]
-            names.append({k: at + i for i, k in enumerate(kept)})
-            at += len(kept)
-            if kept:
-                count = np.stack([held[k] for k in kept])
-                parts.append(np.log((count + 0.5) / (count.sum(axis=0) + 0.5 * len(kept))))
-        return LanguageModel(langs, names[0], names[1:], np.concatenate(parts) if parts else np.zeros((0, len(langs))))
+        for rows in held:
+            keys = sorted(set(rows["key"]))
+            row = {k: i for i, k in enumerate(keys)}
+            count = np.zeros((len(keys), len(langs)))
+            np.add.at(count, ([row[k] for k in rows["key"]], [column[k] for k in rows["lang"]]), rows["n"].to_numpy(float))
+            names.append({k: at + i for k, i in row.items()})
+            at += len(keys)
+            parts.append(np.log((count + 0.5) / (count.sum(axis=0) + 0.5 * len(keys))) if keys else count)
+        return LanguageModel(langs, names[0], names[1:], np.concatenate(parts))
 
     def evidence(self, text: str) -> tuple[np.ndarray | None, int]:
         """Sum of the log frequencies of a text's words in each language, and their number."""
@@ -140,26 +209,19 @@ class LanguageModel:
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
+def _held(counts: DataFrame, by: list[str], key: str, room: int) -> pd.DataFrame:
+    """The counts, in all languages, of what is most frequent in one of them; the driver receives these only."""
+    rest = [c for c in by if c != "lang"]
+    kept = most_frequent(counts, by, key, room).select(*rest, key).distinct()
+    return counts.join(kept.hint("merge"), [*rest, key]).select("lang", *rest, F.col(key).alias("key"), "n").toPandas()
+
+
 def fit(labelled: DataFrame) -> LanguageModel:
-    """Learn from all rows of ``labelled``; the driver receives the model's words only."""
-    counts = materialize(word_counts(labelled), "lang-words")
-    step = F.floor(F.log2("n") * 8).cast("int")
-    hist = defaultdict(dict)
-    for lang, b, k in counts.groupBy("lang", step.alias("b")).count().collect():  # a few hundred rows a language
-        hist[lang][b] = k
-    if not hist:
-        return LanguageModel.fit(pd.DataFrame({"lang": [], "word": [], "n": []}))
-    room, least = MODEL_WORDS // len(hist), []
-    for lang, of in hist.items():
-        total, low = 0, max(of) + 1
-        for b in sorted(of, reverse=True):
-            if total + of[b] > room:
-                break
-            total, low = total + of[b], b
-        least.append((lang, low))
-    floor = F.broadcast(counts.sparkSession.createDataFrame(least, "lang string, low int"))
-    kept = counts.join(floor, "lang").where(step >= F.col("low")).select("lang", "word", "n")
-    return LanguageModel.fit(kept.toPandas())
+    """Learn from all rows of ``labelled``."""
+    words = materialize(word_counts(labelled), "lang-words")
+    some = materialize(gram_counts(words), "lang-grams")
+    known, parts = _held(words, ["lang"], "word", MODEL_WORDS), _held(some, ["lang", "order"], "gram", MODEL_GRAMS)
+    return LanguageModel.of(sorted(set(known["lang"])), [known, *(parts[parts["order"] == order] for order in ORDERS)])
 
 
 def predictions(docs: DataFrame, model: LanguageModel) -> Column:
@@ -184,8 +246,6 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """Drop the documents without a language: no letters, or no language with ``min_score``."""
     model = fit(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
-    if not model.langs:
-        return docs.limit(0)
     said = docs.withColumn("__vs_said", predictions(docs, model))
     return said.where((F.col("__vs_said.lang") != UNKNOWN) & (F.col("__vs_said.score") >= min_score)).select(*docs.columns)
 
