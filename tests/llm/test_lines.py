@@ -16,8 +16,8 @@ def long(line):
     return line.count(" ") >= lines.LONG_LINE
 
 
-def chunks(text):
-    all_lines = text.split("\n")
+def chunks(all_lines):
+    """First line and end of each chunk that counts."""
     hs = [0, *map(h, all_lines)]
     roll = [((a << 1) & M) ^ (a >> 63) ^ b for a, b in zip(hs, hs[1:])]
     roll = [r - (1 << 64) if r >> 63 else r for r in roll]
@@ -25,28 +25,44 @@ def chunks(text):
     for i in range(len(roll)):
         alone = long(all_lines[i]) or i + 1 < len(roll) and long(all_lines[i + 1])
         if alone or i == len(roll) - 1 or i and roll[i] < roll[i - 1] and roll[i] <= roll[i + 1]:
-            out.append(all_lines[begin : i + 1])
+            if i + 1 - begin >= 2 or long(all_lines[begin]):
+                out.append((begin, i + 1))
             begin = i + 1
     return out
 
 
+def runs(all_lines):
+    """The shortest run of several lines with over fifty words from each line that isn't blank."""
+    out = []
+    for a, line in enumerate(all_lines):
+        if not line.strip(" "):
+            continue
+        n = 0
+        for b in range(a, len(all_lines)):
+            if all_lines[b].strip(" "):
+                n += all_lines[b].count(" ") + 1
+                if n > lines.LONG_LINE:
+                    if b > a:
+                        out.append((a, b + 1))
+                    break
+    return out
+
+
 def brute(rows):
     """rows: (doc_id, text) with distinct ids."""
-    seen, out = {}, {}
+    first, out = {}, {}
     for i, t in sorted(rows, key=lambda r: r[0]):
         if t is None:
             out[i] = None
             continue
-        kept = []
-        for c in chunks(t):
-            key = "\n".join(c)
-            counts = len(c) >= 2 or long(key)
-            if counts and key in seen:
-                continue
-            if counts:
-                seen.setdefault(key, i)
-            kept.append(key)
-        out[i] = "\n".join(kept)
+        all_lines, gone = t.split("\n"), set()
+        for kind, parts in enumerate((chunks(all_lines), runs(all_lines))):
+            for a, b in parts:
+                key = kind, "\n".join(all_lines[a:b])
+                j, end = first.setdefault(key, (i, b))
+                if j != i or a >= end:
+                    gone |= set(range(a, b))
+        out[i] = "\n".join(x for k, x in enumerate(all_lines) if k not in gone)
     return out
 
 
@@ -69,10 +85,39 @@ def test_long_lines_are_passages_of_their_own(spark):
     assert got == {0: rows[0][1], 9: rows[5][1]} | {i: f"own {i}\nlast {i}" for i in range(1, 5)}
 
 
-def test_chunks_give_the_text_back(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    bad = docs.where(F.array_join(F.transform(lines.line_chunks(F.col("text")), lambda c: c["text"]), "\n") != F.col("text"))
-    assert bad.count() == 0
+def test_short_passages_in_other_surroundings_go(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows, planted = [], []
+    for k in range(2, 7):  # passages of 2 to 6 lines with 60 words
+        for _ in range(6):
+            planted.append([line(60 // k) for _ in range(k)])
+    for passage in planted:
+        for _ in range(3):
+            rows.append((len(rows), "\n".join([line(8) for _ in range(rng.randrange(1, 9))] + passage + [line(8) for _ in range(rng.randrange(1, 9))])))
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    for k, passage in enumerate(planted):
+        text = "\n".join(passage)
+        assert [text in got[3 * k + j] for j in range(3)] == [True, False, False]
+        for j in range(3):  # all own lines stay
+            assert all(x in got[3 * k + j] for x in rows[3 * k + j][1].split("\n") if x not in passage)
+
+
+def test_bytes_decide_where_hashes_meet(spark, monkeypatch):
+    plain = lines.occurrences
+    monkeypatch.setattr(lines, "occurrences", lambda t: F.transform(plain(t), lambda o: o.withField("h", F.lit(7).cast("long"))))
+    passage = [f"passage {i} line" for i in range(9)]
+    rows = [(i, "\n".join([f"own {i} a", f"own {i} b"] + passage + [f"end {i}"])) for i in range(5)] + [(9, "other\ntext")]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_long_texts_and_repeated_lines(spark):
+    rows = [(1, "x\n" * 20_000), (2, "\n".join(f"line {i % 700} of it" for i in range(20_000))), (3, "y " * 200_000), (4, "y " * 200_000), (5, "\n" * 5000)]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and got[4] == ""
 
 
 def test_whole_table_equals_brute_force(spark, sf):
@@ -90,4 +135,6 @@ def test_columns_null_ids_repeats_and_empty(spark):
     texts = sorted((r.h, r.text) for r in got.collect() if r.text is not None)
     assert [t for k, t in texts if k == "a"] == [text, text] and len(texts[2][1]) < len(text)
     assert all(r.n_chars == len(r.text) for r in got.collect() if r.h == "b")
+    clashing = docs.withColumns({"a": F.lit(1), "b": F.lit("x"), "run": F.lit(2), "id": F.lit(3), "th": F.lit(4), "lines": F.lit(5)})
+    assert lines.dedup_lines(clashing).columns == clashing.columns and lines.dedup_lines(clashing).count() == 4
     assert lines.dedup_lines(docs.limit(0)).collect() == []

@@ -6,102 +6,161 @@ cut alike wherever it stands, and no two neighbours can both be ends: chunks hav
 on average and two at least, but for a text's last one.  A line of over ``LONG_LINE`` words is
 a passage of several lines that only lacks the breaks: it is a chunk of its own.
 
-A chunk of several lines, or such a line, that occurs more than once in the corpus stays where
-it first occurs (smallest id, then text hash, then place) and is removed elsewhere.
+A passage of few lines may lie between the ends.  So beside the chunks each line that isn't
+blank begins a run: the shortest row of lines from there, two or more, with over ``LONG_LINE``
+words.  Runs are taken for repeated by the same steps as chunks.
 
-Occurrences are grouped by the chunk's own bytes with partial sums, which compares the bytes
-and counts a frequent passage once per task; a hash then only names the group.  Should two
-texts share a hash, both stay in place.  All expressions run in the JVM.
+A chunk of several lines, a long line or a run that occurs more than once in the corpus stays
+where it first occurs (smallest id, then text hash, then line) and is removed elsewhere.  An
+occurrence that begins inside the first one stays too.  Each line that goes still stands at an
+earlier place, so nothing is lost altogether.
 
-Defined results: a null or empty text stays as it is; a text that loses all its chunks
+First the hashes of all chunks and runs are counted; only those that occur twice are compared
+by their bytes, and where hashes met by chance the bytes decide.  Sums are partial, so a
+frequent passage is counted once per task.  All expressions run in the JVM.
+
+Defined results: a null or empty text stays as it is; a text that loses all its lines
 becomes empty, its row stays; rows with one id and one text count as one document and are
-treated alike; ``n_chars``, if there, follows the text; other columns are untouched; an empty
-table gives an empty one.
+treated alike; ``n_chars``, if there, follows the text; texts and lines of any length are read
+whole; other columns, whatever their names, are untouched; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.arrays import let
+from ..functions.arrays import let, prefix_sums
 from .common import materialize, table
 
 MIN_LINES, LONG_LINE = 2, 50
 
 
+def blanks(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+
+
 def is_long(line: Column) -> Column:
     """A line of over ``LONG_LINE`` words, told by its blanks."""
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= LONG_LINE
+    return blanks(line) >= LONG_LINE
 
 
-def line_chunks(text: Column) -> Column:
-    """``array<struct<n, text>>``: the chunks of a text, in order; joined by newlines they give it back."""
+def chunk_ends(lines: Column) -> Column:
+    """For each chunk the number of lines up to its end."""
+    hashes = F.transform(lines, lambda x: F.xxhash64(x))
 
-    def cut(lines: Column) -> Column:
-        hashes = F.transform(lines, lambda x: F.xxhash64(x))
+    def roll(h: Column) -> Column:
+        before = F.concat(F.array(F.lit(0).cast("long")), F.slice(h, F.lit(1), F.size(h) - 1))
+        return F.zip_with(before, h, lambda a, b: F.shiftleft(a, 1).bitwiseXOR(F.shiftrightunsigned(a, 63)).bitwiseXOR(b))
 
-        def roll(h: Column) -> Column:
-            before = F.concat(F.array(F.lit(0).cast("long")), F.slice(h, F.lit(1), F.size(h) - 1))
-            return F.zip_with(before, h, lambda a, b: F.shiftleft(a, 1).bitwiseXOR(F.shiftrightunsigned(a, 63)).bitwiseXOR(b))
+    def ends(r: Column) -> Column:
+        low = lambda x, i: (x < F.get(r, i - 1)) & (x <= F.get(r, i + 1))
+        alone = lambda i: F.coalesce(is_long(F.get(lines, i)), F.lit(False))
+        end = lambda x, i: low(x, i) | alone(i) | alone(i + 1) | (i == F.size(r) - 1)
+        return F.filter(F.transform(r, lambda x, i: F.when(end(x, i), i + 1)), lambda e: e.isNotNull())
 
-        def ends(r: Column) -> Column:
-            low = lambda x, i: (x < F.get(r, i - 1)) & (x <= F.get(r, i + 1))
-            alone = lambda i: F.coalesce(is_long(F.get(lines, i)), F.lit(False))
-            end = lambda x, i: low(x, i) | alone(i) | alone(i + 1) | (i == F.size(r) - 1)
-            return F.filter(F.transform(r, lambda x, i: F.when(end(x, i), i + 1)), lambda e: e.isNotNull())
+    return let(let(hashes, roll), ends)
 
-        def parts(e: Column) -> Column:
-            begin = F.concat(F.array(F.lit(0)), F.slice(e, F.lit(1), F.size(e) - 1))
-            return F.zip_with(begin, e, lambda a, b: F.struct((b - a).alias("n"), F.array_join(F.slice(lines, a + 1, b - a), "\n").alias("text")))
 
-        return let(let(let(hashes, roll), ends), parts)
+def _part(lines: Column, a: Column, b: Column) -> Column:
+    return F.array_join(F.slice(lines, a + 1, b - a), "\n")
 
-    return let(F.split(text, "\n", -1), cut)
 
+def _chunks(lines: Column) -> Column:
+    """``array<struct<a, b>>``: first line and end of each chunk that counts."""
 
-def _occurrences(docs: DataFrame, *more: str) -> DataFrame:
-    """Chunks of several lines, and long lines, with their place; ``text`` on request."""
-    named = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), F.posexplode(line_chunks(F.col("text"))).alias("pos", "c"))
-    return named.where((F.col("c.n") >= MIN_LINES) | is_long(F.col("c.text"))).select("id", "th", "pos", F.xxhash64("c.text").alias("h"), *more)
+    def parts(e: Column) -> Column:
+        begin = F.concat(F.array(F.lit(0)), F.slice(e, F.lit(1), F.size(e) - 1))
+        return F.filter(F.zip_with(begin, e, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda c: (c["b"] - c["a"] >= MIN_LINES) | is_long(F.get(lines, c["a"])))
 
+    return let(chunk_ends(lines), parts)
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """``h``, ``first`` (place that stays) and ``times`` of each repeated chunk."""
-    place = F.min(F.struct("id", "th", "pos")).alias("first")
-    # grouped by the bytes themselves; h follows from them
-    same = _occurrences(docs, "c.text").groupBy("text").agg(F.count("*").alias("times"), place, F.first("h").alias("h"))
-    by_hash = same.select("h", "times", "first").groupBy("h").agg(F.count("*").alias("texts"), F.sum("times").alias("times"), F.min("first").alias("first"))
-    return by_hash.where("texts = 1 and times > 1").select("h", "first", "times")
 
+def _runs(lines: Column) -> Column:
+    """``array<struct<a, b>>``: the shortest run of over ``LONG_LINE`` words from each line on."""
+    worded = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), (blanks(x) + 1).alias("n"), (F.trim(x) != "").alias("w"))), lambda x: x["w"])
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` without the repeated chunks; same columns and rows."""
-    repeated = materialize(repeated_chunks(docs), "line-chunks")
-    gone = (
-        _occurrences(docs)
-        .join(repeated.hint("merge"), "h")
-        .where(~F.struct("id", "th", "pos").eqNullSafe(F.col("first")))
-        .groupBy("id", "th")
-        .agg(F.collect_set("pos").alias("__vs_gone"))
-        .withColumnsRenamed({"id": "__vs_id", "th": "__vs_th"})
-    )
-    gone = materialize(gone, "line-gone")
-
-    def rebuilt(c: Column) -> Column:
-        left = F.array_except(F.sequence(F.lit(0), F.size(c) - 1), F.col("__vs_gone"))
-        return F.array_join(F.transform(left, lambda i: F.get(c, i)["text"]), "\n")
-
-    text = F.when(F.col("__vs_gone").isNull(), docs["text"]).otherwise(let(line_chunks(docs["text"]), rebuilt))
+    def of(at: Column) -> Column:
+        def over(total: Column) -> Column:
+            both = F.struct(at.alias("at"), total.alias("total"))
+
+            def run(x: Column, k: Column) -> Column:
+                # lines from k on with which the run is still too short; each has a word, so LONG_LINE are enough
+                before = F.get(total, k) - x["n"]
+                short = F.size(F.filter(F.slice(total, k + 1, LONG_LINE), lambda t: t - before <= LONG_LINE))
+                last = F.get(at, k + short)
+                return F.when((short > 0) & last.isNotNull(), F.struct(x["i"].alias("a"), (last["i"] + 1).alias("b")))
+
+            return F.filter(F.transform(both["at"], run), lambda r: r.isNotNull())
+
+        return let(prefix_sums(F.transform(at, lambda x: x["n"])), over)
+
+    # a text of so few words has none
+    return F.when(F.aggregate(lines, F.lit(0), lambda s, x: s + blanks(x) + 1) > LONG_LINE, let(worded, of)).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+
+
+def occurrences(text: Column) -> Column:
+    """``array<struct<a, b, run, h>>``: lines ``a`` to ``b``, exclusive, of each chunk and each run, and their hash."""
+
+    def both(lines: Column) -> Column:
+        named = lambda parts, run: F.transform(parts, lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"), F.lit(run).alias("run"), F.xxhash64(_part(lines, c["a"], c["b"])).alias("h")))
+        return F.concat(named(_chunks(lines), False), named(_runs(lines), True))
+
+    return let(F.split(text, "\n", -1), both)
+
+
+#: A second hash of the bytes: with the first it names a group of equal bytes.
+def _second(text: Column) -> Column:
+    return F.xxhash64(F.lit(1), text)
+
+
+def _flagged(docs: DataFrame) -> DataFrame:
+    """``docs``, the hash of each text and ``__vs_seen``: its chunks and runs whose hash occurs twice."""
+    each = docs.where("text is not null").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), F.explode(occurrences(F.col("text"))).alias("o"))
+    found = materialize(each.select("id", "th", "o.*"), "line-occurrences")
+    twice = materialize(found.groupBy("run", "h").count().where("count > 1").select("run", "h"), "line-twice")
     # merged at every size: the plan, and what it moves, does not change as the corpus grows
-    joined = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__vs_id")) & (F.xxhash64(docs["text"]) == F.col("__vs_th")), "left")
-    out = {"text": text}
+    seen = found.join(twice.hint("merge"), ["run", "h"], "left_semi").groupBy("id", "th").agg(F.collect_set(F.struct("a", "b", "run", "h")).alias("__vs_seen"))
+    seen = seen.withColumnsRenamed({"id": "__vs_id", "th": "__vs_of"})
+    hashed = docs.withColumn("__vs_th", F.xxhash64("text"))
+    on = hashed["doc_id"].eqNullSafe(F.col("__vs_id")) & (hashed["__vs_th"] == F.col("__vs_of"))
+    return materialize(hashed.join(seen.hint("merge"), on, "left").drop("__vs_id", "__vs_of"), "line-texts")
+
+
+def _gone(flagged: DataFrame) -> DataFrame:
+    """``id, th, lines``: the lines of each text that occurred before."""
+    lines = F.split("text", "\n", -1)
+    parts = let(lines, lambda x: F.transform(F.col("__vs_seen"), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), s["run"].alias("run"), s["h"].alias("h"), _part(x, s["a"], s["b"]).alias("text"))))
+    each = flagged.where("__vs_seen is not null").select(F.col("doc_id").alias("id"), F.col("__vs_th").alias("th"), F.explode(parts).alias("o")).select("id", "th", "o.*")
+    place = F.struct("id", "th", "a", "b")
+    # grouped by the bytes themselves; their hashes follow from them
+    same = each.groupBy("run", "text").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("h").alias("h")).where("first <> last")
+    same = materialize(same.select("run", "h", _second(F.col("text")).alias("h2"), "first"), "line-first")
+    own = each.select("id", "th", "a", "b", "run", "h", _second(F.col("text")).alias("h2"))
+    later = own.join(same.hint("merge"), ["run", "h", "h2"]).where(~(F.struct("id", "th").eqNullSafe(F.struct("first.id", "first.th")) & (F.col("a") < F.col("first.b"))))
+    lost = F.array_distinct(F.flatten(F.collect_list(F.sequence("a", F.col("b") - 1))))
+    return materialize(later.select("id", "th", "a", "b").distinct().groupBy("id", "th").agg(lost.alias("lines")), "line-gone")
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` without the repeated chunks and runs; same columns and rows."""
+    flagged = _flagged(docs)
+    gone = _gone(flagged).withColumnsRenamed({"id": "__vs_id", "th": "__vs_of", "lines": "__vs_gone"})
+    on = flagged["doc_id"].eqNullSafe(F.col("__vs_id")) & (flagged["__vs_th"] == F.col("__vs_of"))
+    some = flagged.where("__vs_seen is not null").join(gone.hint("merge"), on, "left")
+
+    def rebuilt(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__vs_gone"))
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    changed = F.col("__vs_gone").isNotNull()
+    out = {"text": F.when(changed, let(F.split("text", "\n", -1), rebuilt)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out["n_chars"] = F.when(F.col("__vs_gone").isNull(), docs["n_chars"]).otherwise(F.length(text).cast(kind))
-    return joined.select(*[out[c].alias(c) if c in out else docs[c] for c in docs.columns])
+        out["n_chars"] = F.when(changed, F.length(out["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    some = some.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])
+    return flagged.where("__vs_seen is null").select(*[F.col(f"`{c}`") for c in docs.columns]).union(some)
 
 
 def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's text without repeated chunks, and how many characters went."""
+    """Each document's text without repeated chunks and runs, and how many characters are left."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs.withColumn("n_chars", F.length("text"))).select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars"))
