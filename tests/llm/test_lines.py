@@ -13,7 +13,7 @@ def h(s):
 
 
 def long(line):
-    return line.count(" ") >= lines.LONG_LINE
+    return bool(line.strip(" ")) and line.count(" ") >= lines.LONG_LINE
 
 
 def chunks(all_lines):

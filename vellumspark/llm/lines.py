@@ -35,16 +35,13 @@ from .common import materialize, table
 MIN_LINES, LONG_LINE = 2, 50
 
 
-def blanks(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+def word_count(line: Column) -> Column:
+    """Words of a line, told by its blanks; 0 for a blank line."""
+    blanks = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.when(blanks < F.octet_length(line), blanks + 1).otherwise(0)
 
 
-def is_long(line: Column) -> Column:
-    """A line of over ``LONG_LINE`` words, told by its blanks."""
-    return blanks(line) >= LONG_LINE
-
-
-def chunk_ends(lines: Column) -> Column:
+def chunk_ends(lines: Column, words: Column) -> Column:
     """For each chunk the number of lines up to its end."""
     hashes = F.transform(lines, lambda x: F.xxhash64(x))
 
@@ -54,7 +51,7 @@ def chunk_ends(lines: Column) -> Column:
 
     def ends(r: Column) -> Column:
         low = lambda x, i: (x < F.get(r, i - 1)) & (x <= F.get(r, i + 1))
-        alone = lambda i: F.coalesce(is_long(F.get(lines, i)), F.lit(False))
+        alone = lambda i: F.coalesce(F.get(words, i) > LONG_LINE, F.lit(False))
         end = lambda x, i: low(x, i) | alone(i) | alone(i + 1) | (i == F.size(r) - 1)
         return F.filter(F.transform(r, lambda x, i: F.when(end(x, i), i + 1)), lambda e: e.isNotNull())
 
@@ -65,47 +62,45 @@ def _part(lines: Column, a: Column, b: Column) -> Column:
     return F.array_join(F.slice(lines, a + 1, b - a), "\n")
 
 
-def _chunks(lines: Column) -> Column:
+def _chunks(lines: Column, words: Column) -> Column:
     """``array<struct<a, b>>``: first line and end of each chunk that counts."""
 
     def parts(e: Column) -> Column:
         begin = F.concat(F.array(F.lit(0)), F.slice(e, F.lit(1), F.size(e) - 1))
-        return F.filter(F.zip_with(begin, e, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda c: (c["b"] - c["a"] >= MIN_LINES) | is_long(F.get(lines, c["a"])))
-
-    return let(chunk_ends(lines), parts)
+        return F.filter(F.zip_with(begin, e, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda c: (c["b"] - c["a"] >= MIN_LINES) | (F.get(words, c["a"]) > LONG_LINE))
 
+    return let(chunk_ends(lines, words), parts)
 
-def _runs(lines: Column) -> Column:
-    """``array<struct<a, b>>``: the shortest run of over ``LONG_LINE`` words from each line on."""
-    worded = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), (blanks(x) + 1).alias("n"), (F.trim(x) != "").alias("w"))), lambda x: x["w"])
 
-    def of(at: Column) -> Column:
-        def over(total: Column) -> Column:
-            both = F.struct(at.alias("at"), total.alias("total"))
+def _runs(words: Column) -> Column:
+    """``array<struct<a, b>>``: the shortest run of several lines with over ``LONG_LINE`` words from each line on."""
 
-            def run(x: Column, k: Column) -> Column:
-                # lines from k on with which the run is still too short; each has a word, so LONG_LINE are enough
-                before = F.get(total, k) - x["n"]
-                short = F.size(F.filter(F.slice(total, k + 1, LONG_LINE), lambda t: t - before <= LONG_LINE))
-                last = F.get(at, k + short)
-                return F.when((short > 0) & last.isNotNull(), F.struct(x["i"].alias("a"), (last["i"] + 1).alias("b")))
+    def of(x: Column) -> Column:
+        at, total = x["at"], x["total"]
 
-            return F.filter(F.transform(both["at"], run), lambda r: r.isNotNull())
+        def run(i: Column, k: Column) -> Column:
+            # lines from k on with which the run is still too short; each has a word, so LONG_LINE are enough
+            most = F.get(total, k) - F.get(words, i) + LONG_LINE
+            short = F.size(F.filter(F.slice(total, k + 1, LONG_LINE), lambda t: t <= most))
+            return F.when(short > 0, F.struct(i.alias("a"), (F.get(at, k + short) + 1).alias("b")))
 
-        return let(prefix_sums(F.transform(at, lambda x: x["n"])), over)
+        return F.filter(F.transform(at, run), lambda r: r["b"].isNotNull())
 
+    worded = F.struct(F.filter(F.transform(words, lambda n, i: F.when(n > 0, i)), lambda i: i.isNotNull()).alias("at"), prefix_sums(F.filter(words, lambda n: n > 0)).alias("total"))
     # a text of so few words has none
-    return F.when(F.aggregate(lines, F.lit(0), lambda s, x: s + blanks(x) + 1) > LONG_LINE, let(worded, of)).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+    enough = F.aggregate(words, F.lit(0), lambda s, n: s + n) > LONG_LINE
+    return F.when(enough, let(worded, of)).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
 
 
 def occurrences(text: Column) -> Column:
     """``array<struct<a, b, run, h>>``: lines ``a`` to ``b``, exclusive, of each chunk and each run, and their hash."""
 
-    def both(lines: Column) -> Column:
+    def both(x: Column) -> Column:
+        lines, words = x["lines"], x["words"]
         named = lambda parts, run: F.transform(parts, lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"), F.lit(run).alias("run"), F.xxhash64(_part(lines, c["a"], c["b"])).alias("h")))
-        return F.concat(named(_chunks(lines), False), named(_runs(lines), True))
+        return F.concat(named(_chunks(lines, words), False), named(_runs(words), True))
 
-    return let(F.split(text, "\n", -1), both)
+    return let(F.split(text, "\n", -1), lambda lines: let(F.struct(lines.alias("lines"), F.transform(lines, word_count).alias("words")), both))
 
 
 #: A second hash of the bytes: with the first it names a group of equal bytes.
