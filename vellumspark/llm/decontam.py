@@ -50,11 +50,9 @@ RUN, MISS, OVERLAP = 13, 4, 0.7
 BITS_PER_HASH, FILTER_BITS = 256, (16, 26)
 #: Words of a document that are compared at once.
 BLOCK = 4096
-#: Words whose hashes a worker remembers.
-CACHED_WORDS = 500_000
+#: Words whose hashes a worker remembers, and words of several texts that are hashed together.
+CACHED_WORDS, TOGETHER = 200_000, 1 << 16
 WORD = re.compile(r"[^\W_]+")
-SCHEMA = "array<struct<item_id:bigint,matched:int,overlap:double>>"
-WINDOWS = "array<struct<h:bigint,at:int>>"
 
 _RNG = np.random.default_rng(20)
 _COEF = _RNG.integers(1, 1 << 63, SPAN + 1, dtype=np.uint64) | np.uint64(1)
@@ -125,9 +123,8 @@ def word_hashes(text: str | None) -> np.ndarray:
     words, known = words_of(text), _known
     if len(known) > CACHED_WORDS:
         known.clear()
-    for w in words:
-        if w not in known:
-            known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
@@ -173,32 +170,52 @@ def _filter_of(seeds: DataFrame) -> np.ndarray:
     return out
 
 
-def windows(words: np.ndarray, masks: list[str], held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of a text's windows that the filter lets through."""
-    bits, found, places = int(held.size * 8).bit_length() - 1, [], []
+def windows(texts: list[np.ndarray], masks: list[str], held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text and place of all windows of some texts that the filter lets through, by text."""
+    bits = int(held.size * 8).bit_length() - 1
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    words, of = np.concatenate([np.empty(0, np.uint64), *texts]), np.repeat(np.arange(len(texts)), size)
+    found, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for m in masks:
         h = _hashes(words, m)
         one = h >> np.uint64(64 - bits)
         at = np.flatnonzero(held[one >> np.uint64(3)] >> (one & np.uint64(7)).astype(np.uint8) & 1)
         two = h[at] >> np.uint64(64 - 2 * bits) & np.uint64((1 << bits) - 1)
         at = at[(held[two >> np.uint64(3)] >> (two & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+        at = at[of[at] == of[at + len(m) - 1]]  # no window reaches into the next text
         found.append(h[at])
-        places.append(at.astype(np.int32))
-    return (np.concatenate(found), np.concatenate(places)) if found else (np.empty(0, np.uint64), np.empty(0, np.int32))
+        places.append(at)
+    h, at = np.concatenate(found), np.concatenate(places)
+    order = np.argsort(of[at], kind="stable")
+    h, at = h[order], at[order]
+    return h, of[at], at - (np.cumsum(size) - size)[of[at]]
 
 
 def _seen(shared):
-    """The windows of each text that pass the filter; null if none does."""
+    """The windows of each text that pass the filter; no arrays if none does."""
 
-    def run(text: pd.Series) -> pd.Series:
+    def run(text: pd.Series) -> pd.DataFrame:
         masks, held = shared.value
-        out = []
+        hashes, places, waiting, count = [], [], [], 0
+
+        def drain() -> None:
+            h, of, at = windows(waiting, masks, held)
+            cut = np.searchsorted(of, np.arange(len(waiting) + 1))
+            for a, b in zip(cut, cut[1:]):
+                hashes.append(h[a:b].view(np.int64) if b > a else None)
+                places.append(at[a:b].astype(np.int32) if b > a else None)
+            waiting.clear()
+
         for t in text:
-            h, at = windows(word_hashes(t), masks, held)
-            out.append([{"h": a, "at": b} for a, b in zip(h.view(np.int64).tolist(), at.tolist())] if len(h) else None)
-        return pd.Series(out, dtype=object)
+            waiting.append(word_hashes(t))
+            count += len(waiting[-1])
+            if count > TOGETHER:
+                drain()
+                count = 0
+        drain()
+        return pd.DataFrame({"h": hashes, "at": places})
 
-    return F.pandas_udf(run, WINDOWS, F.PandasUDFType.SCALAR)
+    return F.pandas_udf(run, "h array<long>, at array<int>", F.PandasUDFType.SCALAR)
 
 
 def _blocks(size: int):
@@ -206,10 +223,14 @@ def _blocks(size: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            rows, number, parts = [], [], []
             for row, text in zip(pdf["row"], pdf["text"]):
                 words = word_hashes(text).view(np.int64)
                 cut = range(0, len(words), size)
-                yield pd.DataFrame({"row": row, "block": np.arange(len(cut), dtype=np.int32), "words": [words[i : i + size] for i in cut]})
+                rows += [row] * len(cut)
+                number += range(len(cut))
+                parts += [words[i : i + size] for i in cut]
+            yield pd.DataFrame({"row": rows, "block": number, "words": parts})
 
     return run
 
@@ -237,7 +258,8 @@ def flagged(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame
     masks = _masks(lengths)
     seeds = materialize(items.mapInPandas(_seeds(masks), "h long, item long, place int"), "leak-seeds")
     shared = spark.sparkContext.broadcast(([m for m, _ in masks], _filter_of(seeds)))
-    found = docs.withColumns({"__vs_row": F.monotonically_increasing_id(), "__vs_windows": _seen(shared)(docs["text"])})
+    found = docs.withColumns({"__vs_row": F.monotonically_increasing_id(), "__vs_seen": _seen(shared)(docs["text"])})
+    found = found.withColumn("__vs_windows", F.when(F.col("__vs_seen.h").isNotNull(), F.arrays_zip("__vs_seen.h", "__vs_seen.at"))).drop("__vs_seen")
     return materialize(found, "leak-windows"), items, seeds
 
 
