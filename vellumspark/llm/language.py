@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from .common import materialize, small_batches, table
 
 #: Words of a language, and n-grams of each length in it, that the model holds.
-MODEL_WORDS, MODEL_GRAMS = 50_000, 25_000
+MODEL_WORDS, MODEL_GRAMS = 50_000, 15_000
 ORDERS = (5, 4, 3, 2, 1)
 #: Equally frequent entries are cut by so many parts of their hash.
 PARTS = 1024
@@ -94,7 +94,7 @@ def grams(word: str, order: int) -> list[str]:
 
 
 def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: dict[tuple[str, int], dict[str, int]] = defaultdict(dict)
+    held: dict[tuple[str, int], Counter] = defaultdict(Counter)
 
     def drain() -> Iterator[pd.DataFrame]:
         for (lang, order), of in held.items():
@@ -102,11 +102,15 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held.clear()
 
     for pdf in batches:
-        for lang, word, n in zip(pdf["lang"], pdf["word"], pdf["n"].tolist()):
+        for lang, rows in pdf.groupby("lang"):
+            once = rows.loc[rows["n"] == 1, "word"].tolist()
+            often = [(w, n) for w, n in zip(rows["word"], rows["n"].tolist()) if n > 1]
             for order in ORDERS:
                 of = held[lang, order]
-                for g in grams(word, order):
-                    of[g] = of.get(g, 0) + n
+                of.update([g for w in once for g in grams(w, order)])
+                for word, n in often:
+                    for g in grams(word, order):
+                        of[g] += n
         if sum(map(len, held.values())) > HELD_WORDS:
             yield from drain()
     yield from drain()
@@ -167,16 +171,11 @@ class LanguageModel:
     table: np.ndarray
 
     @staticmethod
-    def of(langs: list[str], held: list[pd.DataFrame]) -> "LanguageModel":
-        """From the counts (``lang, key, n``) of the words and of the n-grams of each length."""
-        column = {k: i for i, k in enumerate(langs)}
+    def of(langs: list[str], held: list[tuple[list[str], np.ndarray]]) -> "LanguageModel":
+        """From the words and from the n-grams of each length, with their counts in each language."""
         names, parts, at = [], [], 0
-        for rows in held:
-            keys = sorted(set(rows["key"]))
-            row = {k: i for i, k in enumerate(keys)}
-            count = np.zeros((len(keys), len(langs)))
-            np.add.at(count, ([row[k] for k in rows["key"]], [column[k] for k in rows["lang"]]), rows["n"].to_numpy(float))
-            names.append({k: at + i for k, i in row.items()})
+        for keys, count in held:
+            names.append({k: at + i for i, k in enumerate(keys)})
             at += len(keys)
             parts.append(np.log((count + 0.5) / (count.sum(axis=0) + 0.5 * len(keys))) if keys else count)
         return LanguageModel(langs, names[0], names[1:], np.concatenate(parts))
@@ -209,19 +208,25 @@ class LanguageModel:
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def _held(counts: DataFrame, by: list[str], key: str, room: int) -> pd.DataFrame:
-    """The counts, in all languages, of what is most frequent in one of them; the driver receives these only."""
+def _held(counts: DataFrame, by: list[str], key: str, room: int, langs: list[str]) -> dict[int, tuple[list[str], np.ndarray]]:
+    """What is most frequent in one of the languages, by length, with its counts in all; the driver receives this only."""
     rest = [c for c in by if c != "lang"]
     kept = most_frequent(counts, by, key, room).select(*rest, key).distinct()
-    return counts.join(kept.hint("merge"), [*rest, key]).select("lang", *rest, F.col(key).alias("key"), "n").toPandas()
+    of = counts.join(kept.hint("merge"), [*rest, key]).groupBy(*rest, key)
+    rows = of.agg(*[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(langs)]).toArrow()
+    order = rows.column("order").to_numpy() if rest else np.zeros(len(rows), int)
+    keys, count = rows.column(key).to_pylist(), np.stack([rows.column(f"n{i}").to_numpy() for i in range(len(langs))], axis=1).astype(float) if langs else np.zeros((0, 0))
+    return {int(o): ([keys[i] for i in np.flatnonzero(order == o)], count[order == o]) for o in (ORDERS if rest else [0])}
 
 
 def fit(labelled: DataFrame) -> LanguageModel:
     """Learn from all rows of ``labelled``."""
     words = materialize(word_counts(labelled), "lang-words")
-    some = materialize(gram_counts(words), "lang-grams")
-    known, parts = _held(words, ["lang"], "word", MODEL_WORDS), _held(some, ["lang", "order"], "gram", MODEL_GRAMS)
-    return LanguageModel.of(sorted(set(known["lang"])), [known, *(parts[parts["order"] == order] for order in ORDERS)])
+    langs = sorted(r.lang for r in words.select("lang").distinct().collect())
+    if not langs:
+        return LanguageModel([], {}, [{} for _ in ORDERS], np.zeros((0, 0)))
+    parts = _held(materialize(gram_counts(words), "lang-grams"), ["lang", "order"], "gram", MODEL_GRAMS, langs)
+    return LanguageModel.of(langs, [_held(words, ["lang"], "word", MODEL_WORDS, langs)[0], *(parts[order] for order in ORDERS)])
 
 
 def predictions(docs: DataFrame, model: LanguageModel) -> Column:
