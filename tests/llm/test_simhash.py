@@ -39,8 +39,26 @@ def test_whole_table_equals_brute_force(spark, sf):
     assert {r.doc_id: r.component_id for r in got} == groups(prints)
 
 
-@pytest.mark.parametrize("run_max", [4096, 3])
-def test_dense_and_chained_fingerprints(spark, run_max):
+def test_blocks_follow_the_number_of_fingerprints():
+    assert [simhash.blocks_for(n) for n in (0, 1 << 24, (1 << 24) + 1, 1 << 31, 1 << 40)] == [6, 6, 7, 7, 8]
+    for blocks, keys in ((6, 15), (7, 35), (8, 70)):
+        masks = [m & (1 << 64) - 1 for m in simhash.block_masks(blocks)]
+        assert len(masks) == keys and all(64 * (blocks - 4) // blocks - 2 <= m.bit_count() <= 64 * (blocks - 4) // blocks + 2 for m in masks)
+        rng = random.Random(blocks)
+        for _ in range(300):  # any four bits leave a mask untouched
+            flips = sum(1 << b for b in rng.sample(range(64), 4))
+            assert any(not m & flips for m in masks)
+
+
+def test_long_texts(spark):
+    texts = ["word " * 100_000, "word " * 100_000 + "end", "x" * 500_000, " ".join(f"w{i % 5000}" for i in range(100_000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: int(r.fingerprint, 16) for r in simhash.simhash_groups(docs).collect()} == {i: brute_print(t) for i, t in enumerate(texts)}
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == set(jaccard_groups(dict(enumerate(texts))).values())
+
+
+@pytest.mark.parametrize("run_max, blocks", [(4096, None), (3, None), (4096, 7), (3, 8)])
+def test_dense_and_chained_fingerprints(spark, run_max, blocks):
     rng = random.Random(run_max)
     prints, base = {}, rng.getrandbits(64)
     for i in range(60):  # a ball, chains and strangers
@@ -48,7 +66,7 @@ def test_dense_and_chained_fingerprints(spark, run_max):
         prints[100 + i] = rng.getrandbits(64)
         prints[200 + i] = prints.get(199 + i, 0) ^ sum(1 << b for b in rng.sample(range(64), 4))
     signed = [(i, p - (1 << 64) if p >> 63 else p) for i, p in prints.items()]
-    got = simhash.components(spark.createDataFrame(signed, "doc_id long, fp long"), run_max).collect()
+    got = simhash.components(spark.createDataFrame(signed, "doc_id long, fp long"), run_max, blocks).collect()
     of = {r.fp: r.component_id for r in got}
     assert {i: of[p] for i, p in signed} == groups(prints)
 

@@ -1,10 +1,13 @@
 """SimHash near-duplicates: pigeonhole blocks, joined, then verified by Hamming distance.
 
 A fingerprint takes the majority of each bit over the XXH64 hashes of a document's word
-shingles.  Two fingerprints that differ in at most ``BITS`` (4) bits agree in at least two of
-six blocks, so each distinct fingerprint is dealt under the 15 pairs of blocks and compared
-with those that share a pair.  Equal fingerprints are one row from the start, so copies never
-meet each other.
+shingles.  Two fingerprints that differ in at most ``BITS`` (4) bits agree in all but four of
+their blocks, so each distinct fingerprint is dealt under every choice of all but four blocks
+and compared with those that agree there.  Equal fingerprints are one row from the start, so
+copies never meet each other.  The number of blocks follows the number of distinct
+fingerprints, so that a key has about as many bits as they take: six blocks (15 keys of 20 to 22
+bits) up to 16 million, seven (35 keys of 27 or 28) up to two billion, eight (70 keys of 32)
+beyond.  So a bucket's expected size doesn't grow with the corpus.
 
 A bucket with more than ``RUN_MAX`` fingerprints isn't compared pair by pair: all its
 fingerprints are dealt once under every value within two bits of them instead (2,081 each).
@@ -23,7 +26,8 @@ keep it from meeting the others, and work grows with the alike texts.
 Defined results: a null or empty text, or one of white space only, has fingerprint zero and
 is linked like any other; fewer words than a shingle form one shingle; rows that share an id
 are each fingerprinted, and a null id takes no part in the choice of the smallest id unless a
-component has no other; an empty table gives an empty result.
+component has no other; texts of any length are read whole; other columns, whatever their
+names, are kept by ``drop_near_duplicates`` and not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,8 +45,8 @@ from .common import materialize, small_batches, table
 from .components import connected_components, local_components
 
 SHINGLE, BITS, SEED = 4, 4, 42
-#: Widths of the six blocks; any two of them make a key of 20 to 22 bits.
-BLOCKS = (11, 11, 11, 11, 10, 10)
+#: Blocks, and fingerprints up to which so many are enough: eight of them a bucket by chance.
+BLOCKS = ((6, 1 << 24), (7, 1 << 31), (8, 1 << 63))
 RUN_MAX = 4096
 #: Hashes whose bits are counted at once.
 COUNTED = 1 << 15
@@ -88,11 +92,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.pandas_udf(fingerprint, LongType())("text").alias("fp"))
 
 
-def block_masks() -> list[int]:
-    """The 15 masks that each keep two of the six blocks, as signed longs."""
-    edges = [0, *itertools.accumulate(BLOCKS)]
-    blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
-    return [m - (1 << 64) if m >> 63 else m for m in (x | y for x, y in itertools.combinations(blocks, 2))]
+def blocks_for(prints: int) -> int:
+    """How many blocks so many distinct fingerprints are cut into."""
+    return next(n for n, most in BLOCKS if prints <= most)
+
+
+def block_masks(blocks: int) -> list[int]:
+    """The masks that each keep all but ``BITS`` of the blocks, as signed longs."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    each = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
+    return [m - (1 << 64) if m >> 63 else m for m in map(sum, itertools.combinations(each, blocks - BITS))]
 
 
 def _links(run_max: int):
@@ -174,9 +183,10 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": fp[far], "b": first[far]}).drop_duplicates()
 
 
-def near_links(prints: DataFrame, run_max: int = RUN_MAX) -> DataFrame:
+def near_links(prints: DataFrame, run_max: int = RUN_MAX, blocks: int | None = None) -> DataFrame:
     """Links ``a, b`` that join all fingerprints of ``prints`` (column ``fp``, distinct) within four bits."""
-    keys = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(block_masks())]))
+    masks = block_masks(blocks or blocks_for(prints.count()))
+    keys = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)]))
     dealt = prints.select(keys.alias("key"), "fp").repartition("key").sortWithinPartitions("key")
     found = materialize(dealt.mapInPandas(_links(run_max), "a long, b long, hot boolean"), "simhash-links")
     hot = found.where("hot").select(F.col("a").alias("fp")).distinct()
@@ -185,10 +195,10 @@ def near_links(prints: DataFrame, run_max: int = RUN_MAX) -> DataFrame:
     return links.union(near.mapInPandas(_stars, "a long, b long")).distinct()
 
 
-def components(prints: DataFrame, run_max: int = RUN_MAX) -> DataFrame:
+def components(prints: DataFrame, run_max: int = RUN_MAX, blocks: int | None = None) -> DataFrame:
     """``fp``, ``root`` and ``component_id`` (smallest ``doc_id`` of the component) for the rows of ``prints``."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    root = connected_components(near_links(distinct.select("fp"), run_max))  # node, root
+    root = connected_components(near_links(distinct.select("fp"), run_max, blocks))  # node, root
     of = distinct.join(root, distinct.fp == root.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     of = materialize(of, "simhash-roots")
     least = materialize(of.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-least")
