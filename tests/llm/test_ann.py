@@ -1,6 +1,8 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +71,33 @@ def test_crowded_cells_are_dealt_into_blocks(spark, monkeypatch):
     assert recall(got, brute(rows, range(0, 900, 100))) >= 0.9
 
 
+def test_many_queries_of_a_cell_are_dealt_and_exact_search_finds_all(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERY_ROWS", 7)
+    monkeypatch.setattr(ann, "QUERY_BYTES", 2000)
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.normal(size=8) * (0.1 if i % 3 else 3)).tolist()) for i in range(900)] + [(i, [1.0] * 8) for i in range(900, 960)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, range(0, 960, 5))
+    assert recall(found(ann.search(frame, F.col("vec_id") % 5 == 0).collect()), want) >= 0.9
+    got = found(ann.search(frame, F.col("vec_id") % 5 == 0, exact=True).collect())
+    assert {q: [i for i, _ in g] for q, g in got.items()} == {q: [i for i, _ in w] for q, w in want.items()}
+
+
+def test_recall_at_fifty_thousand(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(50_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}), tmp_path / "embeddings.parquet")
+    frame = spark.read.parquet(str(tmp_path)).repartition(8)
+    got = found(ann.search(frame, F.col("vec_id") % 500 == 0).collect())
+    want = {}
+    for q in range(0, 50_000, 500):
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1)
+        d[q] = np.inf
+        want[q] = [(int(i), 0.0) for i in np.argsort(d)[:10]]
+    assert recall(got, want) >= 0.9
+
+
 def test_words_weigh_the_parallel_error_more():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(2000, 16))

@@ -22,16 +22,23 @@ vector that fills a third of the table is scanned once and can't crowd out other
 Centres and words are trained on at most ``SAMPLE`` vectors, those of the smallest id hashes;
 every vector is indexed.
 
-Queries and codes meet by cell, in tasks of one sub-block each; neither side is broadcast.
+Queries and codes meet by cell, in tasks of one sub-block and at most about ``QUERY_ROWS`` of the
+queries each; neither side is broadcast.  Codes of a cell that more queries probe are sent once
+for each such part of them.
+
+``search(..., exact=True)`` compares all vectors instead: a stated set of queries, in blocks of
+``QUERY_BYTES``, against every task's vectors, each of which passes its nearest on.
 
 Defined results: vectors that are null, empty, zero or hold a null or a value that isn't
-finite take no part, nor do rows without an id; of vectors with different lengths the most
+finite take no part, nor do rows without an id; repeated rows of one id and vector are
+neighbours of one another's vector but never of their own id; other columns are not read; of vectors with different lengths the most
 frequent length takes part (ties: the shorter); ties in distance go to the smaller id; fewer
 candidates than asked for give fewer rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -47,6 +54,8 @@ THRESHOLD = 0.2
 SAMPLE, ROUNDS = 20_000, 8
 #: Entries of a sub-block at most.
 BLOCK_ROWS = 4000
+#: Queries that meet a sub-block in one task, and bytes of the queries that are compared exactly at once.
+QUERY_ROWS, QUERY_BYTES = 4096, 8 << 20
 #: Share of the sample's true neighbours that the probed cells must hold, and vectors that are asked.
 PROBE_TARGET, PROBE_ASKED = 0.98, 256
 RERANK = 100
@@ -207,7 +216,7 @@ def _probe(shared, n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             cells = shared.value.probes(np.array(pdf["v"].tolist(), float), n)
-            yield pd.DataFrame({"query": np.repeat(pdf["entry"].to_numpy(), cells.shape[1]), "v": [v for v in pdf["v"] for _ in range(cells.shape[1])], "cell": cells.ravel()})
+            yield pd.DataFrame({"query": pdf["entry"], "v": pdf["v"], "cells": list(cells.astype(np.int32))})
 
     return run
 
@@ -240,22 +249,41 @@ def _scan(shared, top: int):
     return run
 
 
-def _exact(shared, k: int):
-    """The nearest entries in each task of the asked vectors, without themselves."""
+def _exact(shared, k: int, skip_own: bool):
+    """The nearest entries in each task of the asked vectors."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, q = shared.value
         for pdf in batches:
+            pdf = pdf.sort_values("entry")
             x, entry = np.array(pdf["v"].tolist(), float), pdf["entry"].to_numpy()
-            far = (x**2).sum(axis=1) / 2 - q @ x.T
-            far[own[:, None] == entry] = np.inf
-            order = np.argsort(far, axis=1, kind="stable")[:, :k]
-            out = pd.DataFrame({"asked": np.repeat(np.arange(len(q)), order.shape[1]), "entry": entry[order].ravel(), "far": np.take_along_axis(far, order, 1).ravel()})
-            yield out[np.isfinite(out["far"])]
+            for at in range(0, len(q), 256):
+                far = (x**2).sum(axis=1) / 2 - q[at : at + 256] @ x.T
+                if skip_own:
+                    far[own[at : at + 256, None] == entry] = np.inf
+                order = np.argsort(far, axis=1, kind="stable")[:, :k]
+                out = pd.DataFrame({"asked": np.repeat(np.arange(at, at + len(far)), order.shape[1]), "entry": entry[order].ravel(), "far": np.take_along_axis(far, order, 1).ravel()})
+                yield out[np.isfinite(out["far"])]
 
     return run
 
 
+def exact_best(entries: DataFrame, asked: DataFrame, top: int) -> DataFrame:
+    """``query, entry``: the ``top`` nearest of all entries for each of ``asked`` (``entry, v``), by comparing all."""
+    spark = entries.sparkSession
+    n, width = asked.agg(F.count("*"), F.max(F.size("v"))).head()
+    found, blocks = [], max(1, math.ceil(n * (width or 0) * 8 / QUERY_BYTES))
+    for b in range(blocks):
+        some = asked.where(F.pmod(F.xxhash64("entry"), F.lit(blocks)) == b).select("entry", "v").toPandas()
+        if len(some):
+            shared = spark.sparkContext.broadcast((some["entry"].to_numpy(), np.array(some["v"].tolist(), float)))
+            close = entries.select("entry", "v").mapInPandas(_exact(shared, top, False), "asked int, entry long, far double")
+            named = F.broadcast(spark.createDataFrame([(i, int(e)) for i, e in enumerate(some["entry"])], "asked int, query long"))
+            found.append(materialize(_top(close, "asked", ["far", "entry"], top).join(named, "asked").select("query", "entry"), "ann-exact"))
+            shared.unpersist()
+    return functools.reduce(DataFrame.union, found) if found else spark.createDataFrame([], "query long, entry long")
+
+
 def _ahead(shared):
     """How many probed entries of each task come before each true neighbour by their codes."""
 
@@ -287,7 +315,7 @@ def measured(entries: DataFrame, coded: DataFrame, book: Codebook, k: int) -> tu
     some = entries.orderBy(F.xxhash64("entry"), "entry").limit(DEPTH_ASKED).select("entry", "v").toPandas()
     q = np.array(some["v"].tolist(), float)
     own = spark.sparkContext.broadcast((some["entry"].to_numpy(), q))
-    close = entries.select("entry", "v").mapInPandas(_exact(own, k), "asked int, entry long, far double")
+    close = entries.select("entry", "v").mapInPandas(_exact(own, k, True), "asked int, entry long, far double")
     true = _top(close, "asked", ["far", "entry"], k).select("asked", "entry").join(coded, "entry").toPandas()
     if not len(true):
         return book.n_probe, RERANK
@@ -303,7 +331,30 @@ def measured(entries: DataFrame, coded: DataFrame, book: Codebook, k: int) -> tu
     return n_probe, max(RERANK, int(depth) + 1)
 
 
-def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
+def coded_best(entries: DataFrame, asked: DataFrame, k: int, n: int) -> DataFrame:
+    """``query, entry``: the candidates of each of ``asked`` by its codes, as many as were measured."""
+    spark = entries.sparkSession
+    book = Codebook(sample_of(entries), math.isqrt(n - 1) + 1)
+    shared = spark.sparkContext.broadcast(book)
+    coded = materialize(entries.select("entry", "v").mapInPandas(_encode(shared), "entry long, cell int, norm2 double, scale double, code binary"), "ann-codes")
+    n_probe, depth = measured(entries, coded, book, k)
+    probed = materialize(asked.mapInPandas(_probe(shared, n_probe), "query long, v array<double>, cells array<int>"), "ann-probes")
+    load = probed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("turns"))
+    sizes = coded.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+    dealt = materialize(sizes.join(load.hint("merge"), "cell"), "ann-cells")  # a row for each centre
+
+    # a crowded cell has several sub-blocks; a query goes to each of them, an entry to one, for each part of the queries
+    one = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    none = lambda kind: F.lit(None).cast(kind)
+    left = coded.join(dealt, "cell").select("cell", one("entry", "parts").alias("part"), every("turns").alias("turn"), F.col("entry").alias("id"), "norm2", "scale", "code", none("array<double>").alias("v"))
+    asking = probed.select("query", "v", F.explode("cells").alias("cell")).join(dealt, "cell")
+    right = asking.select("cell", every("parts").alias("part"), one("query", "turns").alias("turn"), F.col("query").alias("id"), none("double").alias("norm2"), none("double").alias("scale"), none("binary").alias("code"), "v")
+    near = left.union(right).groupBy("cell", "part", "turn").applyInPandas(_scan(shared, depth), "query long, entry long, near double")
+    return _top(near, "query", [F.desc("near"), "entry"], depth)
+
+
+def search(vectors: DataFrame, is_query, k: int = 10, exact: bool = False) -> DataFrame:
     """The ``k`` nearest other rows of each row that ``is_query`` holds for.
 
     ``query_id, rank, vec_id, score``; the score is the Euclidean distance.
@@ -316,27 +367,14 @@ def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     n = entries.count()
     if not n:
         return empty
-    book = Codebook(sample_of(entries), math.isqrt(n - 1) + 1)
-    shared = spark.sparkContext.broadcast(book)
-    coded = materialize(entries.select("entry", "v").mapInPandas(_encode(shared), "entry long, cell int, norm2 double, scale double, code binary"), "ann-codes")
-    n_probe, depth = measured(entries, coded, book, k)
-    sizes = coded.groupBy("cell").count()
-    parts = sizes.select("cell", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("parts"))
-    parts = materialize(parts, "ann-cells")
-
     asked = distinct_vectors(rows.where(is_query), 1).select("entry", "v")
-    probed = asked.mapInPandas(_probe(shared, n_probe), "query long, v array<double>, cell int")
-    # a crowded cell has several sub-blocks; a query goes to each of them, an entry to one
-    left = coded.join(parts, "cell").select("cell", F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int").alias("part"), F.col("entry").alias("id"), "norm2", "scale", "code", F.lit(None).cast("array<double>").alias("v"))
-    right = probed.join(parts, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("query").alias("id"), F.lit(None).cast("double").alias("norm2"), F.lit(None).cast("double").alias("scale"), F.lit(None).cast("binary").alias("code"), "v")
-    near = left.union(right).groupBy("cell", "part").applyInPandas(_scan(shared, depth), "query long, entry long, near double")
-    best = _top(near, "query", [F.desc("near"), "entry"], depth)
+    best = exact_best(entries, asked, 2 * k + 10) if exact else coded_best(entries, asked, k, n)
 
     queries = asked.select(F.col("entry").alias("query"), F.col("v").alias("qv"))
     gap = F.sqrt(F.aggregate(F.zip_with("qv", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    exact = best.join(entries, "entry").join(queries, "query").select("query", "ids", gap.alias("score"))
+    compared = best.join(entries, "entry").join(queries, "query").select("query", "ids", gap.alias("score"))
     # an entry stands for its smallest ids; only then is a query told from its copies
-    ranked = _top(exact.select("query", "score", F.explode("ids").alias("vec_id")), "query", ["score", "vec_id"], k + 1)
+    ranked = _top(compared.select("query", "score", F.explode("ids").alias("vec_id")), "query", ["score", "vec_id"], k + 1)
     ranked = materialize(ranked.select("query", "score", "vec_id"), "ann-ranked")
     # each query row takes its own vector's list, without itself
     named = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")).join(queries, "qv").select("query_id", "query")
