@@ -120,10 +120,12 @@ def _sections(text: Column, nodes: Column, profile: TextProfile) -> Column:
 def chunk_documents(docs: DataFrame, profile: TextProfile) -> DataFrame:
     """All chunks of parsed documents (``doc_id, text, structure, n_tokens_est`` and what else they have).
 
-    Adds ``tier``, the section columns, ``char_start``, ``char_end``, ``n_chars``,
+    Adds ``url`` (if there is a ``filename``), ``tier``, the section columns, ``char_start``, ``char_end``, ``n_chars``,
     ``n_tokens_est``, ``text`` and ``chunk_id`` to the documents' other columns.
     """
     whole = docs.withColumn("tier", tier(F.col("structure"), F.col("n_tokens_est"), profile))
+    if "filename" in docs.columns:
+        whole = whole.withColumn("url", F.concat(F.lit(profile.base_url), F.coalesce("filename", F.lit(""))))
     text, no = F.col("text"), F.lit("")
     # the whole text is a section as well: of windows (B) or of one chunk (C)
     plain = lambda suffix, kind: F.array(F.struct(F.lit(suffix).alias("suffix"), F.lit(kind).alias("type"), no.alias("label"), no.alias("parent"), no.alias("title"), F.lit(0).alias("start"), F.length(text).alias("end"), text.alias("text"), F.lit(0).alias("lead")))

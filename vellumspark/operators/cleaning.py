@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import collapse_blanks, dehyphenate, drop_footnotes, drop_patterns, footnotes, join_lone_numbers, normalize_chars, split_lines, strip
+from ..functions.arrays import let
+from ..functions.text import collapse_blanks, dehyphenate, drop_footnotes, drop_patterns, footnotes, join_lone_numbers, normalize_chars, process_number, split_lines, strip, title_and_summary, tokens_parsed, type_of_stem, year_of
 from ..profiles import TextProfile
+from .structure import structure
+
+#: Columns of a parsed document, in order.
+PARSED_FIELDS = ("doc_id", "tipo_ato", "year", "filename", "title", "ementa", "processo", "n_pages", "n_chars", "n_tokens_est", "is_ocr_suspect", "pdf_creator", "text", "structure", "tables", "footnotes")
 
 
 def page_text(blocks: Column) -> Column:
@@ -41,17 +46,19 @@ def repeated_lines(pages: DataFrame, doc: str, page: str, text: str, least_pages
 
 
 def drop_lines(text: Column, repeated: Column) -> Column:
-    """The text without lines whose trimmed form is in an array; untouched where there is none."""
-    lines = F.filter(F.split(text, r"\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x85\u2028\u2029]", -1), lambda x: ~F.array_contains(repeated, strip(x)))
-    return F.when(F.size(F.coalesce(repeated, F.array().cast("array<string>"))) > 0, F.array_join(lines, "\n")).otherwise(text)
+    """The text without lines whose trimmed form is in an array; untouched where that is empty or null."""
+    lines = F.split(text, r"\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x85\u2028\u2029]", -1)
+    # the few that stand here are found by hash, then told line by line
+    here = lambda x: F.array_intersect(F.transform(x, strip), F.coalesce(repeated, F.array().cast("array<string>")))
+    left = let(lines, lambda x: let(here(x), lambda gone: F.filter(x, lambda line: ~F.array_contains(gone, strip(line)))))
+    return F.when(F.size(F.coalesce(repeated, F.array().cast("array<string>"))) > 0, F.array_join(left, "\n")).otherwise(text)
 
 
-def drop_repeated(pages: DataFrame, repeated: DataFrame, doc: str, page: str, text: str) -> DataFrame:
-    """``page, text`` without the lines of ``repeated(doc, line)``, by a join on the lines themselves."""
-    lines = pages.select(doc, page, F.posexplode(F.split(text, "\n", -1)).alias("pos", "raw"))
-    kept = lines.withColumn("line", strip(F.col("raw"))).join(repeated.select(doc, "line"), [doc, "line"], "left_anti")
-    joined = kept.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("pos", "raw"))).alias("all")).select(page, F.array_join(F.transform("all", lambda x: x["raw"]), "\n").alias("text"))
-    return pages.select(page).join(joined, page, "left").select(page, F.coalesce("text", F.lit("")).alias("text"))
+def drop_repeated(pages: DataFrame, repeated: DataFrame, doc: str, text: str) -> DataFrame:
+    """``pages`` without the lines of ``repeated(doc, line)``, each in its own row; a null text stays null."""
+    common = repeated.groupBy(doc).agg(F.collect_set("line").alias("__repeated"))
+    joined = pages.join(common, doc, "left")
+    return joined.select(*[drop_lines(F.col(text), F.col("__repeated")).alias(c) if c == text else F.col(c) for c in pages.columns])
 
 
 def clean(text: Column, repeated: Column, profile: TextProfile) -> dict[str, Column]:
@@ -61,15 +68,38 @@ def clean(text: Column, repeated: Column, profile: TextProfile) -> dict[str, Col
     return {"text": collapse_blanks(drop_footnotes(joined)), "footnotes": footnotes(joined)}
 
 
+def named(doc_id: Column) -> dict[str, Column]:
+    """File name, type and year that an id (relative path without ending) tells."""
+    stem, folder = F.regexp_extract(doc_id, r"([^/]*)$", 1), F.regexp_extract(doc_id, r"([^/]*)/[^/]*$", 1)
+    return {"filename": F.concat(stem, F.lit(".pdf")), "tipo_ato": type_of_stem(stem), "year": year_of(stem, folder)}
+
+
 def parse_documents(pages: DataFrame, profile: TextProfile) -> DataFrame:
-    """Documents from pages (``doc_id, page, text``): joined, cleaned, ``n_pages`` and ``is_ocr_suspect``."""
+    """Whole documents (``schemas.PARSED``) from pages.
+
+    ``pages`` has ``doc_id, page, text`` and, if at hand, ``tables`` (as of ``page_with_tables``)
+    and ``filename`` and ``pdf_creator``, which are the same on all pages.  A null text is an
+    empty page.
+    """
     common = repeated_lines(pages, "doc_id", "page", "text").groupBy("doc_id").agg(F.collect_set("line").alias("repeated"))
-    in_order = F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text"))))
-    whole = pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_pages"), F.array_join(F.transform(in_order, lambda p: p["text"]), "\n\n").alias("text"))
-    out = whole.join(common, "doc_id", "left")
+    in_order = lambda *of: F.array_sort(F.collect_list(F.struct("page", *of)))
+    none = F.array().cast("array<struct<id:string,page:int,markdown:string,rows:int,cols:int>>")
+    tables = F.flatten(F.transform(in_order(F.coalesce("tables", none).alias("t")), lambda p: p["t"])) if "tables" in pages.columns else F.first(none)
+    first = lambda name: F.max(name) if name in pages.columns else F.lit(None).cast("string")
+    whole = pages.groupBy("doc_id").agg(
+        F.count("*").cast("int").alias("n_pages"),
+        F.array_join(F.transform(in_order(F.coalesce("text", F.lit("")).alias("text")), lambda p: p["text"]), "\n\n").alias("text"),
+        tables.alias("tables"),
+        first("filename").alias("filename"),
+        F.coalesce(first("pdf_creator"), F.lit("")).alias("pdf_creator"),
+    )
     parts = clean(F.col("text"), F.col("repeated"), profile)
-    done = out.select("doc_id", "n_pages", parts["text"].alias("text"), parts["footnotes"].alias("footnotes"))
-    return done.withColumn("is_ocr_suspect", is_ocr_suspect(F.length("text"), F.col("n_pages")))
+    done = whole.join(common, "doc_id", "left").withColumns(parts)
+    own = named(F.col("doc_id").cast("string"))
+    done = done.withColumns({k: F.coalesce(k, v) if k == "filename" else v for k, v in own.items()})
+    done = done.withColumns({"found": title_and_summary(F.col("text"), profile.titles), "processo": process_number(F.col("text")), "n_chars": F.length("text"), "n_tokens_est": tokens_parsed(F.col("text"))})
+    done = done.withColumns({"title": F.col("found.title"), "ementa": F.col("found.summary"), "is_ocr_suspect": is_ocr_suspect(F.length("text"), F.col("n_pages")), "structure": structure(F.col("text"), profile)})
+    return done.select(*PARSED_FIELDS)
 
 
 def is_ocr_suspect(chars: Column, pages: Column) -> Column:
@@ -77,6 +107,13 @@ def is_ocr_suspect(chars: Column, pages: Column) -> Column:
     return F.when(pages > 0, chars / pages < 50).otherwise(F.lit(False))
 
 
+def looks_scanned(chars: Column, images: Column, pages: int = 5) -> Column:
+    """By the first pages' characters and images (arrays, in page order): under 100 characters a page, and images."""
+    head = F.slice(chars, 1, pages)
+    mean = F.aggregate(head, F.lit(0).cast("long"), lambda s, x: s + x) / F.size(head)
+    return F.when(F.size(head) > 0, (mean < 100) & (F.aggregate(F.slice(images, 1, pages), F.lit(0).cast("long"), lambda s, x: s + x) > 0)).otherwise(F.lit(False))
+
+
 def is_multi_column(blocks: Column, width: Column) -> Column:
     """Four or more text blocks, at least two centred left of 45 % and two right of 55 % of the page."""
     text = F.filter(blocks, lambda b: b["type"] == 0)

@@ -40,4 +40,5 @@ def citations(answers: DataFrame, meta: DataFrame, key: str = "qid") -> DataFram
 
 
 def is_not_found(answer: Column) -> Column:
-    return F.contains(F.lower(answer), F.lit(NOT_FOUND.rstrip(".").lower()))
+    """Whether the answer says so, in any case of letters."""
+    return F.contains(F.lower(answer), F.lit(NOT_FOUND.lower()))

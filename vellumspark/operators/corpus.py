@@ -19,9 +19,10 @@ def download_tasks(rows: DataFrame, only_kind: str | None = None) -> DataFrame:
     return usable.groupBy("url").agg(F.min_by("arquivo", "ord").alias("arquivo"), F.min_by("ano", "ord").alias("ano_destino"), F.transform(F.array_sort(F.collect_list(source)), lambda x: x["of"]).alias("fontes"))
 
 
-def skipped_urls(rows: DataFrame) -> DataFrame:
-    """How many occurrences are no PDF, counted before anything is deduplicated."""
-    return rows.agg(F.count_if(~is_pdf_url(F.col("url"))).alias("n_skipped"), F.count("*").alias("n"))
+def skipped_urls(rows: DataFrame, only_kind: str | None = None) -> DataFrame:
+    """How many occurrences (of one kind) are no PDF, counted before anything is deduplicated."""
+    kept = rows if only_kind is None else rows.where(F.col("tipo") == only_kind)
+    return kept.agg(F.count_if(~is_pdf_url(F.col("url"))).alias("n_skipped"), F.count("*").alias("n"))
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions.text import is_pdf_url
 from ..operators import chunking, corpus, sampling
@@ -83,13 +83,14 @@ def round_robin_sample(spark, sf_dir):
 
 
 def _pairs_sql(same: bool) -> str:
-    part = "PARTITION BY lang " if same else ""
-    step = lambda k: f"(SELECT *, lead(doc_id, {k}) OVER w AS b FROM h WINDOW w AS ({part}ORDER BY h, doc_id))"
-    fits = "x.doc_id <> y.doc_id AND x.lang = y.lang" if same else "x.doc_id <> y.doc_id AND x.lang <> y.lang"
-    order = "(x.source = y.source)::INT, " if same else ""
-    return f"""WITH h AS (SELECT doc_id, lang, source, md5('42' || doc_id) AS h FROM documents ORDER BY h, doc_id LIMIT 1000),
-    t AS (SELECT * FROM {step(1)} UNION ALL SELECT * FROM {step(2)} UNION ALL SELECT * FROM {step(3)})
-    SELECT x.doc_id AS a, y.doc_id AS b FROM t x JOIN documents y ON y.doc_id = x.b WHERE {fits} ORDER BY {order}x.h, y.doc_id LIMIT 20"""
+    few = "" if same else "AND lang IN (SELECT lang FROM (SELECT lang, min(struct_pack(h := h, k := doc_id)) AS f FROM h GROUP BY lang) ORDER BY f LIMIT 21)"
+    fits = "a.lang = b.lang" if same else "a.lang <> b.lang"
+    order = "(a.source = b.source)::INT, " if same else ""
+    return f"""WITH h AS (SELECT doc_id, lang, source, md5('42' || doc_id) AS h FROM documents WHERE lang IS NOT NULL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) AS p, row_number() OVER (PARTITION BY lang, source ORDER BY h, doc_id) AS y FROM h),
+    f AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) AS py FROM k WHERE y = 1),
+    pool AS (SELECT doc_id, lang, source, h FROM k WHERE p <= 40 {few} UNION SELECT doc_id, lang, source, h FROM f WHERE py <= 21 {few})
+    SELECT a.doc_id AS a, b.doc_id AS b FROM pool a JOIN pool b ON {fits} AND (a.h, a.doc_id) < (b.h, b.doc_id) ORDER BY {order}a.h, b.h LIMIT 20"""
 
 
 def _pairs(spark, sf_dir, same):
@@ -125,12 +126,16 @@ def negative_sample(spark, sf_dir):
 def trim_to_target(spark, sf_dir):
     target = {"user": 30, "assistant": 20}
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("tipo_query"))
-    # ids count all rows; no more than the first of each kind are kept, so only the head is numbered
+    # the rows of each kind before one are counted by ranges of conversations, then within its own range
     place = F.struct("conv_id", "turn")
-    kept = sampling.trim(rows.withColumn("ord", place), target)
-    before = rows.select(place.alias("p")).alias("r")
-    heads = kept.alias("k").join(before, F.col("r.p") <= F.col("k.ord")).groupBy("k.conv_id", "k.turn", "k.tipo_query").agg(F.count("*").alias("n"))
-    return heads.select("conv_id", "turn", F.col("tipo_query").alias("role"), sampling.question_id(F.col("n")).alias("id"))
+    kept = sampling.trim(rows.withColumn("ord", place), target).drop("ord")
+    block = F.floor(F.col("conv_id") / 64)
+    before = rows.groupBy(block.alias("block")).agg(F.count("*").alias("n"))
+    starts = before.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # a row a range
+    wanted = kept.select(block.alias("block")).distinct()
+    inside = rows.withColumn("block", block).join(wanted, "block", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("block").orderBy("conv_id", "turn")))
+    placed = inside.join(starts, "block").select("conv_id", "turn", "tipo_query", (F.col("start") + F.col("k")).alias("n"))
+    return placed.join(kept, ["conv_id", "turn", "tipo_query"], "left_semi").select("conv_id", "turn", F.col("tipo_query").alias("role"), sampling.question_id(F.col("n")).alias("id"))
 
 
 @query("SELECT doc_id, text, n_chars FROM documents WHERE length(text) >= 300 AND source IN ('src1', 'src2', 'src3')")
@@ -165,7 +170,7 @@ def top_creators(spark, sf_dir):
     return corpus.counts(table(spark, sf_dir, "documents"), "source", 10, "doc_id")
 
 
-@query()
+@query("SELECT unnest([0, 1])::INT AS run, (SELECT count(*) FROM events) AS rows_in_sink")
 def stream_resume(spark, sf_dir):
     """The same files are ingested twice and must be there once."""
     root = scratch(spark, "ingest")

@@ -96,9 +96,8 @@ def lone_numbers(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.join_lone_numbers(t)).alias("digest"))
 
 
-@query()
+@query("SELECT doc_id, unnest([12, 13])::INT AS num, unnest(['Documento SIC nº ' || doc_id || '/2020 de origem', 'Nota Técnica nº 5 de outra área']) AS text FROM documents")
 def footnotes(spark, sf_dir):
-    """Look-ahead has no SQL counterpart; the tests hold it against a plain restatement."""
     t = F.concat("text", F.lit("\n\n12 Documento SIC nº "), F.col("doc_id").cast("string"), F.lit("/2020 de origem\n\n13 Nota Técnica nº 5 de outra área\n\n12 SIC repetido, que não fica"))
     rows = table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
     return rows.select("doc_id", F.explode(T.footnotes(F.col("t"))).alias("f")).select("doc_id", "f.num", "f.text")
@@ -129,7 +128,7 @@ def repeated_lines(spark, sf_dir):
 def strip_repeated(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     repeated = cleaning.repeated_lines(docs, "source", "doc_id", "text")
-    return cleaning.drop_repeated(docs, repeated, "source", "doc_id", "text").select("doc_id", F.md5("text").alias("digest"))
+    return cleaning.drop_repeated(docs, repeated, "source", "text").select("doc_id", F.md5("text").alias("digest"))
 
 
 @query(
@@ -215,13 +214,13 @@ def process_number(spark, sf_dir):
 
 @query(
     """SELECT page_id, array_to_string(list_filter([upper(split_part(split_part(url, '//', 2), '.', 1)), CASE WHEN page_id % 3 = 0 THEN NULL ELSE (2000 + page_id % 9)::VARCHAR END, CASE WHEN page_id % 4 = 0 THEN '' ELSE 'p' || page_id END], lambda x: x IS NOT NULL AND x <> ''), ' | ') AS label,
-    trim(replace(html[1:400], chr(10), ' '))[1:200] AS snippet FROM pages"""
+    trim(replace(html, chr(10), ' '))[1:200] AS snippet FROM pages"""
 )
 def label_lines(spark, sf_dir):
     i = F.col("page_id")
     host = F.split_part(F.split_part("url", F.lit("//"), F.lit(2)), F.lit("."), F.lit(1))
     label = T.label_line(host, F.when(i % 3 == 0, 0).otherwise(2000 + i % 9), F.when(i % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("p"), i.cast("string"))), F.lit(""))
-    return table(spark, sf_dir, "pages").select("page_id", label.alias("label"), T.snippet(F.substring("html", 1, 400)).alias("snippet"))
+    return table(spark, sf_dir, "pages").select("page_id", label.alias("label"), T.snippet(F.col("html")).alias("snippet"))
 
 
 QUERIES, ORACLES = query.queries, query.oracles

@@ -10,15 +10,14 @@ from dataclasses import dataclass, field
 # Java patterns.  Word characters are letters, digits and "_" of any script.
 W = r"[\p{L}\p{N}_]"
 EDGE = rf"(?:(?<={W})(?!{W})|(?<!{W})(?={W}))"
-DASH = r"[–\-]"
 
 # Structure markers in the order that breaks ties; group 1 is the label, group 2 the title.
 MARKERS = {
-    "capitulo": (rf"(?m)^\s*(CAP[ÍI]TULO\s+[IVXLCDM]+){EDGE}\s*{DASH}?\s*(.*)$", 1),
-    "secao": (rf"(?m)^\s*(Se[çc][ãa]o\s+[IVXLCDM]+){EDGE}\s*{DASH}?\s*(.*)$", 2),
+    "capitulo": (rf"(?m)^\s*(CAP[ÍI]TULO\s+[IVXLCDM]+){EDGE}\s*[–\-]?\s*(.*)$", 1),
+    "secao": (rf"(?m)^\s*(Se[çc][ãa]o\s+[IVXLCDM]+){EDGE}\s*[–\-]?\s*(.*)$", 2),
     "artigo": (rf"(?m)^\s*(Art\.\s*\d+[ºo°]?){EDGE}", 3),
     "paragrafo": (rf"(?miu)^\s*(§\s*\d+[ºo°]?|Parágrafo\s+único){EDGE}", 4),
-    "anexo": (rf"(?m)^\s*(ANEXO(?:\s+[IVXLCDM]+)?){EDGE}\s*{DASH}?\s*(.*)$", 0),
+    "anexo": (rf"(?m)^\s*(ANEXO(?:\s+[IVXLCDM]+)?){EDGE}\s*[–\-]?\s*(.*)$", 0),
     "quadro": (rf"(?m)^\s*(Quadro\s+\d+){EDGE}\s*[–\-:]?\s*(.*)$", 5),
     "tabela": (rf"(?m)^\s*(Tabela\s+\d+){EDGE}\s*[–\-:]?\s*(.*)$", 5),
 }
@@ -53,7 +52,9 @@ FOOTNOTE = (
 )
 # Act types that questions are drawn from, and the texts of the generator.
 PRIORITY_TYPES = ("ren", "reh", "prt", "dsp", "area", "vot")
-NOT_FOUND = "Não localizei essa informação nos documentos fornecidos."
+#: What an answer says if the texts don't hold it, and the answer without any text.
+NOT_FOUND = "Não encontrei informação suficiente"
+NO_ANSWER = NOT_FOUND + " nos documentos para responder esta pergunta."
 
 
 @dataclass(frozen=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -32,14 +32,22 @@ def read_metadata(spark: SparkSession, glob: str, only_year: int | None = None)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows and bad lines.  Strict reading raises on a bad line when the rows are read; blank lines never count."""
+    """Rows and bad lines; blank lines are neither.
+
+    Strict reading raises on a bad line when the rows are read, and its ``limit`` counts all
+    lines of the file, blank ones too.  Tolerant reading stops after ``limit`` good rows.
+    """
+    lines = spark.read.text(path)
     if strict:
-        rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-        bad = spark.createDataFrame([], "line string")
-    else:
-        lines = spark.read.text(path).where("trim(value) <> ''").select("value", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("row"), F.try_parse_json("value").isNull().alias("bad"))
-        rows, bad = lines.where("not bad").select("row.*"), lines.where("bad").select(F.col("value").alias("line"))
-    return (rows if limit is None else rows.limit(limit)), bad
+        head = lines if limit is None else lines.withColumn("__at", F.monotonically_increasing_id()).orderBy("__at").limit(limit).drop("__at")
+        # a bad line has no value of its own to be read
+        broken = F.raise_error(F.concat(F.lit("MALFORMED_LINE: "), F.substring("value", 1, 200)))
+        row = F.when(F.try_parse_json("value").isNotNull(), F.from_json("value", schema, {"mode": "PERMISSIVE"})).otherwise(F.from_json(broken.cast("string"), schema))
+        return head.where("trim(value) <> ''").select(row.alias("row")).select("row.*"), spark.createDataFrame([], "line string")
+    each = lines.where("trim(value) <> ''").select("value", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("row"), F.try_parse_json("value").isNull().alias("bad"))
+    good = each.where("not bad")
+    good = good if limit is None else good.withColumn("__at", F.monotonically_increasing_id()).orderBy("__at").limit(limit)
+    return good.select("row.*"), each.where("bad").select(F.col("value").alias("line"))
 
 
 def read_page_files(spark: SparkSession, root: str, pattern: str = "*.pdf") -> DataFrame:
@@ -59,17 +67,24 @@ def read_page_files(spark: SparkSession, root: str, pattern: str = "*.pdf") -> D
     )
 
 
-def extract_pages(files: DataFrame, extract: Callable[[bytes], list[dict]]) -> DataFrame:
+def extract_pages(files: DataFrame, extract: Callable[[bytes], Iterable]) -> DataFrame:
     """Pages (``schemas.PAGE``) by an extractor of the caller's: bytes to pages with blocks and tables.
 
-    A document that the extractor fails on is left out.
+    A page may be a function that gives it; one that fails is an empty page.  A document that the
+    extractor fails on has no pages: ``unread`` tells which.
     """
 
+    def page(one) -> dict:
+        try:
+            return (one() if callable(one) else one) or {}
+        except Exception:  # a broken page must not take the others with it
+            return {}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for doc_id, content in zip(pdf["doc_id"], pdf["content"]):
                 try:
-                    pages = extract(bytes(content))
+                    pages = [page(one) for one in extract(bytes(content))]
                 except Exception:  # a broken file must not stop the others
                     continue
                 if pages:
@@ -78,5 +93,10 @@ def extract_pages(files: DataFrame, extract: Callable[[bytes], list[dict]]) -> D
     return files.select("doc_id", "content").mapInPandas(run, PAGE)
 
 
+def unread(files: DataFrame, pages: DataFrame) -> DataFrame:
+    """``doc_id, error`` of the files that gave no page."""
+    return files.select("doc_id").join(pages.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit("open_failed").alias("error"))
+
+
 def first_pages(pages: DataFrame, n: int = 3) -> DataFrame:
     return pages.where(F.col("page") <= n)

@@ -2,21 +2,56 @@
 
 from __future__ import annotations
 
+import json
 import time
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import snippet, uuid5
 from ..operators.corpus import latest
+from .files import remove, versions
+
+
+#: Versions of a table of points that are kept: a reader of the one before is not cut off.
+KEPT_VERSIONS = 2
 
 
 def write_points(chunks: DataFrame, path: str, by: list[str] | None = None) -> DataFrame:
-    """Chunks under their name-based id, the last version of each; written whole, so a repeat changes nothing."""
+    """Put chunks under their name-based id into the table at ``path``; the last write of an id wins.
+
+    What is there and the batch make the next version, in a folder of its own that counts once
+    it is complete.  Within a batch the largest ``version`` of an id stays, if there is such a
+    column; otherwise the largest row.
+    """
+    spark = chunks.sparkSession
     keyed = chunks.withColumn("id", uuid5(F.col("chunk_id")))
-    once = keyed if "version" not in keyed.columns else latest(keyed, "id", "version")
+    done = versions(spark, path)
+    batch = keyed.withColumn("__new", F.lit(1))
+    both = batch.unionByName(read_points(spark, path).withColumn("__new", F.lit(0)), allowMissingColumns=True) if done else batch
+    rest = sorted(c for c in keyed.columns if c not in ("id", "version"))
+    sortable = [F.to_json(F.struct(F.col(c))) for c in rest]
+    order = F.struct("__new", *([F.col("version")] if "version" in keyed.columns else []), *sortable)
+    once = latest(both.withColumn("__order", order), "id", "__order").drop("__order", "__new")
     out = once.write.mode("overwrite")
-    (out.partitionBy(*by) if by else out).parquet(path)
-    return chunks.sparkSession.read.parquet(path)
+    (out.partitionBy(*by) if by else out).parquet(f"{path}/v{(done[-1] if done else 0) + 1:06d}")
+    for old in done[: 1 - KEPT_VERSIONS or len(done)]:
+        remove(spark, f"{path}/v{old:06d}")
+    return read_points(spark, path)
+
+
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of the points at ``path``."""
+    done = versions(spark, path)
+    if not done:
+        raise FileNotFoundError(f"no points at {path}")
+    return spark.read.parquet(f"{path}/v{done[-1]:06d}")
+
+
+def collection_stats(points: DataFrame) -> DataFrame:
+    """One row: the number of points, whether each id stands once, and the status (green: ready, yellow: ids repeat, grey: empty)."""
+    n = points.agg(F.count("*").alias("points_count"), F.countDistinct("id").alias("ids"))
+    status = F.when(F.col("points_count") == 0, "grey").when(F.col("points_count") == F.col("ids"), "green").otherwise("yellow")
+    return n.select("points_count", status.alias("status"))
 
 
 def append_new(rows: DataFrame, path: str, key: str) -> int:
@@ -51,6 +86,20 @@ def write_evaluation(questions: DataFrame, summary: DataFrame, root: str) -> Non
     summary.coalesce(1).write.mode("overwrite").json(f"{root}/summary")
 
 
+def write_report(summary: dict, rows: DataFrame, path: str, name: str = "per_pdf") -> None:
+    """A profile's report: ``summary.json``'s one object, and a line for each file."""
+    spark = rows.sparkSession
+    spark.createDataFrame([(json.dumps(summary, ensure_ascii=False, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/summary")
+    rows.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def rendered_answer(rows: DataFrame) -> DataFrame:
+    """Text and a JSON object of each answer: ``answer, not_found, citations`` (structs with ``n, chunk_id, url``)."""
+    lines = F.array_join(F.transform("citations", lambda c: F.format_string("  [%d] %s  %s", c["n"], c["chunk_id"].cast("string"), F.coalesce(c["url"], F.lit("")))), "\n")
+    shown = F.concat("answer", F.when(F.size("citations") > 0, F.concat(F.lit("\n\nFontes:\n"), lines)).otherwise(F.lit("")))
+    return rows.select("*", shown.alias("shown"), F.to_json(F.struct(*rows.columns)).alias("json"))
+
+
 def rendered_hits(hits: DataFrame) -> DataFrame:
     """A line of text and a JSON object for each hit."""
     fields = [c for c in hits.columns if c != "text"]
