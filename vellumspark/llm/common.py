@@ -52,11 +52,13 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: the lineage ends there.
 
-    Unlike a local checkpoint the files outlive the executors that wrote them.
+    Unlike a local checkpoint the files outlive the executors that wrote them.  Pages of long
+    texts are large: zstandard streams through them, where the default codec holds each whole
+    outside the heap; and a page is closed as soon as it is full.
     """
     spark = df.sparkSession
     path = fresh_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").option("parquet.page.size.row.check.min", "10").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
