@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.arrays import p90_exclusive
 from ..functions.text import as_https, is_pdf_url
+from .cleaning import is_multi_column, looks_scanned, named
 
 
 def download_tasks(rows: DataFrame, only_kind: str | None = None) -> DataFrame:
@@ -86,3 +87,46 @@ def profile_by_kind(rows: DataFrame, kind: str, pages: str, chars: str, size: st
     spread = counted(rows, kind, pages, "p").join(counted(rows, kind, size, "s"), kind)
     spread = spread.select(kind, p90_exclusive(F.col("p")).alias("pages_p90"), p90_exclusive(F.col("s")).alias("size_p90"))
     return main.join(spread, kind).orderBy(F.desc("n"), kind)
+
+
+def page_profile(pages: DataFrame, first: int = 5) -> DataFrame:
+    """One row for each document of pages (``schemas.PAGE``): pages, characters and images of the first ones, flags, a sample.
+
+    Images are blocks of type 1.  ``pdf_creator`` and ``error``, if there, are the same on all pages.
+    """
+    text = F.array_join(F.transform(F.filter("blocks", lambda b: b["type"] == 0), lambda b: b["text"]), "\n")
+    images = F.size(F.filter("blocks", lambda b: b["type"] == 1))
+    page = pages.select("*", F.length(text).cast("long").alias("chars"), images.cast("long").alias("images"), is_multi_column(F.col("blocks"), F.col("width")).alias("wide"), text.alias("all_text"))
+    head = page.where(F.col("page") <= first)
+    placed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("page", c))), lambda x: x[c])
+    by_doc = head.groupBy("doc_id").agg(placed("chars").alias("chars"), placed("images").alias("images"), F.count_if(F.coalesce("wide", F.lit(False))).alias("multi_col_pages"), F.substring(F.array_join(placed("all_text"), "\n"), 1, 300).alias("first_text"))
+    optional = [F.max(c).alias(c) for c in ("pdf_creator", "error") if c in pages.columns]
+    size = F.sum(F.length("all_text")).alias("size")
+    whole = page.groupBy("doc_id").agg(F.count("*").alias("n_pages"), size, *optional)
+    mean = F.aggregate("chars", F.lit(0).cast("long"), lambda s, x: s + x) / F.greatest(F.size("chars"), F.lit(1))
+    out = whole.join(by_doc, "doc_id", "left").withColumns({"chars_per_page": mean, "ocr_suspect": looks_scanned(F.col("chars"), F.col("images"), first)} | named(F.col("doc_id").cast("string")))
+    missing = [F.lit(None).cast("string").alias(c) for c in ("pdf_creator", "error") if c not in out.columns]
+    return out.drop("chars", "images").select("*", *missing)
+
+
+def analysis(pages: DataFrame) -> tuple[DataFrame, dict]:
+    """A profile of each document, and the summary: counts, first errors, creators, and each type with two samples."""
+    per = page_profile(pages)
+    flags = {"n_ocr_suspect": F.col("ocr_suspect"), "n_multi_col": F.col("multi_col_pages") > 0}
+    fine = per.where("error is null")
+    summary = profile(per, flags, F.col("error")).head().asDict()
+    summary["n_error"] = summary["n"] - summary["n_ok"]
+    summary["errors_sample"] = [f"{r.filename}: {r.error}" for r in first_errors(per, "error", "doc_id").collect()]
+    summary["creators_top"] = [tuple(r) for r in counts(fine.withColumn("pdf_creator", F.coalesce("pdf_creator", F.lit(""))), "pdf_creator", 8, "doc_id").collect()]
+    samples: dict[str, list] = {}
+    for r in kind_samples(fine, "tipo_ato", "doc_id", ["filename", "year", "n_pages", "first_text"]).collect():  # two of each type
+        samples.setdefault(r.tipo_ato, []).append({"file": r.filename, "ano": r.year, "pages": r.n_pages, "first_text": r.first_text})
+    kinds = profile_by_kind(fine, "tipo_ato", "n_pages", "chars_per_page", "size", flags).collect()
+    summary["tipos_ato"] = {r.tipo_ato: {k: v for k, v in r.asDict().items() if k != "tipo_ato"} | {"samples": samples.get(r.tipo_ato, [])} for r in kinds}
+    return per, summary
+
+
+def kind_samples(rows: DataFrame, kind: str, order: str, columns: list[str], n: int = 2) -> DataFrame:
+    """The first ``n`` rows of each kind."""
+    place = F.row_number().over(Window.partitionBy(kind).orderBy(order))
+    return rows.withColumn("__place", place).where(F.col("__place") <= n).select(kind, order, *columns).orderBy(kind, order)
