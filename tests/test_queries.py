@@ -35,11 +35,8 @@ def test_query_equals_sql(spark, sf, sql, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in found.fetchall()), key=str)
 
 
-def test_the_rest_runs(spark, sf):
-    assert set(QUERIES) - set(ORACLES) == {"footnotes", "act_chunks", "stream_resume"}
-    assert [r.rows_in_sink for r in QUERIES["stream_resume"](spark, sf).orderBy("run").collect()] == [1000, 1000]
-    assert QUERIES["footnotes"](spark, sf).count() == 400
-    assert QUERIES["act_chunks"](spark, sf).count() > 10
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):

@@ -136,12 +136,4 @@ def range_containment(spark, sf_dir):
     return rows.select("conv_id", F.col("a.label").alias("article"), F.explode(inside).alias("p")).select("conv_id", "article", F.col("p.label").alias("paragraph"))
 
 
-@query()
-def act_chunks(spark, sf_dir):
-    """Tier A on conversations; the tests hold it against a plain restatement."""
-    acts = chunking.with_estimate(_acts(spark, sf_dir).withColumnRenamed("conv_id", "doc_id"))
-    out = chunking.chunk_documents(acts, MARKED)
-    return out.select("doc_id", "tier", "chunk_id", "section_type", "section_label", "section_parent", "section_title", "char_start", "char_end", "n_chars", "n_tokens_est")
-
-
 QUERIES, ORACLES = query.queries, query.oracles

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, corpus, search, text
+from . import acts, chunks, corpus, files, search, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for part in (text, search, chunks, corpus):
+for part in (text, search, chunks, acts, corpus, files):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES

@@ -20,3 +20,6 @@ PAGE = (
 )
 GOLDEN = "id string, pergunta string, tipo_query string, resposta_esperada string, docs_relevantes array<string>, tipo_ato_filtro string, year_filtro int"
 RECORD = "registros array<struct<titulo:string,pdfs:array<struct<url:string,arquivo:string,tipo:string>>>>"
+# Columns of a chunk that a lexical hit, and a stored point, carry.
+PAYLOAD_SMALL = ("chunk_id", "doc_id", "tipo_ato", "year", "tier", "section_type", "section_label", "title", "url")
+PAYLOAD = (*PAYLOAD_SMALL[:7], "section_parent", "title", "ementa", "filename", "url", "char_start", "char_end", "n_chars", "n_tokens_est")
