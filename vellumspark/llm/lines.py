@@ -11,7 +11,7 @@ blank begins a run: the shortest row of lines from there, two or more, with over
 words.  Runs are taken for repeated by the same steps as chunks.
 
 A chunk of several lines, a long line or a run that occurs more than once in the corpus stays
-where it first occurs (smallest id, then text hash, then line) and is removed elsewhere.  An
+where it first occurs (smallest id, a null before all, then text hash, then line) and is removed elsewhere.  An
 occurrence that begins inside the first one stays too.  Each line that goes still stands at an
 earlier place, so nothing is lost altogether.
 
