@@ -144,3 +144,17 @@ def test_samples(spark):
     kept = sampling.trim(spark.createDataFrame([("factual", i) for i in range(40)] + [("other", 1)], "tipo_query string, ord int"))
     assert sorted(r.ord for r in kept.collect()) == list(range(30))
     assert sampling.public_columns(spark.createDataFrame([(1, 2)], "a int, _b int")).columns == ["a"]
+
+
+def test_stored_index_is_built_once_for_each_version(spark, tmp_path, monkeypatch):
+    calls, plain = [], lexical.store_index
+    monkeypatch.setattr(lexical, "store_index", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    path, root = f"file://{tmp_path}/docs", f"file://{tmp_path}/index"
+    rows = spark.createDataFrame([(1, "a b b"), (2, ""), (3, None)], "id int, text string")
+    rows.write.parquet(path)
+    for _ in range(2):
+        index = lexical.stored_index(spark.read.parquet(path), "id", root)
+        assert {(r.term, r.tf, r.dl) for r in index.postings.collect()} == {("a", 1, 3), ("b", 2, 3)} and index.lengths.count() == 3
+    assert len(calls) == 1
+    rows.union(rows).write.mode("overwrite").parquet(path)
+    assert lexical.stored_index(spark.read.parquet(path), "id", root).lengths.count() == 6 and len(calls) == 2

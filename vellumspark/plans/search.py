@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.arrays import latency_percentile, p90_exclusive
 from ..operators import context, corpus, dense, evaluate, fusion, lexical, models
-from ..sources.scratch import scratch
+from ..sources.scratch import kept
 from .common import Registry, table, words_sql
 
 query = Registry()
@@ -31,7 +31,8 @@ def top_sql(source: str, k: int, name: str, where: str = "true") -> str:
 
 
 def _index(spark, sf_dir) -> lexical.LexicalIndex:
-    return lexical.store_index(table(spark, sf_dir, "documents"), "doc_id", scratch(spark, "index"))
+    """The documents' index; the first query on a version of the table builds it."""
+    return lexical.stored_index(table(spark, sf_dir, "documents"), "doc_id", kept(spark, "lexical"))
 
 
 def _named(ranked: DataFrame, score: int = 6) -> DataFrame:
@@ -41,7 +42,8 @@ def _named(ranked: DataFrame, score: int = 6) -> DataFrame:
 @query(f"WITH {BM25_SQL} SELECT n, round(avgdl, 6) AS avgdl, round(mean_idf, 6) AS mean_idf, (SELECT count(*) FROM idf) AS n_terms, (SELECT sum(tf)::BIGINT FROM post) AS n_tokens FROM corp, mean")
 def corpus_stats(spark, sf_dir):
     index = _index(spark, sf_dir)
-    more = index.postings.agg(F.countDistinct("term").alias("n_terms"), F.sum("tf").alias("n_tokens"))
+    # two tables of one row
+    more = index.terms.agg(F.count("*").alias("n_terms")).crossJoin(index.lengths.agg(F.sum("dl").alias("n_tokens")))
     return index.corpus.crossJoin(more).select("n", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"), "n_terms", "n_tokens")
 
 

@@ -2,18 +2,44 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+#: Folders of this process; they go when it ends.
+_ROOTS: dict[str, str] = {}
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; a session on one machine without that gets one of its own."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
+
+def shared(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a session on one machine without that gets a folder of its own."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="vellum-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        found = "file://" + tempfile.mkdtemp(prefix="vellum-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def _remove(spark: SparkSession, root: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the JVM may be gone already; the folder then stays until the shared one is cleared
+        pass
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path; it lasts as long as this process."""
+    root = shared(spark)
+    if root not in _ROOTS:
+        _ROOTS[root] = f"{root}/scratch-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _ROOTS[root])
+    return f"{_ROOTS[root]}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(spark: SparkSession, name: str) -> str:
+    """A path that later sessions find again."""
+    return f"{shared(spark)}/kept/{name}"
