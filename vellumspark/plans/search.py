@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.arrays import latency_percentile, p90_exclusive
@@ -86,6 +88,31 @@ def dense_topk_filtered(spark, sf_dir):
     return _named(dense.search(vectors, _asked(vectors, "id % 20 = 0"), 10, fusion.filters({"label": 3})))
 
 
+SMOKE = (0, 20, 40, 60, 80)
+
+
+@query(f"WITH {DENSE_SQL.format(where=f'vec_id IN {SMOKE}')}, {top_sql('ds', 3, 'best')} SELECT qid AS item_id, rank, id AS doc_id, round(score, 6) AS score, (SELECT count(*) FROM embeddings) AS points_count FROM best")
+def dense_smoke(spark, sf_dir):
+    """The three nearest of five fixed questions, and how many points there are."""
+    vectors = _vectors(spark, sf_dir)
+    found = _named(dense.search(vectors, _asked(vectors, f"id in {SMOKE}"), 3))
+    return found.crossJoin(F.broadcast(vectors.agg(F.count("*").alias("points_count"))))  # one row
+
+
+@query(
+    f"""WITH {BM25_SQL}, own AS (SELECT sc.* FROM sc JOIN documents ON doc_id = id WHERE CASE qid % 3 WHEN 0 THEN true WHEN 1 THEN lang = 'en' ELSE lang = 'en' AND source = 'src1' END), {top_sql('own', 20, 'best')}
+    SELECT qid AS item_id, rank, id AS doc_id, round(score, 6) AS score FROM best"""
+)
+def golden_filters(spark, sf_dir):
+    """Each question is searched under its own filters; those with the same ones together."""
+    items, index = table(spark, sf_dir, "benchmark"), _index(spark, sf_dir)
+    payload = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
+    parts = []
+    for k, values in enumerate(({}, {"lang": "EN"}, {"lang": "en", "source": "src1"})):
+        parts.append(lexical.search(index, items.where(F.col("item_id") % 3 == k), "item_id", 20, payload, fusion.filters(values)))
+    return _named(reduce(DataFrame.unionByName, parts))
+
+
 FUSED_SQL = f"""WITH {BM25_SQL}, {DENSE_SQL.format(where='vec_id IN (SELECT item_id FROM benchmark)')},
 {top_sql('sc', 30, 'lx')}, {top_sql('ds', 30, 'dn')},
 un AS (SELECT qid, id, rank, 1 AS d FROM dn UNION ALL SELECT qid, id, rank, 0 FROM lx),
