@@ -106,7 +106,9 @@ def trim(rows: DataFrame, target: dict[str, int] | None = None, kind: str = "tip
     target = TARGET if target is None else target
     most = F.create_map(*[F.lit(x) for kv in target.items() for x in kv])
     place = F.row_number().over(Window.partitionBy(kind).orderBy(order))
-    return rows.withColumn("place", place).where(F.col("place") <= F.coalesce(F.try_element_at(most, F.col(kind)), F.lit(0))).drop("place")
+    # the largest target first: each task then keeps no more rows of a kind than that
+    near = rows.withColumn("place", place).where(F.col("place") <= max(target.values(), default=0))
+    return near.where(F.col("place") <= F.coalesce(F.try_element_at(most, F.col(kind)), F.lit(0))).drop("place")
 
 
 def question_id(n: Column) -> Column:
