@@ -10,8 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch: the longest texts of a batch must fit a Python worker together.
-BATCH_ROWS = 500
+#: Rows, and bytes, in one Arrow batch: the texts of a batch must fit a Python worker together.
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,10 +77,16 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Before Python runs on executors: bound the Arrow batches, in which whole texts travel."""
+    """Before Python runs on executors: bound the Arrow batches, in which whole texts travel.
+
+    The session's bounds are only lowered, and stay so: a returned table is computed later.
+    """
     ship_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    held = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if held > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

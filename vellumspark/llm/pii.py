@@ -10,7 +10,9 @@ kinds, ``iban`` (as long as its country has it, mod-97) and ``ssn`` (needs a con
 ``n_email`` to ``n_phone`` and ``base_sha256`` count base spans only.
 
 Defined results: a null text counts as empty and gives a row without spans; spans of different
-kinds may overlap; repeated rows give repeated results; an empty table gives an empty result.
+kinds may overlap; spans of one start are in the order of the kinds; texts of any length are searched
+whole; repeated rows give repeated results; columns besides id and text, whatever their names, are
+not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

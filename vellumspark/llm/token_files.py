@@ -15,7 +15,8 @@ repeated leaves an unused file behind at worst.
 
 Defined results: a null text is encoded as the empty one, so it has the end id alone; rows are
 ordered by id (nulls first), rows that share an id by a hash of their text; an empty table
-gives no files and an empty result.
+gives no files and an empty result; texts of any length are encoded whole, and columns besides id
+and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
