@@ -1,5 +1,4 @@
 import math
-import re
 import zlib
 from collections import Counter, defaultdict
 

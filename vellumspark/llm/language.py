@@ -22,7 +22,6 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
