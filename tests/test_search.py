@@ -5,7 +5,6 @@ import random
 import re
 from collections import Counter
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from vellumspark.operators import context, dense, evaluate, fusion, lexical, models, sampling
