@@ -127,7 +127,8 @@ def test_letters_are_letters(spark):
     rows = [(0, "the cat", "en"), (1, "²½Ⅷ٣ ¹", "en"), (2, "x²y", "en"), (3, "ʰ", "en"), (4, "漢字", "zh"), (5, "१२ ½", None)]
     got = {r.doc_id: r.lang_pred for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert got[1] == got[5] == "und" and "und" not in (got[0], got[2], got[3], got[4])
-    assert language.WORD.findall("x²y Ⅷa 1b_c") == ["x", "y", "a", "b", "c"] == letters("x²y Ⅷa 1b_c")
+    for text in ("x²y Ⅷa 1b_c", "Straße, DÉJÀ vu 1a", "½x", "İx ǅ", "plain words_here 2"):
+        assert language.words_of(text) == letters(text)
 
 
 def test_nulls_letters_ties_repeats_and_empty(spark):

@@ -53,10 +53,17 @@ def _marks() -> str:
     return "".join(f"{chr(found[a])}-{chr(found[b - 1])}" for a, b in zip(ends, ends[1:]))
 
 
-#: A run of letters.
+#: A run of letters; the short pattern is as good where none of the marks stands.
+MARK, PLAIN = re.compile(f"[{_marks()}]"), re.compile(r"[^\W\d_]+")
 WORD = re.compile(rf"[^\W\d_{_marks()}]+")
 
 
+def words_of(text: str) -> list[str]:
+    """The lower-cased runs of letters of a text."""
+    low = text.lower()
+    return (PLAIN if low.isascii() or not MARK.search(low) else WORD).findall(low)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -74,7 +81,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for pdf in batches:
         for text, lang in zip(pdf["text"], pdf["lang"]):
-            counts[lang].update(WORD.findall(text.lower()))
+            counts[lang].update(words_of(text))
         if sum(map(len, counts.values())) > HELD_WORDS:
             yield from drain()
     yield from drain()
@@ -181,7 +188,7 @@ class LanguageModel:
 
     def evidence(self, text: str) -> tuple[np.ndarray | None, int]:
         """Sum of the log frequencies of a text's words in each language, and their number."""
-        words = WORD.findall(text.lower())
+        words = words_of(text)
         if not words or not self.langs:
             return None, 0
         known, rows, weights = self.words, [], []
