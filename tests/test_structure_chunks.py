@@ -110,3 +110,17 @@ def test_chunk_ids_are_unique_and_nothing_is_lost(spark, sf):
     whole = docs.select("doc_id", F.length(strip(F.col("text"))).alias("n"))
     spans = rows.groupBy("doc_id").agg(F.max("char_end").alias("last"), F.min("char_start").alias("first"))
     assert whole.join(spans, "doc_id").where("last < n - 60 or first > 60").count() == 0
+
+
+def test_many_markers_take_linear_time(spark):
+    import time
+
+    def seconds(n):
+        rows = spark.createDataFrame([("\n".join(f"Art. {i}\n§ {i} x" for i in range(n)),)], "text string")
+        began = time.time()
+        nodes = rows.select(F.explode(structure.structure(F.col("text"), LEGAL)).alias("n")).where("n.parent = 'Art. 7' and n.end > n.start").count()
+        assert nodes == 1
+        return time.time() - began
+
+    seconds(50)
+    assert seconds(8000) < 3 * seconds(4000) + 2

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..functions.arrays import let, match_spans
+from ..functions.arrays import let, match_spans, prefix_sums
 from ..profiles import TextProfile
 
 
@@ -30,26 +30,38 @@ def markers(text: Column, profile: TextProfile) -> Column:
 def node_ends(nodes: Column, length: Column) -> Column:
     """End of each node: the start of the next node of the same or a higher rank, else the text's end.
 
-    ``nodes`` is in order of start.
+    ``nodes`` is in order of start.  For each rank at hand the starts that end it are listed once,
+    and running counts say which of them is next: the cost grows with the nodes, not their square.
     """
 
     def ends(n: Column) -> Column:
-        later = lambda x, i: F.filter(F.slice(n, i + 2, F.size(n)), lambda y: y["rank"] <= x["rank"])
-        return F.transform(n, lambda x, i: F.coalesce(F.get(later(x, i), F.lit(0))["start"], length))
+        def level(r: Column) -> Column:
+            closing = lambda x: x["rank"] <= r
+            starts = F.transform(F.filter(n, closing), lambda x: x["start"])
+            return F.struct(r.alias("rank"), starts.alias("starts"), prefix_sums(F.transform(n, lambda x: closing(x).cast("long"))).alias("seen"))
+
+        levels = F.transform(F.array_distinct(F.transform(n, lambda x: x["rank"])), level)
+
+        def lookup(held: Column) -> Column:
+            mine = lambda x: F.get(F.filter(held, lambda level: level["rank"] == x["rank"]), F.lit(0))
+            next_start = lambda own, i: F.get(own["starts"], F.get(own["seen"], i).cast("int"))
+            return F.transform(n, lambda x, i: F.coalesce(let(mine(x), lambda own: next_start(own, i)), length))
+
+        return let(levels, lookup)
 
     return let(nodes, ends)
 
 
 def parents(nodes: Column) -> Column:
     """Label of the last article before each paragraph; empty for all other nodes."""
-    start = F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("out"))
 
-    def fold(acc: Column, x: Column) -> Column:
-        last = F.when(x["type"] == "artigo", x["label"]).otherwise(acc["last"])
-        mine = F.when(x["type"] == "paragrafo", last).otherwise(F.lit(""))
-        return F.struct(last.alias("last"), F.concat(acc["out"], F.array(mine)).alias("out"))
+    def of(n: Column) -> Column:
+        article = lambda x: x["type"] == "artigo"
+        both = F.struct(F.transform(F.filter(n, article), lambda x: x["label"]).alias("labels"), prefix_sums(F.transform(n, lambda x: article(x).cast("long"))).alias("seen"))
+        last = lambda held, i: F.coalesce(F.get(held["labels"], (F.get(held["seen"], i) - 1).cast("int")), F.lit(""))
+        return let(both, lambda held: F.transform(n, lambda x, i: F.when(x["type"] == "paragrafo", last(held, i)).otherwise(F.lit(""))))
 
-    return F.aggregate(nodes, start, fold, lambda acc: acc["out"])
+    return let(nodes, of)
 
 
 def structure(text: Column, profile: TextProfile) -> Column:
