@@ -11,6 +11,7 @@ from ..operators import corpus, evaluate, models
 from ..operators.cleaning import looks_scanned, page_text
 from ..schemas import PAYLOAD, PAYLOAD_SMALL
 from ..sources import files, readers, writers
+from ..sources.config import parse_settings
 from ..sources.scratch import scratch
 from .chunks import _plain_chunks
 from .common import Registry, table
@@ -347,6 +348,16 @@ def payload_columns(spark, sf_dir):
     return chunks.select(*whole).select("doc_id", *[F.lit(n).alias(k) for k, n in (("small", len(small)), ("whole", len(whole)), ("of_small", len(PAYLOAD_SMALL)), ("of_whole", len(PAYLOAD)))])
 
 
+@query("""SELECT 'N' || n_nationkey AS name, CASE WHEN n_nationkey % 3 = 0 THEN n_name || '=x' WHEN n_nationkey % 3 = 1 THEN n_name ELSE '' END AS value FROM nation WHERE n_nationkey % 5 > 0""")
+def settings_file(spark, sf_dir):
+    """A settings file with a line for each nation: quoted, plain and empty values, comments and other lines."""
+    i, name = F.col("n_nationkey"), F.col("n_name")
+    value = F.when(i % 3 == 0, F.concat(F.lit("'"), name, F.lit("=x'"))).when(i % 3 == 1, F.concat(F.lit('  "'), name, F.lit('" '))).otherwise("")
+    line = F.when(i % 10 == 0, F.concat(F.lit(" # N"), name, F.lit("=1"))).when(i % 5 == 0, name).otherwise(F.concat(F.lit(" N"), i.cast("string"), F.lit(" ="), value))
+    lines = [r[0] for r in table(spark, sf_dir, "nation").select(line).collect()]  # 25 rows
+    return spark.createDataFrame(list(parse_settings("\n".join(lines)).items()), "name string, value string")
+
+
 @query("SELECT role, count(*) AS n FROM conversations GROUP BY role")
 def kind_distribution(spark, sf_dir):
     return corpus.counts(table(spark, sf_dir, "conversations"), "role")
