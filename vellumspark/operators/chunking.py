@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.arrays import let, match_spans
+from ..functions.arrays import let, match_spans, prefix_sums
 from ..functions.text import SPACE, slug, strip, tokens_chunked, tokens_parsed
 from ..profiles import TextProfile
 
@@ -92,6 +92,7 @@ def _sections(text: Column, nodes: Column, profile: TextProfile) -> Column:
         return F.struct(suffix.alias("suffix"), F.lit(kind).alias("type"), label.alias("label"), parent.alias("parent"), title.alias("title"), s.cast("int").alias("start"), e.cast("int").alias("end"), strip(body).alias("text"), lead.cast("int").alias("lead"))
 
     def article(a: Column, i: Column, paras: Column) -> Column:
+        """``paras``: the paragraphs between this article and the next."""
         name = F.concat(slug(a["label"]), F.format_string("_%03d", i))
         one = piece(name, "artigo", a["label"], no, a["title"], a["start"], a["end"])
         windowed = piece(name, "artigo", a["label"], no, no, a["start"], a["end"])
@@ -106,11 +107,21 @@ def _sections(text: Column, nodes: Column, profile: TextProfile) -> Column:
         small = F.length(body) < profile.least_chars
         return F.when(small, F.filter(F.array(one), lambda x: F.lit(False))).when(tokens_chunked(body) <= profile.most_tokens, F.array(one)).otherwise(let(mine, split))
 
+    def between(ps: Column, arts: Column) -> Column:
+        """For each article the paragraphs from its start to the next article's, by running counts over both."""
+        both = F.array_sort(F.concat(*[F.transform(x, lambda n: F.struct(n["start"].alias("start"), F.lit(k).alias("k"))) for k, x in ((0, arts), (1, ps))]))
+        seen = prefix_sums(F.transform(both, lambda n: n["k"].cast("long")))
+        # paragraphs before each article, and after the last one
+        before = F.filter(F.zip_with(both, seen, lambda n, c: F.when(n["k"] == 0, c)), lambda c: c.isNotNull())
+        upto = lambda b: F.concat(b, F.array(F.size(ps).cast("long")))
+        part = lambda b, i: F.slice(ps, (F.get(b, i) + 1).cast("int"), (F.get(b, i + 1) - F.get(b, i)).cast("int"))
+        return let(before, lambda b: let(upto(b), lambda u: F.transform(arts, lambda a, i: part(u, i))))
+
     def whole(arts: Column) -> Column:
         cut = F.get(arts, F.lit(0))["start"]
         preamble = piece(F.lit("preambulo"), "preambulo", F.lit("Preâmbulo"), no, no, F.lit(0), cut)
         first = F.filter(F.array(preamble), lambda x: F.length(x["text"]) >= profile.least_preamble)
-        articles = let(by_start("paragrafo"), lambda ps: F.flatten(F.transform(arts, lambda a, i: article(a, i, ps))))
+        articles = let(by_start("paragrafo"), lambda ps: let(between(ps, arts), lambda own: F.flatten(F.transform(arts, lambda a, i: article(a, i, F.get(own, i))))))
         annexes = F.transform(by_start("anexo"), lambda x, i: piece(F.concat(slug(x["label"]), F.format_string("_%d", i)), "anexo", x["label"], no, x["title"], x["start"], x["end"]))
         return F.concat(first, F.filter(F.concat(articles, annexes), lambda x: F.length(x["text"]) >= profile.least_chars))
 
