@@ -124,3 +124,17 @@ def test_many_markers_take_linear_time(spark):
 
     seconds(50)
     assert seconds(8000) < 3 * seconds(4000) + 2
+
+
+def test_parts_of_a_text(spark):
+    from vellumspark.functions import arrays
+
+    rng = random.Random(3)
+    texts = ["", "a", "é😀" * 20_000, "x" * (2 * arrays.CUT), "y" * (arrays.CUT + 1)]
+    rows = []
+    for i, t in enumerate(texts):
+        spans = [(a, min(len(t), a + rng.choice((0, 1, 500, 40_000)))) for a in [0, len(t), *(rng.randrange(len(t) + 1) for _ in range(20))]]
+        rows.append((i, t, spans))
+    some = spark.createDataFrame(rows, "i int, t string, spans array<struct<s:int,e:int>>")
+    got = some.select("i", arrays.with_parts(F.col("t"), lambda within: F.transform("spans", lambda p: within(p["s"], p["e"]))).alias("parts")).collect()
+    assert {r.i: r.parts for r in got} == {i: [t[a:b] for a, b in spans] for i, t, spans in rows}

@@ -45,6 +45,26 @@ def prefix_sums(values: Column) -> Column:
     return let(values, lambda a: F.when(F.size(a) > 0, blocks(a)).otherwise(F.array().cast("array<long>")))
 
 
+#: Characters of the blocks that a long text is cut into before parts of it are taken.
+CUT = 1 << 14
+
+
+def with_parts(text: Column, body: Callable[[Callable[[Column, Column], Column]], Column]) -> Column:
+    """``body`` of a function that takes the part of ``text`` from one code point to another, exclusive.
+
+    A substring walks a text from its start; many parts of a long one would walk it as often.
+    Here the text is cut into blocks once, and a part walks its own blocks only.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(CUT)), lambda i: F.substring(text, i + 1, F.lit(CUT)))
+
+    def part(held: Column) -> Callable[[Column, Column], Column]:
+        at = lambda x: F.floor(x / CUT).cast("int")
+        whole = lambda s, e: F.array_join(F.slice(held, at(s) + 1, at(e) - at(s) + 1), "")
+        return lambda s, e: F.when(e > s, F.substring(whole(s, e), (s % CUT + 1).cast("int"), (e - s).cast("int"))).otherwise(F.lit(""))
+
+    return let(blocks, lambda held: body(part(held)))
+
+
 def match_spans(text: Column, pattern: str, beside: int = 0, least: int = 1, keep: Callable[[Column], Column] | None = None) -> Column:
     """All matches of a pattern as ``array<struct<start, end, text>>``; code points, end exclusive.
 

@@ -7,9 +7,11 @@ the stripped text's own offset.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.arrays import let, match_spans, prefix_sums
+from ..functions.arrays import let, match_spans, prefix_sums, with_parts
 from ..functions.text import SPACE, slug, strip, tokens_chunked, tokens_parsed
 from ..profiles import TextProfile
 
@@ -80,10 +82,9 @@ def fixed_windows(text: Column, size: int, least: int) -> Column:
 PIECE = "array<struct<suffix:string,type:string,label:string,parent:string,title:string,start:int,end:int,text:string,windowed:boolean>>"
 
 
-def _sections(text: Column, nodes: Column, profile: TextProfile) -> Column:
-    """Tier A: preamble, articles (by paragraph where too long) and annexes, before the size cap."""
+def _sections(within: Callable[[Column, Column], Column], nodes: Column, profile: TextProfile) -> Column:
+    """Tier A: preamble, articles (by paragraph where too long) and annexes, before the size cap; ``within`` takes parts of the text."""
     by_start = lambda kind: F.array_sort(F.filter(nodes, lambda n: n["type"] == kind), lambda a, b: a["start"] - b["start"])
-    within = lambda s, e: F.substring(text, (s + 1).cast("int"), (e - s).cast("int"))
     no = F.lit("")
 
     def piece(suffix, kind, label, parent, title, s, e, cap=True) -> Column:
@@ -140,13 +141,15 @@ def chunk_documents(docs: DataFrame, profile: TextProfile) -> DataFrame:
     text, no = F.col("text"), F.lit("")
     # the whole text is a section as well: of windows (B) or of one chunk (C)
     plain = lambda suffix, kind: F.array(F.struct(F.lit(suffix).alias("suffix"), F.lit(kind).alias("type"), no.alias("label"), no.alias("parent"), no.alias("title"), F.lit(0).alias("start"), F.length(text).alias("end"), text.alias("text"), F.lit(0).alias("lead")))
-    sections = F.when(F.col("tier") == "A", _sections(text, F.col("structure"), profile)).when(F.col("tier") == "B", plain("b", "prosa")).otherwise(plain("doc", "doc"))
+    sections = F.when(F.col("tier") == "A", with_parts(text, lambda within: _sections(within, F.col("structure"), profile))).when(F.col("tier") == "B", plain("b", "prosa")).otherwise(plain("doc", "doc"))
     kept = [c for c in whole.columns if c not in ("text", "structure", "n_tokens_est")]
     parts = whole.select(*kept, F.explode(sections).alias("x"))
     capped = (F.col("tier") == "B") | ((F.col("tier") == "A") & (tokens_chunked(F.col("x.text")) > profile.most_tokens))
     one = F.array(F.struct(F.lit(0).alias("s"), F.length("x.text").alias("e")))
-    cut = parts.select(*kept, "x", capped.alias("capped"), F.posexplode(F.when(capped, windows(F.col("x.text"), profile)).otherwise(one)).alias("k", "w"))
-    body = strip(F.substring(F.col("x.text"), F.col("w.s") + 1, F.col("w.e") - F.col("w.s")))
+    spans = F.when(capped, windows(F.col("x.text"), profile)).otherwise(one)
+    texts = with_parts(F.col("x.text"), lambda within: F.transform(spans, lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), within(w["s"], w["e"]).alias("text"))))
+    cut = parts.select(*kept, "x", capped.alias("capped"), F.posexplode(texts).alias("k", "w"))
+    body = strip(F.col("w.text"))
     at = F.col("x.start") + F.col("x.lead")
     title = F.when(F.col("capped") & (F.col("x.type") == "artigo") & (F.col("x.title") != "caput"), no).otherwise(F.col("x.title"))
     out = cut.select(
