@@ -59,7 +59,8 @@ def with_parts(text: Column, body: Callable[[Callable[[Column, Column], Column]]
 
     def part(held: Column) -> Callable[[Column, Column], Column]:
         at = lambda x: F.floor(x / CUT).cast("int")
-        whole = lambda s, e: F.array_join(F.slice(held, at(s) + 1, at(e) - at(s) + 1), "")
+        # most parts lie within one block
+        whole = lambda s, e: F.when(at(s) == at(e - 1), F.get(held, at(s))).otherwise(F.array_join(F.slice(held, at(s) + 1, at(e - 1) - at(s) + 1), ""))
         return lambda s, e: F.when(e > s, F.substring(whole(s, e), (s % CUT + 1).cast("int"), (e - s).cast("int"))).otherwise(F.lit(""))
 
     return let(blocks, lambda held: body(part(held)))
