@@ -54,32 +54,57 @@ def test_window_stays_small_and_all_paths_pass_its_beginning():
     assert widest <= 4 * MODEL.longest and done > len(text) - widest
 
 
-def test_all_ids_come_from_commits(monkeypatch):
+def test_every_id_leaves_by_a_commit_after_a_meeting(monkeypatch):
+    """Over all texts of sf0.01, long words and odd ones: what ``commit`` gave, after ``met``, makes up all ids."""
     import pyarrow.parquet as pq
 
     model = pieces.PieceModel.load.__wrapped__(PATH)
-    commits, whole, read, plain = {}, [0], pieces.Lattice.ids, pieces.Lattice.commit
-
-    def ids_of(self, at):
-        out = read(self, at)
-        commits[self.text[:at]] = out.tobytes()
-        return out
+    plain = {name: getattr(pieces.Lattice, name) for name in ("met", "commit", "ids")}
+    last, widest, inside, given, parts = {}, [0], [0], [0], {}
+
+    def met(self):
+        at = plain["met"](self)
+        for j in self.alive[-1]:
+            while j > at:
+                j = self.start[j]
+            assert j == at
+        widest[0] = max(widest[0], len(self.text))
+        last[id(self)] = [at]
+        while at:  # every path goes on along this one
+            at = self.start[at]
+            last[id(self)].append(at)
+        return last[id(self)][0]
 
     def commit(self, at):
-        whole[0] += 1
-        return plain(self, at)
+        assert at in last.pop(id(self))
+        inside[0] += 1
+        out = plain["commit"](self, at)
+        inside[0] -= 1
+        given[0] += len(out)
+        return out
 
-    monkeypatch.setattr(pieces.Lattice, "ids", ids_of)
-    monkeypatch.setattr(pieces.Lattice, "commit", commit)
-    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist() + LONG
+    def ids_of(self, at):
+        assert inside[0] == 1
+        return plain["ids"](self, at)
+
+    def stream(self, some, after="", plain=pieces.PieceModel.stream):
+        some, before = list(some), given[0]
+        out = list(plain(self, some, after))
+        assert sum(map(len, out)) == given[0] - before
+        parts["".join(some)] = b"".join(x.tobytes() for x in out)
+        return iter(out)
+
+    for name, f in (("met", met), ("commit", commit), ("ids", ids_of)):
+        monkeypatch.setattr(pieces.Lattice, name, f)
+    monkeypatch.setattr(pieces.PieceModel, "stream", stream)
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist() + LONG + random_texts(300, 9)
     got = list(model.encode(texts))
     assert [ids(x) for x in got] == SP.encode([t or "" for t in texts])
-    # every word's ids are those that a commit has given; longer words are made of several commits
     for text, raw in zip(texts, got):
-        words = [w for w in model._words("▁" + text.replace(" ", "▁")).split("\0") if w] if text else []
-        if all(len(w) <= pieces.LONGEST_WORD for w in words):
-            assert b"".join(commits[w] for w in words) == raw
-    assert whole[0] > 100
+        marked = "▁" + text.replace(" ", "▁") if text else ""
+        whole = [marked] if "\0" in marked else [w for w in model._words(marked).split("\0") if w]
+        assert b"".join(parts[w] for w in whole) == raw
+    assert widest[0] <= 4 * model.longest
 
 
 def test_long_texts_are_cut_between_words():

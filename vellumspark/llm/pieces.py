@@ -17,12 +17,12 @@ What "best" means depends on the model's kind:
 
 So ids equal the sentencepiece library's for a BPE model, which the tests check.
 
-All ids come from commits.  Some meetings are known beforehand: between two characters that
-stand side by side in no piece (before a blank, around a newline) nothing survives but the
-boundary itself.  What lies between two such places, a word, is streamed alike wherever it
-stands.  So a worker streams each word once and remembers its commits in a bounded table, and
-new words are streamed in sorted order, each going on from the nodes of what it shares with
-the one before.
+All ids come from commits of what has met; at the text's end only the end itself survives.  One
+kind of meeting is sure to come: between two characters that stand side by side in no piece
+(before a blank, around a newline) nothing survives but the boundary itself.  What lies between two
+such places, a word, is therefore committed alike wherever it stands.  So a worker streams each word
+once, with a character behind it that lets the paths meet at its end, and remembers its commits
+in a bounded table by the window's content.
 
 Defined results: null and empty texts have no ids; characters without a piece become their
 UTF-8 bytes; U+2581 reads as a blank, as in the library, so it does not survive a round trip;
@@ -51,7 +51,7 @@ BLANK = "▁"
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZàáâäçèéêëíîïñóôöùúûüß"
 #: Words and pairs that a worker remembers; when there are more it forgets them and starts again.
 CACHED_WORDS, CACHED_PAIRS = 900_000, 1_000_000
-#: Longer words are committed in parts and not remembered.
+#: Longer words are not remembered.
 LONGEST_WORD = 48
 
 
@@ -63,12 +63,6 @@ class Lattice:
         # node 0 carries the piece before the window
         self.piece, self.start, self.best, self.alive = [-1], [-1], [0.0], [[0]]
 
-    def rewind(self, n: int) -> None:
-        """Forget all characters after the first ``n``."""
-        self.text = self.text[:n]
-        for nodes in (self.piece, self.start, self.best, self.alive):
-            del nodes[n + 1 :]
-
     def extend(self, more: str) -> None:
         """Add a node for each character."""
         model, piece, start, best, alive = self.model, self.piece, self.start, self.best, self.alive
@@ -98,6 +92,10 @@ class Lattice:
             best.append(top)
             alive.append(here)
 
+    def end(self) -> None:
+        """Nothing follows: no boundary survives but the last."""
+        self.alive[-1] = [len(self.text)]
+
     def met(self) -> int:
         """The last boundary that the paths of all survivors have in common."""
         heads = set(self.alive[-1])
@@ -196,33 +194,37 @@ class PieceModel:
             known = self.pairs[key] = self.merged(x + y) == [x, y]
         return known
 
-    def stream(self, parts: Iterable[str]) -> Iterator[array]:
-        """Ids of the characters of ``parts``, as they are committed."""
+    def stream(self, parts: Iterable[str], after: str = "") -> Iterator[array]:
+        """Ids of the characters of ``parts``, as they are committed.
+
+        ``after`` follows them in the text and is not encoded itself; without it the text ends.
+        """
         window = Lattice(self)
         for part in parts:
             for i in range(0, len(part), self.longest):
-                window.extend(part[i : i + self.longest])
-                if met := window.met():
+                if window.text and (met := window.met()):
                     yield window.commit(met)
-        if window.text:
-            yield window.commit(len(window.text))
+                window.extend(part[i : i + self.longest])
+        size = len(window.text)
+        if after:
+            window.extend(after)
+        else:
+            window.end()
+        met = window.met()
+        while met > size:  # all pass the boundaries on the way to a meeting, too
+            met = window.start[met]
+        if met != size:
+            raise ValueError(f"paths do not meet before {after!r}")
+        if met:
+            yield window.commit(met)
 
     def _fresh(self, words: list[str]) -> dict[str, bytes]:
-        """Commits of distinct words; nothing survives a word's end but the end itself."""
-        out, window = {}, Lattice(self)
-        for word in sorted(words):
-            if len(word) > LONGEST_WORD:
-                out[word] = b"".join(some.tobytes() for some in self.stream([word]))
-                continue
-            k = 0
-            for a, b in zip(word, window.text):
-                if a != b:
-                    break
-                k += 1
-            window.rewind(k)
-            window.extend(word[k:])
-            out[word] = window.ids(len(word)).tobytes()
-        return out
+        """Commits of distinct words, each streamed on its own.
+
+        A blank parts a word from what follows, as newlines and marks do; a word that ends with a blank
+        stands before one of these.
+        """
+        return {word: b"".join(some.tobytes() for some in self.stream([word], "\n" if word[-1:] == BLANK else BLANK)) for word in words}
 
     def _rows(self, words: list[str]) -> list[bytes]:
         get = self.words.get
