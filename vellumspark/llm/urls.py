@@ -3,7 +3,7 @@
 Rules are rows of a table: ``rule`` and ``action`` (``allow`` or ``block``), of two kinds.
 
 * ``site``: a host and a path, such as ``example.com/en/``.  It fits its host and all subdomains,
-  if the URL's path begins with the rule's.
+  if the URL's path begins with the rule's (any path, without one).
 * ``pattern``: a part of a URL, in any case.  ``*`` stands for any characters, ``^`` for one that is
   neither a letter, a digit nor one of ``_ - . %``, or for the end; ``|`` first or last means the URL's
   begin or end, ``||`` first the begin of its host or of a domain in it.
@@ -15,7 +15,7 @@ joined with that index, regular expressions run on the rows that come out, and t
 are summed where they are made, so one row for each URL is shuffled.
 
 Of the sites that fit, the longest decides, then that with the longer host.  Without one the
-patterns do: ``allow`` before ``block``, longest first.  Without any the URL is allowed.
+patterns do: ``allow`` before ``block``, then the longest, then the last in order.  Without any the URL is allowed.
 
 The index is broadcast while its text stays below ``INDEX_BYTES``, else joined by shuffling.
 
@@ -61,14 +61,15 @@ def url_tokens(url: Column) -> Column:
 
 def rule_tokens(rule: Column, kind: Column) -> Column:
     """Runs that end on both sides within the rule; a site's host begins one."""
-    marked = F.when(kind == "site", F.concat(F.lit("|"), rule)).otherwise(rule)
+    whole = F.concat(F.lit("|"), rule, F.when(rule.contains("/"), "").otherwise("|"))
+    marked = F.when(kind == "site", whole).otherwise(rule)
     return F.array_distinct(F.regexp_extract_all(ascii_lower(marked), F.lit("(?<=[^a-z0-9*])[a-z0-9]++(?=[^a-z0-9*])"), F.lit(0)))
 
 
 def rule_regex(rule: Column, kind: Column) -> Column:
     """The regular expression of a rule: for sites on host and path, for patterns on the URL."""
     literal = lambda s: F.regexp_replace(s, r"([^A-Za-z0-9_/\x80-\x{10FFFF}-])", r"\\$1")
-    site = F.concat(F.lit(r"^(?:[^/]*\.)?"), literal(rule))
+    site = F.concat(F.lit(r"^(?:[^/]*\.)?"), literal(rule), F.when(rule.contains("/"), "").otherwise(r"(?=/|\z)"))
     body = literal(F.regexp_replace(F.regexp_replace(rule, r"^\|\|?", ""), r"\|$", ""))
     body = F.replace(F.replace(body, F.lit(r"\*"), F.lit(".*")), F.lit(r"\^"), F.lit(r"(?:[^A-Za-z0-9_.%-]|\z)"))
     head = F.when(rule.startswith("||"), r"^[^/?#]*://(?:[^/?#]*\.)?").when(rule.startswith("|"), "^").otherwise("")
@@ -102,7 +103,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
     held = index.select(F.coalesce("token", F.lit("")).alias("token"), "kind", "rule", "action", "regex")
     tried = each.join(small(held), "token", "left")
     fits = F.when(F.col("kind") == "site", F.rlike(F.concat("host", "path"), F.col("regex"))).otherwise(F.rlike(F.coalesce("url", F.lit("")), F.col("regex")))
-    host_size = F.length(F.regexp_extract("rule", "^[^/]*", 0))
+    host_size = F.when(F.col("kind") == "site", F.length(F.regexp_extract("rule", "^[^/]*", 0))).otherwise(0)
     order = F.struct(
         (F.col("kind") == "site").alias("site"),
         F.when(F.col("kind") == "site", 0).otherwise((F.col("action") == "allow").cast("int")).alias("allow"),
