@@ -146,8 +146,8 @@ def test_samples(spark):
 
 
 def test_stored_index_is_built_once_for_each_version(spark, tmp_path, monkeypatch):
-    calls, plain = [], lexical.store_index
-    monkeypatch.setattr(lexical, "store_index", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    calls, plain = [], lexical.append
+    monkeypatch.setattr(lexical, "append", lambda *a, **k: calls.append(1) or plain(*a, **k))
     path, root = f"file://{tmp_path}/docs", f"file://{tmp_path}/index"
     rows = spark.createDataFrame([(1, "a b b"), (2, ""), (3, None)], "id int, text string")
     rows.write.parquet(path)

@@ -128,3 +128,58 @@ def test_pages_with_tables(spark):
     got = {r.doc_id: r for r in page_with_tables(spark.createDataFrame(pages, PAGE)).collect()}
     assert got["d"].text == "body\n\n[[TABELA:p2t2]]\n" and got["e"].text == "body"
     assert [tuple(t) for t in got["d"].tables] == [("p2t2", 2, "| h |  |\n| --- | --- |\n| x | y |", 2, 2)]
+
+
+def test_upsert_writes_what_a_batch_brings(spark, tmp_path, monkeypatch):
+    from vellumspark.sources import segments
+
+    path = f"file://{tmp_path}/points"
+    row = lambda i, text: (f"c{i}", f"d{i // 10}", "rens"[i % 4], 2000 + i % 5, text, [float(i)] * 64, {i: 1.0})
+    frame = lambda rows: spark.createDataFrame(rows, "chunk_id string, doc_id string, tipo_ato string, year int, text string, dense array<float>, sparse map<int,float>").coalesce(2)
+    body = lambda n: "".join(hashlib.sha256(f"{n}/{k}".encode()).hexdigest() for k in range(20))
+    live = {i: row(i, body(i)) for i in range(3000)}
+    writers.write_points(frame(list(live.values())), path)
+    size = lambda: sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    before = size()
+    batch = {i: row(i, "new " + body(i)) for i in range(0, 3000, 101)}
+    live |= batch
+    got = writers.write_points(frame(list(batch.values())), path)
+    assert size() - before < 0.02 * before
+    assert sorted(map(str, got.select(*frame([]).columns).collect())) == sorted(map(str, frame(list(live.values())).collect()))
+    assert writers.collection_stats(got).head().status == "green"
+    # a repeated id: the largest row, or the largest version
+    twice = writers.write_points(frame([row(1, "b"), row(1, "a"), row(9999, "x"), row(9999, "x")]), path)
+    assert twice.where("chunk_id = 'c1'").head().text == "b" and twice.count() == 3001
+    fewer = writers.delete_points(twice.where("doc_id = 'd0'").select("id"), path)
+    assert fewer.count() == 2991 and fewer.where("doc_id = 'd0'").isEmpty()
+    monkeypatch.setattr(segments, "FAN", 2)
+    writers.write_points(frame([row(5, "back")]), path)
+    merged = writers.write_points(frame([row(6, "back")]), path)
+    assert merged.count() == 2993 and sorted(r.text for r in merged.where("doc_id = 'd0'").collect()) == ["back", "back"]
+    assert len(segments.Segments(spark, path).state["segments"]) < 5
+
+
+def test_a_lookup_reads_one_row_group(spark, tmp_path):
+    """Row groups without a point's id are left out by their Bloom filters."""
+    import pyarrow.parquet as pq
+
+    path = f"file://{tmp_path}/points"
+    rows = spark.range(40_000).select(F.concat(F.lit("c"), "id").alias("chunk_id"), F.concat(F.lit("d"), F.col("id") % 997).alias("doc_id"), F.lit("ren").alias("tipo_ato"), F.md5(F.col("id").cast("string")).alias("text")).coalesce(1)
+    spark.sparkContext._jsc.hadoopConfiguration().set("parquet.block.size", str(256 << 10))
+    try:
+        points = writers.write_points(rows, path)
+    finally:
+        spark.sparkContext._jsc.hadoopConfiguration().unset("parquet.block.size")
+    file = next(f for f in tmp_path.rglob("*.parquet") if "/rows/" in str(f))
+    groups = pq.ParquetFile(file).metadata.num_row_groups
+    assert groups > 4
+    for column, value in (("id", points.where("chunk_id = 'c17'").head().id), ("doc_id", "d33")):
+        found = points.where(F.col(column) == value)
+        n = found.count()
+        scan = found.select("text")
+        scan.collect()
+        node = scan._jdf.queryExecution().executedPlan()
+        while node.children().size():
+            node = node.children().apply(0)
+        read = node.metrics().get("numOutputRows").get().value()
+        assert n >= 1 and read <= 2 * 40_000 / groups, (column, read)

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Folders of this process; they go when it ends.
 _ROOTS: dict[str, str] = {}
@@ -43,3 +43,15 @@ def scratch(spark: SparkSession, name: str) -> str:
 def kept(spark: SparkSession, name: str) -> str:
     """A path that later sessions find again."""
     return f"{shared(spark)}/kept/{name}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once and read it back: the lineage ends there, in files that outlive executors.
+
+    Pages of long texts are large: zstandard streams through them, where the default codec holds each
+    whole outside the heap; and a page is closed as soon as it is full.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").option("parquet.page.size.row.check.min", "10").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

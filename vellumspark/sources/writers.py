@@ -8,43 +8,76 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import snippet, uuid5
-from ..operators.corpus import latest
-from .files import remove, versions
+from .scratch import stored
+from .segments import Segments
 
 
-#: Versions of a table of points that are kept: a reader of the one before is not cut off.
-KEPT_VERSIONS = 2
+#: What points are looked up by: Parquet keeps a Bloom filter of ids, sized by what a file holds;
+#: rows of like other values lie together, so that their bounds tell.
+BLOOMED, CLUSTERED = ("id", "doc_id"), ("tipo_ato", "tier", "year", "doc_id", "id")
+
+
+def _save_points(by: list[str] | None):
+    def save(part: str, rows: DataFrame, folder: str) -> None:
+        if part == "ids":
+            return rows.write.parquet(folder)
+        out = rows.sortWithinPartitions(*(by or []), *[c for c in CLUSTERED if c in rows.columns and c not in (by or [])]).write
+        # a filter is as large as a task's rows need, with room for uneven tasks
+        each = 2 * rows.count() // max(1, rows.rdd.getNumPartitions()) + 16
+        for c in BLOOMED:
+            if c in rows.columns:
+                out = out.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", str(each))
+        return (out.partitionBy(*by) if by else out).parquet(folder)
+
+    return save
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """One row of each id: that of the largest ``version``, if there is such a column, then the largest row."""
+    if rows.groupBy("id").count().where("count > 1").isEmpty():
+        return rows
+    maps = {f.name for f in rows.schema if f.dataType.typeName() in ("map", "variant")}
+    rest = [F.to_json(c) if c in maps else F.col(c) for c in sorted(rows.columns) if c not in ("id", "version")]
+    order = F.struct(*([F.col("version")] if "version" in rows.columns else []), *rest)
+    return rows.groupBy("id").agg(F.max_by(F.struct(*rows.columns), order).alias("__row")).select("__row.*")
 
 
 def write_points(chunks: DataFrame, path: str, by: list[str] | None = None) -> DataFrame:
     """Put chunks under their name-based id into the table at ``path``; the last write of an id wins.
 
-    What is there and the batch make the next version, in a folder of its own that counts once
-    it is complete.  Within a batch the largest ``version`` of an id stays, if there is such a
-    column; otherwise the largest row.
+    A batch is a segment of its own, and the ids that it replaces are masked in older ones (see
+    ``segments``): what is written grows with the batch, not with the table.
     """
     spark = chunks.sparkSession
-    keyed = chunks.withColumn("id", uuid5(F.col("chunk_id")))
-    done = versions(spark, path)
-    batch = keyed.withColumn("__new", F.lit(1))
-    both = batch.unionByName(read_points(spark, path).withColumn("__new", F.lit(0)), allowMissingColumns=True) if done else batch
-    rest = sorted(c for c in keyed.columns if c not in ("id", "version"))
-    sortable = [F.to_json(F.struct(F.col(c))) for c in rest]
-    order = F.struct("__new", *([F.col("version")] if "version" in keyed.columns else []), *sortable)
-    once = latest(both.withColumn("__order", order), "id", "__order").drop("__order", "__new")
-    out = once.write.mode("overwrite")
-    (out.partitionBy(*by) if by else out).parquet(f"{path}/v{(done[-1] if done else 0) + 1:06d}")
-    for old in done[: 1 - KEPT_VERSIONS or len(done)]:
-        remove(spark, f"{path}/v{old:06d}")
+    table, save = Segments(spark, path), _save_points(by)
+    keyed = _once(stored(chunks.withColumn("id", uuid5(F.col("chunk_id"))), "points"))
+    serial = table.state["serial"] + 1
+    segment = table.write("s", serial, {"rows": keyed}, save)
+    masks = []
+    if table.state["segments"]:
+        # only ids are read of what is there
+        known = stored(table.live("rows").select("id").join(keyed.select("id"), "id", "left_semi"), "replaced")
+        masks = [] if known.isEmpty() else [table.write("m", serial, {"ids": known}, save)]
+    table.publish(table.successor([segment], masks=masks))
+    while some := table.like():
+        serial = table.state["serial"] + 1
+        merged = table.write("s", serial, {"rows": table.live("rows", some).drop("serial")}, save)
+        table.publish(table.successor([merged], some))
     return read_points(spark, path)
 
 
+def delete_points(ids: DataFrame, path: str) -> DataFrame:
+    """Mask the points of these ids (``id``)."""
+    table = Segments(ids.sparkSession, path)
+    known = stored(table.live("rows").select("id").join(ids.select("id").distinct(), "id", "left_semi"), "deleted")
+    if not known.isEmpty():
+        table.publish(table.successor(masks=[table.write("m", table.state["serial"] + 1, {"ids": known}, _save_points(None))]))
+    return read_points(ids.sparkSession, path)
+
+
 def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of the points at ``path``."""
-    done = versions(spark, path)
-    if not done:
-        raise FileNotFoundError(f"no points at {path}")
-    return spark.read.parquet(f"{path}/v{done[-1]:06d}")
+    """The points at ``path`` that live."""
+    return Segments(spark, path).live("rows").drop("serial")
 
 
 def collection_stats(points: DataFrame) -> DataFrame:
