@@ -1,4 +1,7 @@
-"""Command line over stored tables: parse, chunk, index, upsert, snapshot, retrieve, smoke, generate, evaluate, golden, download, analyze."""
+"""Command line over stored tables: parse, chunk, index, upsert, snapshot, restore, retrieve, smoke, generate, evaluate, golden, download, analyze.
+
+Models are named as ``package.module:name``, which makes one where it runs; without a name stand-ins answer.
+"""
 
 from __future__ import annotations
 
@@ -15,25 +18,38 @@ from .functions.arrays import latency_percentile
 from .operators import chunking, context, corpus, dense, evaluate, fusion, golden, lexical, models, sampling
 from .operators.cleaning import page_with_tables, parse_documents
 from .profiles import PLAIN, TextProfile, legal_profile
-from .sources.files import fetch, snapshot
+from .sources.files import fetch, restore, snapshot, versions
 from .sources.readers import read_metadata
-from .sources.scratch import scratch
-from .sources.writers import append_new, collection_stats, rendered_answer, rendered_hits, run_summary, write_evaluation, write_outcomes, write_points, write_report
+from .sources.scratch import scratch, stored
+from .sources.writers import append_new, collection_stats, read_points, rendered_answer, rendered_hits, run_summary, write_evaluation, write_outcomes, write_points, write_report
 
 
 def _profile(args) -> TextProfile:
     return legal_profile(args.agency, args.agency_name or args.agency, args.base_url or "") if args.agency else PLAIN
 
 
-def _vectors(spark: SparkSession, path: str | None, chunks: DataFrame) -> DataFrame:
-    """Stored vectors (``chunk_id, dense``), or the stand-in's."""
+def _named(name: str | None) -> models.Named | None:
+    return models.Named(name) if name else None
+
+
+def _embedded(rows: DataFrame, load: Callable[[], models.Embedder] | None) -> DataFrame:
+    """``rows`` with the model's ``dense`` and ``sparse`` of ``text``, computed once; without a model the stand-in's."""
+    if load:
+        return stored(models.embed(rows, "text", load), "embedded")
+    return rows.withColumns({"dense": models.hash_embedding(F.col("text")), "sparse": F.lit(None).cast("map<int,float>")})
+
+
+def _vectors(spark: SparkSession, path: str | None, chunks: DataFrame, load: Callable[[], models.Embedder] | None = None) -> DataFrame:
+    """Stored vectors (``chunk_id, dense``; a table or points), or the model's, or the stand-in's."""
     if path:
-        return spark.read.parquet(path).select(F.col("chunk_id").alias("id"), F.col("dense").alias("v"))
-    return chunks.select(F.col("chunk_id").alias("id"), models.hash_embedding(F.col("text")).alias("v"))
+        there = read_points(spark, path) if versions(spark, f"{path}/state") else spark.read.parquet(path)
+        return there.select(F.col("chunk_id").alias("id"), F.col("dense").alias("v"))
+    return _embedded(chunks.select(F.col("chunk_id").alias("id"), "text"), load).select("id", F.col("dense").alias("v"))
 
 
-def retrieve(spark: SparkSession, queries: DataFrame, chunks: DataFrame, index: lexical.LexicalIndex, vectors: DataFrame, top_k: int = 10, filters: dict | None = None, rerank: bool = True) -> DataFrame:
+def retrieve(spark: SparkSession, queries: DataFrame, chunks: DataFrame, index: lexical.LexicalIndex, vectors: DataFrame, top_k: int = 10, filters: dict | None = None, rerank: bool = True, reranker: Callable[[], models.Reranker] | None = None) -> DataFrame:
     """Hybrid hits of many questions at once.  ``queries``: ``qid, text`` and ``v``, the question's vector."""
+    dense.same_size(vectors, queries)
     keep = fusion.filters({k: v for k, v in (filters or {}).items() if v})
     payload = chunks.withColumnRenamed("chunk_id", "id")
     lx = lexical.search(index, queries, "qid", fusion.CANDIDATES, payload, keep)
@@ -43,19 +59,21 @@ def retrieve(spark: SparkSession, queries: DataFrame, chunks: DataFrame, index:
     if rerank:
         short = fusion.top(fused, fusion.RERANKED, fusion.fused_order()).drop("place")
         rows = short.join(payload, "id", "left").join(queries.select("qid", F.col("text").alias("question")), "qid")
-        return fusion.rerank(rows, F.col("question"), F.col("text"), models.overlap_logit, top_k).withColumn("score", F.col("rerank"))
+        score = (lambda q, t: models.rerank_scores(q, t, reranker)) if reranker else models.overlap_logit
+        return fusion.rerank(rows, F.col("question"), F.col("text"), score, top_k, logit=reranker is None).withColumn("score", F.col("rerank"))
     return fusion.top(fused, top_k, fusion.fused_order(), "rank").join(payload, "id", "left").withColumn("score", F.col("rrf"))
 
 
-def _questions(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    return rows.withColumn("v", models.hash_embedding(F.col("text")))
+def _questions(spark: SparkSession, rows: DataFrame, load: Callable[[], models.Embedder] | None = None) -> DataFrame:
+    return _embedded(rows, load).withColumnRenamed("dense", "v").drop("sparse")
 
 
 def _hits(spark: SparkSession, args) -> DataFrame:
     chunks = spark.read.parquet(args.chunks)
-    asked = _questions(spark, spark.createDataFrame([(0, args.query)], "qid int, text string"))
+    load = _named(args.embedder)
+    asked = _questions(spark, spark.createDataFrame([(0, args.query)], "qid int, text string"), load)
     filters = {"tipo_ato": args.tipo_ato, "year": args.year, "tier": getattr(args, "tier", None)}
-    return retrieve(spark, asked, chunks, lexical.LexicalIndex.load(spark, args.index), _vectors(spark, args.vectors, chunks), args.top_k, filters, not args.no_rerank)
+    return retrieve(spark, asked, chunks, lexical.LexicalIndex.load(spark, args.index), _vectors(spark, args.vectors, chunks, load), args.top_k, filters, not args.no_rerank, _named(args.reranker))
 
 
 def _dump(path: str, spark: SparkSession, summary: dict) -> None:
@@ -97,8 +115,14 @@ def chunk(spark: SparkSession, args) -> None:
 
 def build(spark: SparkSession, args) -> None:
     began, chunks = time.time(), spark.read.parquet(args.chunks)
-    lexical.store_index(chunks, "chunk_id", args.out)
-    print(json.dumps({"n_chunks": chunks.count(), "seconds": round(time.time() - began, 1)}))
+    chunks = chunks.orderBy("chunk_id").limit(args.limit) if args.limit else chunks
+    done = {"n_chunks": chunks.count()}
+    if not args.skip_bm25:
+        lexical.store_index(chunks, "chunk_id", args.out)
+    if args.vectors_out and not args.skip_dense:
+        points = write_points(_embedded(chunks, _named(args.embedder)), args.vectors_out, ["tipo_ato", "year"])
+        done |= collection_stats(points).head().asDict()
+    print(json.dumps(done | {"seconds": round(time.time() - began, 1)}))
 
 
 def retrieve_one(spark: SparkSession, args) -> None:
@@ -128,7 +152,8 @@ def answers(questions: DataFrame, hits: DataFrame, load: Callable[[], models.Gen
     return said.join(listed, "qid", "left").withColumn("citations", F.coalesce("citations", F.array().cast(listed.schema["citations"].dataType)))
 
 
-def generate_one(spark: SparkSession, args, load: Callable[[], models.Generator] = models.Extractive) -> None:
+def generate_one(spark: SparkSession, args, load: Callable[[], models.Generator] | None = None) -> None:
+    load = load or _named(args.generator) or models.Extractive
     asked = spark.createDataFrame([(0, args.query)], "qid int, text string")
     row = rendered_answer(answers(asked, _hits(spark, args), load, args.top_k).drop("qid")).head()
     print(row.json if args.json else row.shown)
@@ -137,8 +162,10 @@ def generate_one(spark: SparkSession, args, load: Callable[[], models.Generator]
 def smoke(spark: SparkSession, args) -> None:
     """The three nearest chunks of each question by vectors alone, and how many there are."""
     chunks = spark.read.parquet(args.chunks)
-    vectors = _vectors(spark, args.vectors, chunks)
-    asked = _questions(spark, spark.createDataFrame(list(enumerate(args.queries.split("|"))), "qid int, text string"))
+    load = _named(args.embedder)
+    vectors = _vectors(spark, args.vectors, chunks, load)
+    asked = _questions(spark, spark.createDataFrame(list(enumerate(args.queries.split("|"))), "qid int, text string"), load)
+    dense.same_size(vectors, asked)
     best = dense.search(vectors, asked.select("qid", "v"), 3).join(chunks.select(F.col("chunk_id").alias("id"), "text"), "id")
     print(json.dumps({"points_count": vectors.count()}))
     for r in rendered_hits(best.select("qid", "rank", "id", "score", "text")).orderBy("qid", "rank").collect():
@@ -148,15 +175,17 @@ def smoke(spark: SparkSession, args) -> None:
 def retrieve_all(spark: SparkSession, asked: DataFrame, args, top_k: int) -> DataFrame:
     """Hits of all questions; those with the same filters are searched together."""
     chunks, index = spark.read.parquet(args.chunks), lexical.LexicalIndex.load(spark, args.index)
-    vectors, out = _vectors(spark, args.vectors, chunks), []
+    load, reranker, out = _named(args.embedder), _named(args.reranker), []
+    vectors, asked = _vectors(spark, args.vectors, chunks, load), _questions(spark, asked, load)
     for kind, year in [tuple(r) for r in asked.select("kind", "year").distinct().orderBy("kind", "year").collect()]:  # a question set is small
         some = asked.where(F.col("kind").eqNullSafe(F.lit(kind)) & F.col("year").eqNullSafe(F.lit(year)))
-        out.append(retrieve(spark, _questions(spark, some.select("qid", "text")), chunks, index, vectors, top_k, {"tipo_ato": kind, "year": year}, not args.no_rerank))
+        out.append(retrieve(spark, some.select("qid", "text", "v"), chunks, index, vectors, top_k, {"tipo_ato": kind, "year": year}, not args.no_rerank, reranker))
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
 
 
-def evaluate_all(spark: SparkSession, args, load: Callable[[], models.Generator] = models.Extractive, judge: Callable[[], models.Generator] | None = None) -> None:
+def evaluate_all(spark: SparkSession, args, load: Callable[[], models.Generator] | None = None, judge: Callable[[], models.Generator] | None = None) -> None:
     """Retrieval of all questions under their own filters; with ``--with-generation`` answers, their times and the judge's verdicts."""
+    load, judge = load or _named(args.generator) or models.Extractive, judge or _named(args.judge)
     rows = spark.read.schema("id string, tipo_query string, pergunta string, resposta_esperada string, docs_relevantes array<string>, tipo_ato_filtro string, year_filtro int").json(args.golden)
     asked = rows.select(F.col("id").alias("qid"), "tipo_query", F.col("pergunta").alias("text"), F.coalesce("docs_relevantes", F.array().cast("array<string>")).alias("relevant_ids"), F.nullif(F.lower("tipo_ato_filtro"), F.lit("")).alias("kind"), F.nullif("year_filtro", F.lit(0)).alias("year"))
     began, path = time.time(), scratch(spark, "hits")
@@ -200,7 +229,10 @@ def golden_set(spark: SparkSession, args, load: Callable[[], models.Generator] |
 
 
 def upsert(spark: SparkSession, args) -> None:
-    points = write_points(spark.read.parquet(args.chunks), args.out, ["tipo_ato", "year"])
+    """Chunks with their dense and sparse vectors as points; those with a known id are replaced."""
+    chunks = spark.read.parquet(args.chunks)
+    whole = chunks if "dense" in chunks.columns else _embedded(chunks, _named(args.embedder))
+    points = write_points(whole, args.out, ["tipo_ato", "year"])
     print(json.dumps(collection_stats(points).head().asDict()))
 
 
@@ -208,6 +240,10 @@ def copy(spark: SparkSession, args) -> None:
     print(json.dumps({"files": snapshot(spark, args.source, args.target)}))
 
 
+def put_back(spark: SparkSession, args) -> None:
+    print(json.dumps({"files": restore(spark, args.source, args.target)}))
+
+
 def download(spark: SparkSession, args, get: Callable[[str], tuple[int, bytes]] | None = None) -> None:
     """Tasks of metadata files; with an opener they are fetched, otherwise they are listed."""
     began, rows = time.time(), read_metadata(spark, args.metadata, args.only_year)
@@ -253,14 +289,15 @@ def main(argv: list[str] | None = None) -> int:
     profile = {"agency": str, "agency_name": str, "base_url": str}
     command("parse", parse, "pages", "out", limit=int, resume=bool, stems=str, **profile)
     command("chunk", chunk, "docs", "out", limit=int, summary_out=str, **profile)
-    command("index", build, "chunks", "out")
-    command("upsert", upsert, "chunks", "out")
+    command("index", build, "chunks", "out", vectors_out=str, embedder=str, limit=int, skip_bm25=bool, skip_dense=bool)
+    command("upsert", upsert, "chunks", "out", embedder=str)
     command("snapshot", copy, "source", "target")
-    search = {"vectors": str, "tipo_ato": str, "year": int, "no_rerank": bool, "json": bool}
-    for name, run, more in (("retrieve", retrieve_one, {"tier": str}), ("generate", generate_one, {})):
+    command("restore", put_back, "source", "target")
+    search = {"vectors": str, "embedder": str, "reranker": str, "tipo_ato": str, "year": int, "no_rerank": bool, "json": bool}
+    for name, run, more in (("retrieve", retrieve_one, {"tier": str}), ("generate", generate_one, {"generator": str})):
         command(name, run, "query", "chunks", "index", **search, **more).add_argument("--top-k", type=int, default=10)
-    command("smoke", smoke, "queries", "chunks", vectors=str)
-    p = command("evaluate", evaluate_all, "golden", "chunks", "index", vectors=str, no_rerank=bool, with_generation=bool, gen_limit=int, out=str)
+    command("smoke", smoke, "queries", "chunks", vectors=str, embedder=str)
+    p = command("evaluate", evaluate_all, "golden", "chunks", "index", vectors=str, embedder=str, reranker=str, generator=str, judge=str, no_rerank=bool, with_generation=bool, gen_limit=int, out=str)
     p.add_argument("--top-k", type=int, default=20)
     p.add_argument("--gen-top-k", type=int, default=10)
     command("golden", golden_set, "chunks", "out", "raw-out", limit=int, oversample=float, seed=int)

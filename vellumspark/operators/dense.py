@@ -39,6 +39,13 @@ def cosine_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     return out
 
 
+def same_size(vectors: DataFrame, queries: DataFrame) -> None:
+    """Raises unless the questions' vectors are as long as the stored ones (``v``): another model made them."""
+    sizes = [d.where("v is not null").select(F.size("v").alias("n")).head() for d in (vectors, queries)]
+    if all(sizes) and sizes[0].n != sizes[1].n:
+        raise ValueError(f"stored vectors have {sizes[0].n} values, the questions' {sizes[1].n}")
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 30, keep: Column | None = None) -> DataFrame:
     """Top ``k`` per query by cosine; ``keep`` filters the vectors before."""
     return ranked(cosine_scores(vectors if keep is None else vectors.where(keep), queries), k)

@@ -39,12 +39,12 @@ def with_payload(rows: DataFrame, lexical: DataFrame, dense: DataFrame) -> DataF
     return joined.withColumn("payload", F.coalesce("p_dense", "p_bm25")).drop("p_dense", "p_bm25")
 
 
-def rerank(rows: DataFrame, query_text: Column, text: Column, score: Callable[[Column, Column], Column], k: int) -> DataFrame:
+def rerank(rows: DataFrame, query_text: Column, text: Column, score: Callable[[Column, Column], Column], k: int, logit: bool = True) -> DataFrame:
     """The first ``RERANKED`` fused candidates, ordered anew by a model's score.
 
-    ``score`` maps query and text columns to a logit; the result is squashed to 0..1.
+    ``score`` maps query and text columns to a logit, which is squashed to 0..1, or to that itself.
     """
     short = top(rows, RERANKED, fused_order())
-    logit = score(query_text, F.coalesce(text, F.lit("")))
-    scored = short.withColumn("rerank", 1 / (1 + F.exp(-logit)))
+    given = score(query_text, F.coalesce(text, F.lit("")))
+    scored = short.withColumn("rerank", 1 / (1 + F.exp(-given)) if logit else given)
     return top(scored, k, fused_order([F.round("rerank", 9).desc()]), "rank")

@@ -6,6 +6,7 @@ stand-ins are column expressions, so results do not depend on any model file.
 
 from __future__ import annotations
 
+import importlib
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -32,6 +33,18 @@ class Generator(Protocol):
     def complete(self, system: str, prompt: str, max_tokens: int) -> str | tuple[str, dict[str, int]]: ...
 
 
+class Named:
+    """Loads a model where it runs: ``package.module:name`` is what makes one."""
+
+    def __init__(self, name: str):
+        self.module, _, self.name = name.partition(":")
+        if not self.name:
+            raise ValueError(f"not module:name: {name!r}")
+
+    def __call__(self):
+        return getattr(importlib.import_module(self.module), self.name)()
+
+
 def embed(rows: DataFrame, text: str, load: Callable[[], Embedder], batch: int = 32) -> DataFrame:
     """Adds ``dense`` and ``sparse`` from one pass of the model; ``load`` runs once in each task."""
     schema = StructType([*rows.schema.fields, StructField("dense", ArrayType(FloatType())), StructField("sparse", MapType(IntegerType(), FloatType()))])

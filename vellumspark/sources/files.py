@@ -8,7 +8,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from .scratch import stored
 
 
 def put(uri: str, content: bytes) -> None:
@@ -97,11 +99,94 @@ def remove(spark: SparkSession, path: str) -> None:
     store.delete(folder, True)
 
 
-def snapshot(spark: SparkSession, source: str, target: str) -> int:
-    """Copy a stored index or table as it is, to keep it or to put it back; the number of files."""
-    folder, store = _fs(spark, source)
-    to, other = _fs(spark, target)
+# -- snapshots ------------------------------------------------------------------------------
+
+#: Bytes that a task copies at once, and the table of a snapshot's files.
+COPY_BYTES, MANIFEST = 8 << 20, "_snapshot"
+_LISTED = "path string, length long, modified long"
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """``path, length, modified`` of all files below ``root``, but for the manifest of a snapshot."""
+    folder, store = _fs(spark, root)
     if not store.exists(folder):
-        raise FileNotFoundError(source)
-    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(store, folder, other, to, False, True, spark._jsc.hadoopConfiguration())
-    return int(other.getContentSummary(to).getFileCount())
+        raise FileNotFoundError(root)
+    base, found, rows = store.makeQualified(folder).toString().rstrip("/") + "/", store.listFiles(folder, True), []
+    while found.hasNext():
+        f = found.next()
+        name = f.getPath().toString().removeprefix(base)
+        if not name.startswith(MANIFEST + "/"):
+            rows.append((name, f.getLen(), f.getModificationTime()))
+    return spark.createDataFrame(rows, _LISTED)
+
+
+def _copy(store_from, path_from: str, store_to, path_to: str, expected: str | None) -> str:
+    """Copy a file under a name of its own and move it into place if its checksum is the expected one; the checksum."""
+    folder, digest = posixpath.dirname(path_to), hashlib.sha256()
+    store_to.create_dir(folder, recursive=True)
+    waiting = posixpath.join(folder, f"_{uuid.uuid4().hex}.tmp")
+    with store_from.open_input_stream(path_from) as src, store_to.open_output_stream(waiting) as out:
+        while some := src.read(COPY_BYTES):
+            digest.update(some)
+            out.write(some)
+    if expected in (None, digest.hexdigest()):
+        store_to.move(waiting, path_to)
+    else:
+        store_to.delete_file(waiting)
+    return digest.hexdigest()
+
+
+def _copied(rows: DataFrame, source: str, target: str) -> DataFrame:
+    """Copy files in tasks: ``path, length, modified``, the checksum ``sha256`` and what was ``expected``."""
+    uri = lambda root: root if "://" in root else "file://" + root
+    source, target = uri(source), uri(target)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        (one, top), (other, to) = fs.FileSystem.from_uri(source), fs.FileSystem.from_uri(target)
+        for pdf in batches:
+            pdf["sha256"] = [_copy(one, f"{top}/{p}", other, f"{to}/{p}", e) for p, e in zip(pdf["path"], pdf["expected"])]
+            yield pdf
+
+    # files are dealt by name: a large folder is not one task's
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return stored(rows.repartition(4 * cores, "path").mapInPandas(run, rows.schema.add("sha256", "string")), "copied")
+
+
+def _manifest(spark: SparkSession, root: str) -> DataFrame | None:
+    done = versions(spark, f"{root}/{MANIFEST}")
+    return spark.read.parquet(f"{root}/{MANIFEST}/v{done[-1]:06d}") if done else None
+
+
+def snapshot(spark: SparkSession, source: str, target: str) -> int:
+    """Keep a stored index or table at ``target``; how many files had to be copied.
+
+    Tasks copy the files that differ by name, size or time from the last snapshot there.  A manifest with
+    checksums is written when all are in place; files that the source no longer has go after that.
+    """
+    there, known = _listed(spark, source), _manifest(spark, target)
+    same = there.columns
+    new = there if known is None else there.join(known, same, "left_anti")
+    copied = _copied(new.withColumn("expected", F.lit(None).cast("string")), source, target).drop("expected")
+    n = copied.count()
+    if known is not None and not n and known.count() == there.count():
+        return 0
+    number = (versions(spark, f"{target}/{MANIFEST}") or [0])[-1] + 1
+    (copied if known is None else copied.unionByName(known.join(there, same, "left_semi"))).write.parquet(f"{target}/{MANIFEST}/v{number:06d}")
+    if known is not None:
+        for r in known.join(there, "path", "left_anti").select("path").toLocalIterator():
+            remove(spark, f"{target}/{r.path}")
+        remove(spark, f"{target}/{MANIFEST}/v{number - 1:06d}")
+    return n
+
+
+def restore(spark: SparkSession, kept: str, target: str) -> int:
+    """Put a snapshot back at ``target``; how many files.  A file that is not what the manifest says is not put there, and an error names it."""
+    known = _manifest(spark, kept)
+    if known is None:
+        raise FileNotFoundError(f"no snapshot at {kept}")
+    copied = _copied(known.withColumnRenamed("sha256", "expected"), kept, target)
+    if bad := [r.path for r in copied.where("sha256 <> expected").select("path").limit(10).collect()]:
+        raise ValueError(f"damaged: {', '.join(sorted(bad))}")
+    return copied.count()
