@@ -12,11 +12,12 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, MapType, StructField, StructType
 
 from ..functions.text import json_answer, word_tokens
 from ..profiles import NO_ANSWER
+from ..sources.scratch import ship_package
 
 
 class Embedder(Protocol):
@@ -59,6 +60,7 @@ def embed(rows: DataFrame, text: str, load: Callable[[], Embedder], batch: int =
                 sparse += [{int(k): float(w) for k, w in x.items()} for x in out["lexical_weights"]]
             yield pdf.assign(dense=dense, sparse=sparse)
 
+    ship_package(rows.sparkSession)
     return rows.mapInPandas(run, schema)
 
 
@@ -74,6 +76,7 @@ def rerank_scores(query: Column, text: Column, load: Callable[[], Reranker], bat
                 out += [got] if isinstance(got, (int, float)) else list(got)
             yield pd.Series(out, dtype=float)
 
+    ship_package(SparkSession.active())
     return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(query, text)
 
 
@@ -149,6 +152,7 @@ def generate(rows: DataFrame, load: Callable[[], Generator], system: str = SYSTE
             use = {k: [int(u.get(k, 0)) for _, u, _ in got] for k in ("input_tokens", "output_tokens", "cache_read_tokens")}
             yield pdf.assign(answer=[a for a, _, _ in got], **use, latency_ms=[ms for _, _, ms in got])
 
+    ship_package(rows.sparkSession)
     return rows.mapInPandas(run, schema)
 
 

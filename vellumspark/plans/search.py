@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.arrays import latency_percentile, p90_exclusive
-from ..operators import context, corpus, dense, evaluate, fusion, lexical, models
-from ..sources.scratch import kept
+from ..operators import cells, context, corpus, dense, evaluate, fusion, lexical, models
+from ..sources.scratch import kept, scratch
 from .common import Registry, table, words_sql
 
 query = Registry()
@@ -91,6 +91,50 @@ def dense_topk_filtered(spark, sf_dir):
 SMOKE = (0, 20, 40, 60, 80)
 
 
+@query(f"""WITH {DENSE_SQL.format(where="vec_id % 25 = 0")}, {top_sql("ds", 5, "best", "id % 10 = 3")} SELECT qid, rank, id AS vec_id, round(score, 6) AS score FROM best""")
+def cells_topk_filtered(spark, sf_dir):
+    """The filter chooses cells by their summary; it fits fewer rows than a search compares, so all that fit are."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), (2000 + F.col("vec_id") % 10).alias("year"))
+    index = cells.store_cells(rows, scratch(spark, "cells"), ["year"])
+    asked = rows.where("id % 25 = 0").select(F.col("id").alias("qid"), "v")
+    return cells.search(index, asked, 5, fusion.filters({"year": 2003})).select("qid", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+class Letters:
+    """A model for the query below: it tells texts by how often some letters stand in them."""
+
+    def encode(self, texts, return_dense=True, return_sparse=True):
+        counts = [[float(t.count(c)) for c in "aeiost"] for t in texts]
+        return {"dense_vecs": counts, "lexical_weights": [{k: v for k, v in enumerate(x) if v} for x in counts]}
+
+    def compute_score(self, pairs, normalize=True):
+        return [1 / (1 + abs(len(q) - len(t)) / 10) for q, t in pairs]
+
+
+LETTERS_SQL = ", ".join(f"len(text) - len(replace(text, '{c}', ''))" for c in "aeiost")
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, text, [{LETTERS_SQL}]::DOUBLE[] AS v FROM documents WHERE len(text) BETWEEN 1 AND 400), q AS (SELECT item_id, text AS asked, [{LETTERS_SQL}]::DOUBLE[] AS qv FROM benchmark),
+    c AS (SELECT item_id, doc_id, asked, text, list_cosine_similarity(v, qv) AS cosine FROM d, q WHERE list_sum(v) > 0 AND list_sum(qv) > 0),
+    n AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(cosine, 9) DESC, doc_id) AS near FROM c),
+    s AS (SELECT *, 1 / (1 + abs(len(asked) - len(text)) / 10::DOUBLE) AS score FROM n WHERE near <= 20)
+    SELECT item_id, doc_id, round(cosine, 6) AS cosine, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, near)::INT AS rank FROM s QUALIFY rank <= 5"""
+)
+def modelled_search(spark, sf_dir):
+    """Texts and questions through a model's embedder, the nearest through its reranker."""
+    texts = table(spark, sf_dir, "documents").where(F.length("text").between(1, 400)).select("doc_id", "text")
+    vectors = models.embed(texts, "text", Letters).select(F.col("doc_id").cast("string").alias("id"), F.col("dense").alias("v"), "text", "doc_id")
+    asked = models.embed(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("asked")), "asked", Letters).select(F.col("item_id").alias("qid"), F.col("dense").alias("v"), "asked")
+    dense.same_size(vectors, asked)
+    near = dense.cosine_scores(vectors, asked.select("qid", "v")).withColumn("doc_id", F.col("id").cast("long"))
+    near = lexical.ranked(near, 20, key="doc_id").select("qid", "doc_id", F.col("score").alias("cosine"), F.col("rank").alias("near"))
+    rows = near.join(texts, "doc_id").join(asked.select("qid", "asked"), "qid")
+    scored = rows.withColumn("score", models.rerank_scores(F.col("asked"), F.col("text"), Letters))
+    best = fusion.top(scored, 5, [F.round("score", 9).desc(), F.col("near")], "rank")
+    return best.select(F.col("qid").alias("item_id"), "doc_id", F.round("cosine", 6).alias("cosine"), F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"WITH {DENSE_SQL.format(where=f'vec_id IN {SMOKE}')}, {top_sql('ds', 3, 'best')} SELECT qid AS item_id, rank, id AS doc_id, round(score, 6) AS score, (SELECT count(*) FROM embeddings) AS points_count FROM best")
 def dense_smoke(spark, sf_dir):
     """The three nearest of five fixed questions, and how many points there are."""

@@ -9,8 +9,9 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .scratch import stored
+from .scratch import ship_package, stored
 
 
 def put(uri: str, content: bytes) -> None:
@@ -39,6 +40,7 @@ def write_files(rows: DataFrame, root: str) -> DataFrame:
                 digest.append(hashlib.sha256(raw).hexdigest())
             yield pd.DataFrame({"path": pdf["path"], "size_bytes": size, "sha256": digest})
 
+    ship_package(rows.sparkSession)
     listed = f"{root}/_files"
     rows.select("path", "content").mapInPandas(run, "path string, size_bytes long, sha256 string").write.mode("overwrite").parquet(listed)
     return rows.sparkSession.read.parquet(listed)
@@ -77,6 +79,7 @@ def fetch(tasks: DataFrame, root: str, get: Callable[[str], tuple[int, bytes]],
             out = pd.DataFrame([one(u, p) for u, p in zip(pdf["url"], pdf["local_path"])])
             yield out.astype({"http_status": "Int32", "size_bytes": "Int64"}) if len(out) else out
 
+    ship_package(tasks.sparkSession)
     return tasks.select("url", "local_path").mapInPandas(run, "url string, local_path string, http_status int, error string, attempts int, size_bytes long, sha256 string")
 
 
@@ -149,9 +152,10 @@ def _copied(rows: DataFrame, source: str, target: str) -> DataFrame:
             pdf["sha256"] = [_copy(one, f"{top}/{p}", other, f"{to}/{p}", e) for p, e in zip(pdf["path"], pdf["expected"])]
             yield pdf
 
+    ship_package(rows.sparkSession)
     # files are dealt by name: a large folder is not one task's
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return stored(rows.repartition(4 * cores, "path").mapInPandas(run, rows.schema.add("sha256", "string")), "copied")
+    return stored(rows.repartition(4 * cores, "path").mapInPandas(run, StructType([*rows.schema.fields, StructField("sha256", StringType())])), "copied")
 
 
 def _manifest(spark: SparkSession, root: str) -> DataFrame | None:

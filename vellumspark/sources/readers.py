@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import type_of_stem, year_of
 from ..schemas import PAGE, RECORD
+from .scratch import ship_package
 
 YEAR_IN_NAME = r"_(\d{4})_metadados"
 
@@ -90,6 +91,7 @@ def extract_pages(files: DataFrame, extract: Callable[[bytes], Iterable]) -> Dat
                 if pages:
                     yield pd.DataFrame([{"doc_id": doc_id, "page": i + 1, "width": p.get("width"), "blocks": p.get("blocks", []), "tables": p.get("tables", [])} for i, p in enumerate(pages)])
 
+    ship_package(files.sparkSession)
     return files.select("doc_id", "content").mapInPandas(run, PAGE)
 
 

@@ -1,10 +1,12 @@
-"""A folder where driver and executors both can write."""
+"""A folder where driver and executors both can write, and the package for executors that lack it."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +57,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").option("parquet.page.size.row.check.min", "10").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each session; they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_vellum_shipped", False):
+        return
+    here = Path(__file__).resolve().parent.parent
+    path = Path(tempfile.mkdtemp(prefix="vellum-")) / f"{here.name}.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for f in here.rglob("*.py"):
+            out.write(f, f.relative_to(here.parent))
+    context.addPyFile(str(path))
+    context._vellum_shipped = True
