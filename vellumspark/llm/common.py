@@ -2,78 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows, and bytes, in one Arrow batch: the texts of a batch must fit a Python worker together.
-BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only a session that names none, as in tests on one machine, gets one of its own.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="vellum-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-#: Folders of this process; they go when it ends.
-_ROOTS: dict[str, str] = {}
-
+from ..sources.scratch import scratch as fresh_dir, ship_package, shared as shared_dir, stored as materialize
 
-def _remove(spark: SparkSession, root: str) -> None:
-    try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the JVM may be gone already; the folder then stays until the shared one is cleared
-        pass
+__all__ = ["fresh_dir", "materialize", "shared_dir", "ship_package", "small_batches", "table"]
 
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder; it lasts as long as this process."""
-    shared = shared_dir(spark)
-    if shared not in _ROOTS:
-        _ROOTS[shared] = f"{shared}/vellum-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, _ROOTS[shared])
-    return f"{_ROOTS[shared]}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: the lineage ends there.
-
-    Unlike a local checkpoint the files outlive the executors that wrote them.  Pages of long
-    texts are large: zstandard streams through them, where the default codec holds each whole
-    outside the heap; and a page is closed as soon as it is full.
-    """
-    spark = df.sparkSession
-    path = fresh_dir(spark, name)
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").option("parquet.page.size.row.check.min", "10").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each session; they need not have it installed."""
-    context = spark.sparkContext
-    if getattr(context, "_vellum_shipped", False):
-        return
-    here = Path(__file__).resolve().parent.parent
-    path = Path(tempfile.mkdtemp(prefix="vellum-")) / f"{here.name}.zip"
-    with zipfile.ZipFile(path, "w") as out:
-        for f in here.rglob("*.py"):
-            out.write(f, f.relative_to(here.parent))
-    context.addPyFile(str(path))
-    context._vellum_shipped = True
+#: Rows, and bytes, in one Arrow batch: the texts of a batch must fit a Python worker together.
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
