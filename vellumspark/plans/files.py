@@ -191,14 +191,15 @@ def points_stats(spark, sf_dir):
     return writers.collection_stats(_upserted(spark, sf_dir))
 
 
-@query(f"WITH {UUID_SQL} SELECT id, doc_id FROM u WHERE doc_id % 3 = 0")
+@query(f"WITH {UUID_SQL} SELECT id, doc_id, md5(text) AS digest FROM u")
 def points_restored(spark, sf_dir):
-    """A stored table is copied, and the copy is read."""
-    docs = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("chunk_id"), "doc_id")
-    path, copy = scratch(spark, "points"), scratch(spark, "snapshot")
+    """A stored table is kept, its snapshot put back elsewhere, and that is read."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("chunk_id"), "doc_id", "text")
+    path, copy, back = scratch(spark, "points"), scratch(spark, "snapshot"), scratch(spark, "restored")
     writers.write_points(docs, path)
     files.snapshot(spark, path, copy)
-    return writers.read_points(spark, copy).select("id", "doc_id")
+    files.restore(spark, copy, back)
+    return writers.read_points(spark, back).select("id", "doc_id", F.md5("text").alias("digest"))
 
 
 # What a stand-in for the network says about each page's address.
@@ -308,10 +309,10 @@ def named_samples(spark, sf_dir):
     return corpus.samples_of(rows, {"src0": "none", "src1": "000000031", "src2": "none"}, "source", "path").select("source", F.col("path").cast("bigint").alias("doc_id"))
 
 
-@query("SELECT conv_id, turn, text[1:300] AS head FROM conversations WHERE turn < 3")
+@query("SELECT conv_id, turn, md5(text) AS digest FROM conversations WHERE turn < 3")
 def first_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "conversations").withColumn("page", F.col("turn") + 1)
-    return readers.first_pages(pages).select("conv_id", "turn", F.substring("text", 1, 300).alias("head"))
+    return readers.first_pages(pages).select("conv_id", "turn", F.md5("text").alias("digest"))
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id % 7 IN (1, 3) ORDER BY doc_id LIMIT 40")
