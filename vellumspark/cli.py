@@ -14,8 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions.arrays import latency_percentile
-from .operators import chunking, context, corpus, dense, evaluate, fusion, golden, lexical, models, sampling
+from .operators import chunking, context, corpus, dense, evaluate, fusion, golden, lexical, models, quantiles, sampling
 from .operators.cleaning import page_with_tables, parse_documents
 from .profiles import PLAIN, TextProfile, legal_profile
 from .sources.files import fetch, restore, snapshot, versions
@@ -199,9 +198,9 @@ def evaluate_all(spark: SparkSession, args, load: Callable[[], models.Generator]
         chosen = asked.orderBy("qid").limit(args.gen_limit) if args.gen_limit else asked
         said = answers(chosen.select("qid", "text"), hits, load, args.gen_top_k)
         metrics = metrics.join(said.withColumnRenamed("latency_ms", "gen_latency_ms").withColumn("n_cited", F.size("citations")).drop("citations", "n_chunks"), "qid", "left")
-        times = corpus.counted(said.withColumn("one", F.lit(0)), "one", "latency_ms", "ms").select(latency_percentile(F.col("ms"), 50).alias("p50"), latency_percentile(F.col("ms"), 95).alias("p95")).head()
+        times = quantiles.latencies(said.withColumn("one", F.lit(0)), ["one"], "latency_ms", {"p50": 50, "p95": 95}).head()
         negative = evaluate.not_found_rate(chosen.select("qid", "tipo_query").join(said.select("qid", "not_found"), "qid")).head()
-        summary |= {"n_generated": said.count(), "p50_latency_ms": times.p50, "p95_latency_ms": times.p95}
+        summary |= {"n_generated": said.count(), "p50_latency_ms": times.p50 if times else 0.0, "p95_latency_ms": times.p95 if times else 0.0}
         summary |= {"not_found_rate_negative": negative.rate} if negative.n else {}
         texts = hits.where(F.col("rank") <= args.gen_top_k).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]).alias("contexts"))
         samples = chosen.where("tipo_query <> 'negative'").select("qid", F.col("text").alias("question")).join(said.where("not not_found").select("qid", "answer"), "qid").join(texts, "qid")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.arrays import p90_exclusive
 from ..functions.text import as_https, is_pdf_url
 from .cleaning import is_multi_column, looks_scanned, named
+from .quantiles import spreads
 
 
 def download_tasks(rows: DataFrame, only_kind: str | None = None) -> DataFrame:
@@ -64,29 +64,21 @@ def samples_of(rows: DataFrame, wanted: dict[str, str], kind: str, path: str) ->
     return rows.join(best, [kind, path], "left_semi")
 
 
-def counted(rows: DataFrame, by: str, value: str, name: str) -> DataFrame:
-    """``by`` and its distinct values with their counts, in order, as ``array<struct<v, c>>``.
-
-    Equal values are summed in parts first, so a frequent kind costs its distinct values only.
-    """
-    each = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    return each.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias(name))
-
-
 def profile_by_kind(rows: DataFrame, kind: str, pages: str, chars: str, size: str, flags: dict[str, Column]) -> DataFrame:
     """Spread of pages and sizes of each kind, most frequent kinds first."""
     main = rows.groupBy(kind).agg(
         F.count("*").alias("n"),
         F.min(pages).alias("pages_min"),
         F.max(pages).alias("pages_max"),
-        F.percentile(pages, 0.5).alias("pages_median"),
         F.round(F.avg(chars), 4).alias("chars_mean"),
-        F.percentile(size, 0.5).alias("size_p50"),
         *[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in flags.items()],
     )
-    spread = counted(rows, kind, pages, "p").join(counted(rows, kind, size, "s"), kind)
-    spread = spread.select(kind, p90_exclusive(F.col("p")).alias("pages_p90"), p90_exclusive(F.col("s")).alias("size_p90"))
-    return main.join(spread, kind).orderBy(F.desc("n"), kind)
+    each = rows.select(kind, F.explode(F.array(F.struct(F.lit("pages").alias("of"), F.col(pages).cast("double").alias("v")), F.struct(F.lit("size").alias("of"), F.col(size).cast("double").alias("v")))).alias("x")).select(kind, "x.of", "x.v")
+    spread = spreads(each, [kind, "of"], "v")
+    one = lambda name, of: F.max(F.when(F.col("of") == of, F.col(name)))
+    spread = spread.groupBy(kind).agg(one("median", "pages").alias("pages_median"), one("p90", "pages").alias("pages_p90"), one("median", "size").alias("size_p50"), one("p90", "size").alias("size_p90"))
+    columns = [kind, "n", "pages_min", "pages_max", "pages_median", "chars_mean", "size_p50", *flags, "pages_p90", "size_p90"]
+    return main.join(spread, kind).select(*columns).orderBy(F.desc("n"), kind)
 
 
 def page_profile(pages: DataFrame, first: int = 5) -> DataFrame:

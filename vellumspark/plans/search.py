@@ -6,8 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.arrays import latency_percentile, p90_exclusive
-from ..operators import cells, context, corpus, dense, evaluate, fusion, lexical, models
+from ..operators import cells, context, dense, evaluate, fusion, lexical, models, quantiles
 from ..sources.scratch import kept, scratch
 from .common import Registry, table, words_sql
 
@@ -250,7 +249,7 @@ def metrics_by_type(spark, sf_dir):
 )
 def latency_percentiles(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_type", F.round(F.col("value") * 1000).alias("ms"))
-    return corpus.counted(rows, "event_type", "ms", "s").select("event_type", latency_percentile(F.col("s"), 50).alias("p50"), latency_percentile(F.col("s"), 95).alias("p95"))
+    return quantiles.latencies(rows, ["event_type"], "ms", {"p50": 50, "p95": 95})
 
 
 @query(
@@ -260,7 +259,7 @@ def latency_percentiles(spark, sf_dir):
 )
 def p90_quantity(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("kind"), "l_quantity")
-    return corpus.counted(rows, "kind", "l_quantity", "s").select("kind", p90_exclusive(F.col("s")).alias("p90"))
+    return quantiles.spreads(rows, ["kind"], "l_quantity").select("kind", "p90")
 
 
 CONTEXT_SQL = f"""WITH {BM25_SQL}, {top_sql('sc', 5, 'best')},
