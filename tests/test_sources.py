@@ -183,3 +183,40 @@ def test_a_lookup_reads_one_row_group(spark, tmp_path):
             node = node.children().apply(0)
         read = node.metrics().get("numOutputRows").get().value()
         assert n >= 1 and read <= 2 * 40_000 / groups, (column, read)
+
+
+def test_hosts_are_asked_by_few_at_once_and_not_before_their_time(spark, tmp_path):
+    from vellumspark.sources import files
+
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def get(url):
+        host, k = url.split("/")[2:4]
+        began = time.time()
+        time.sleep(0.03)
+        (log / f"{host}-{k}-{began:.6f}").write_text(f"{host} {began} {time.time()}")
+        if k == "3" and len(list(log.glob(f"{host}-3-*"))) == 1:
+            return 429, b"", {"Retry-After": "1"}
+        return 200, b"%PDF- " + url.encode()
+
+    tasks = spark.createDataFrame([(f"https://{h}/{k}", f"{h}/{k}.pdf") for h in ("a.org", "b.org", "A.org") for k in range(12)], "url string, local_path string").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        rows = files.fetch(tasks, f"file://{tmp_path}/files", get, per_host=3).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == 36 and all(r.http_status == 200 and r.sha256 for r in rows) and sorted({r.attempts for r in rows}) == [1, 2]
+    asked = [(h.lower(), float(a), float(b)) for h, a, b in (f.read_text().split() for f in log.iterdir())]
+    for host in ("a.org", "b.org"):
+        own = [(a, b) for h, a, b in asked if h == host]
+        assert max(sum(a <= at < b for a, b in own) for at, _ in own) <= 3
+    refused = [float(f.read_text().split()[2]) for f in sorted(log.glob("b.org-3-*"))][0]
+    # those that were under way may end; none begins before the time
+    assert not [a for h, a, _ in asked if h == "b.org" and refused + 0.05 < a < refused + 0.95]
+
+
+def test_retry_after_values():
+    from vellumspark.sources.files import seconds_to_wait
+
+    assert [seconds_to_wait(x, 0.0) for x in (None, "", "x", "7", "-3", "Thu, 01 Jan 1970 00:01:00 GMT")] == [None, None, None, 7.0, 0.0, 60.0]

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import posixpath
+import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from email.utils import parsedate_to_datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -46,19 +50,56 @@ def write_files(rows: DataFrame, root: str) -> DataFrame:
     return rows.sparkSession.read.parquet(listed)
 
 
-def fetch(tasks: DataFrame, root: str, get: Callable[[str], tuple[int, bytes]], attempts: int = 3, magic: bytes = b"%PDF-", wait: Callable[[int], None] = lambda attempt: None) -> DataFrame:
+#: A server's wish to wait is followed up to so many seconds.
+LONGEST_WAIT = 60.0
+
+
+def seconds_to_wait(value: str | None, now: float) -> float | None:
+    """Seconds by a Retry-After header (a number or an HTTP date), not below 0; None if it is neither."""
+    try:
+        return max(0.0, float(value))
+    except (TypeError, ValueError):
+        pass
+    try:
+        return max(0.0, parsedate_to_datetime(value).timestamp() - now)
+    except (TypeError, ValueError, AttributeError):
+        return None
+
+
+class _Host:
+    """What the threads of one host share: when it may be asked again."""
+
+    def __init__(self):
+        self.due, self.lock = 0.0, threading.Lock()
+
+    def wait(self) -> None:
+        while (left := self.due - time.time()) > 0:
+            time.sleep(left)
+
+    def put_off(self, seconds: float) -> None:
+        with self.lock:
+            self.due = max(self.due, time.time() + min(seconds, LONGEST_WAIT))
+
+
+def fetch(
+    tasks: DataFrame, root: str, get: Callable[[str], tuple], attempts: int = 3, magic: bytes = b"%PDF-", wait: Callable[[int], float | None] = lambda attempt: None, per_host: int = 2
+) -> DataFrame:
     """Fetch each task's ``url`` to ``root/local_path``: ``url, local_path, http_status, error, attempts, size_bytes, sha256``.
 
-    ``get`` gives status and bytes.  Statuses of 500 and more, 429 and errors are tried again
-    after ``wait``; others, and content without the magic bytes, are not.
+    ``get`` gives status and bytes, and headers if it has them.  Statuses of 500 and more, 429 and errors are
+    tried again after the seconds that ``wait`` gives; others, and content without the magic bytes, are not.
+
+    The tasks of a host go to one Spark task, which asks it ``per_host`` times at once at most; a
+    ``Retry-After`` holds for all that is left of the host.  Hosts are fetched side by side.
     """
 
-    def one(url: str, path: str) -> dict:
+    def one(url: str, path: str, host: _Host) -> dict:
         row = {"url": url, "local_path": None, "http_status": None, "error": None, "attempts": 0, "size_bytes": None, "sha256": None}
         for attempt in range(1, attempts + 1):
             row["attempts"] = attempt
+            host.wait()
             try:
-                row["http_status"], content = get(url)
+                row["http_status"], content, *headers = get(url)
             except Exception as e:  # any failure of the opener is an outcome
                 row |= {"http_status": None, "error": type(e).__name__}
             else:
@@ -70,17 +111,30 @@ def fetch(tasks: DataFrame, root: str, get: Callable[[str], tuple[int, bytes]],
                 row["error"] = f"http_{row['http_status']}"
                 if row["http_status"] < 500 and row["http_status"] != 429:
                     return row
+                named = {k.lower(): v for k, v in (headers[0] if headers else {}).items()}
+                asked = seconds_to_wait(named.get("retry-after"), time.time())
+                if asked is not None:
+                    host.put_off(asked)
+                    continue
             if attempt < attempts:
-                wait(attempt)
+                time.sleep(min(wait(attempt) or 0, LONGEST_WAIT))
         return row
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pd.DataFrame([one(u, p) for u, p in zip(pdf["url"], pdf["local_path"])])
-            yield out.astype({"http_status": "Int32", "size_bytes": "Int64"}) if len(out) else out
+        name, host = None, _Host()
+        with ThreadPoolExecutor(per_host) as pool:
+            for pdf in batches:
+                # rows are sorted by host; one that goes on in the next batch keeps its state
+                for key, some in pdf.groupby("host", sort=False, dropna=False):
+                    name, host = (name, host) if key == name else (key, _Host())
+                    out = pd.DataFrame(list(pool.map(one, some["url"], some["local_path"], [host] * len(some))))
+                    yield out.astype({"http_status": "Int32", "size_bytes": "Int64"})
 
     ship_package(tasks.sparkSession)
-    return tasks.select("url", "local_path").mapInPandas(run, "url string, local_path string, http_status int, error string, attempts int, size_bytes long, sha256 string")
+    cores = tasks.sparkSession.sparkContext.defaultParallelism
+    host = F.lower(F.regexp_extract("url", r"^(?:[^:/?#]+://)?([^/?#]*)", 1)).alias("host")
+    dealt = tasks.select("url", "local_path", host).repartition(4 * cores, "host").sortWithinPartitions("host")
+    return dealt.mapInPandas(run, "url string, local_path string, http_status int, error string, attempts int, size_bytes long, sha256 string")
 
 
 def _fs(spark: SparkSession, path: str):
