@@ -70,7 +70,7 @@ def brute_features(c, before, after, path, held):
     has = lambda pattern, s: float(bool(re.search(pattern, s)))
     return [
         min(n, 256.0), sum(kind(a) != kind(b) for a, b in zip(c, c[1:])) / n, sum(x.isdigit() for x in c) / n, sum(x.isupper() for x in c) / n, sum(x in "+/_=-" for x in c) / n,
-        has("^([0-9a-f]+|[0-9A-F]+)$", c), len(set(c[:64])) / min(n, 64), 1 - left / n, has(secrets.ASSIGNS, before), has(secrets.SECRETIVE, before), has(secrets.HARMLESS, before + " " + after),
+        has("^([0-9a-f]+|[0-9A-F]+)$", c), len(set(c)) / min(n, 64), 1 - left / n, has(secrets.ASSIGNS, before), has(secrets.SECRETIVE, before), has(secrets.HARMLESS, before + " " + after),
         has(secrets.EXAMPLE, before + c + after), has(secrets.EXAMPLE_PATH, path), has("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", c), float(before[-1:] in list("\"'`") and after[:1] in list("\"'`")),
     ]
 
@@ -92,7 +92,8 @@ def test_features_and_scores_equal_brute_force(spark, sf, model, words):
     held = {*secrets.USUAL, *(r.word for r in secrets.common_words(docs).collect())}
     made = [(r.candidate, r.before, r.after, r.path) for r in secrets.labelled_findings(spark, 60, 50_000).collect()]
     found = [(c, b, a, r.source or "") for r in docs.collect() for _, _, c, b, a in proposed(r.text)]
-    rows = made + random.Random(1).sample(found, min(60, len(found)))
+    # one whose second half has other characters than its first 64
+    rows = [*made, *random.Random(1).sample(found, min(60, len(found))), ("a1" * 40 + "BCDEFGHIJ" * 14, "token = ", ";", "src/x")]
     some = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, candidate string, before string, after string, path string")
     exact = some.select("i", *[x.alias(f) for f, x in secrets.features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"), words).items()])
     inputs = {r.i: list(r)[1:] for r in exact.collect()}

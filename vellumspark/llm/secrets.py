@@ -109,7 +109,7 @@ def features(c: Column, before: Column, after: Column, path: Column, words: str)
         "upper_share": share("A-Z"),
         "mark_share": share("+/_=-"),
         "hex_only": flag(c.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
-        "distinct_share": F.size(F.array_distinct(F.split(F.substring(c, 1, 64), ""))) / F.least(n, F.lit(64.0)),
+        "distinct_share": F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(64.0)),
         "covered": 1 - F.length(F.regexp_replace(F.lower(c), words, "")) / n,
         "assigned": flag(before.rlike(ASSIGNS)),
         "secretive": flag(before.rlike(SECRETIVE)),
