@@ -1,5 +1,6 @@
 """Schemas of the stored tables, as Spark DDL."""
 
+# Field names and types of stored tables, which readers of these know.
 SOURCES = "array<struct<ano:int,titulo:string,tipo:string>>"
 TASK = f"url string, arquivo string, ano_destino int, fontes {SOURCES}"
 MANIFEST = f"url string, local_path string, size_bytes bigint, sha256 string, downloaded_at timestamp, http_status int, ano_destino int, fontes {SOURCES}"
