@@ -30,6 +30,11 @@ def tops(found):
     return {(r.qid, r["rank"], r.id): r.score for r in found.collect()}
 
 
+@pytest.fixture(autouse=True)
+def bounded(monkeypatch):
+    monkeypatch.setattr(lexical, "WORTH", -1)
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.createDataFrame(texts(1500), "id int, text string").repartition(3).select("id", "text", (F.col("id") % 100).alias("part"))
