@@ -1,6 +1,8 @@
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -157,3 +159,34 @@ def test_a_cloud_of_edited_copies_makes_few_pairs(spark, monkeypatch):
     got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id for r in got.collect()} == set(jaccard_groups(dict(rows)).values())
     assert sum(asked) < 4 * len(rows), asked
+
+
+def test_texts_of_the_same_sentences_make_few_pairs(spark, monkeypatch):
+    rng = random.Random(21)
+    sentences = [" ".join(f"s{i}w{k}" for k in range(12)) for i in range(30)]
+    rows = [(i, " ".join(sentences[k] for k in sorted(rng.sample(range(30), 21)))) for i in range(500)]
+    for i in range(0, 60, 3):  # and some that are alike
+        rows.append((len(rows), rows[i][1] + " and a few words more"))
+    asked, plain = [], simhash._alike
+
+    def alike(pairs, sets):
+        asked.append(pairs.count())
+        return plain(pairs, sets)
+
+    monkeypatch.setattr(simhash, "_alike", alike)
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == set(jaccard_groups(dict(rows)).values())
+    assert sum(asked) < len(rows) ** 2 / 20, asked
+
+
+def test_minima_of_alike_sets_seldom_differ_too_much():
+    n = simhash.BANDS * simhash.MINIMA
+    lost = sum(math.comb(n, k) * 0.15**k * 0.85 ** (n - k) for k in range(simhash.DIFFER + 1, n + 1))
+    assert lost < 1.5e-6
+    rng, differ = np.random.default_rng(5), []
+    for _ in range(200):  # a similarity of 0.8: on average 15 % differ
+        both, own = rng.integers(0, 1 << 63, 80, dtype=np.uint64), rng.integers(0, 1 << 63, (2, 10), dtype=np.uint64)
+        x, y = (simhash.planes(simhash.minima(np.concatenate([both, o]))).view(np.uint64) for o in own)
+        half = len(x) // 2
+        differ.append(int(np.bitwise_count((x ^ y)[:half] | (x ^ y)[half:]).sum()))
+    assert 34 < np.mean(differ) < 38 and 4.5 < np.std(differ) < 6.5 and max(differ) <= simhash.DIFFER
