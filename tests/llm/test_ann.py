@@ -83,19 +83,36 @@ def test_many_queries_of_a_cell_are_dealt_and_exact_search_finds_all(spark, monk
     assert {q: [i for i, _ in g] for q, g in got.items()} == {q: [i for i, _ in w] for q, w in want.items()}
 
 
-def test_recall_at_fifty_thousand(spark, tmp_path):
+def test_bundles_hold_neighbouring_cells_up_to_their_size(monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 10)
+    bundle, parts = ann.bundles(np.array([4, 6, 1, 0, 35, 9, 2, 0]))
+    assert bundle.tolist() == [0, 0, 1, 1, 2, 3, 4, 4] and parts.tolist() == [1, 1, 4, 1, 1]
+    assert [x.tolist() for x in ann.bundles(np.array([0]))] == [[0], [1]]
+
+
+def test_recall_and_rows_that_leave_the_scan_at_fifty_thousand(spark, tmp_path, monkeypatch):
+    left, plain = [], ann._top
+
+    def top(rows, key, order, n):
+        if key == "query" and order[-1] == "entry":
+            left.append(rows.count())
+        return plain(rows, key, order, n)
+
+    monkeypatch.setattr(ann, "_top", top)
     rng = np.random.default_rng(7)
     x = rng.normal(size=(50_000, 64)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}), tmp_path / "embeddings.parquet")
     frame = spark.read.parquet(str(tmp_path)).repartition(8)
-    got = found(ann.search(frame, F.col("vec_id") % 500 == 0).collect())
+    got = found(ann.search(frame, F.col("vec_id") % 100 == 0).collect())
     want = {}
-    for q in range(0, 50_000, 500):
+    for q in range(0, 50_000, 100):
         d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1)
         d[q] = np.inf
         want[q] = [(int(i), 0.0) for i in np.argsort(d)[:10]]
-    assert recall(got, want) >= 0.9
+    assert recall(got, want) >= 0.9, recall(got, want)
+    assert len(left) == 2 and sum(left) / len(want) < len(x) / 20, (left, recall(got, want))
+    print("recall", recall(got, want), "rows that leave the scan for a query", sum(left) / len(want))
 
 
 def test_words_weigh_the_parallel_error_more():

@@ -4,7 +4,7 @@ Vectors are grouped by value first: copies are one entry with the ``KEEP`` small
 vector that fills a third of the table is scanned once and can't crowd out other neighbours.
 
 * Cells: each entry goes to the nearest of about as many centres as the root of the number of
-  entries; a cell with many entries is dealt into sub-blocks of bounded size.
+  entries; a cell with many entries is dealt into parts of bounded size.
 * Codes: what is left of the centre, brought to length one, is cut into pieces of ``SUB`` values, each replaced by one
   of 16 words.  Words are chosen and trained by the anisotropic loss: the part of the error
   that is parallel to the vector weighs ``ETA`` times the rest, since it is that part which
@@ -22,9 +22,12 @@ vector that fills a third of the table is scanned once and can't crowd out other
 Centres and words are trained on at most ``SAMPLE`` vectors, those of the smallest id hashes;
 every vector is indexed.
 
-Queries and codes meet by cell, in tasks of one sub-block and at most about ``QUERY_ROWS`` of the
-queries each; neither side is broadcast.  Codes of a cell that more queries probe are sent once
-for each such part of them.
+Queries and codes meet in bundles of neighbouring cells, about ``BLOCK_ROWS`` entries each, in
+tasks of one bundle and at most about ``QUERY_ROWS`` of the queries; neither side is broadcast.
+Codes of a bundle that more queries probe are sent once for each such part of them.  A query asks
+the bundle of its best cell first.  The nearness of the last of the candidates found there goes
+with it to the other bundles, which pass on only what is at least as near, and never more than
+the number of candidates: what leaves the scan grows with the bundles, not with the entries.
 
 ``search(..., exact=True)`` compares all vectors instead: a stated set of queries, in blocks of
 ``QUERY_BYTES``, against every task's vectors, each of which passes its nearest on.
@@ -52,9 +55,9 @@ SUB, WORDS = 2, 16
 #: Threshold of the score-aware loss, as a share of a vector's length.
 THRESHOLD = 0.2
 SAMPLE, ROUNDS = 20_000, 8
-#: Entries of a sub-block at most.
-BLOCK_ROWS = 4000
-#: Queries that meet a sub-block in one task, and bytes of the queries that are compared exactly at once.
+#: Entries of a bundle of cells, or of a part of a large cell.
+BLOCK_ROWS = 8192
+#: Queries that meet a bundle in one task, and bytes of the queries that are compared exactly at once.
 QUERY_ROWS, QUERY_BYTES = 4096, 8 << 20
 #: Share of the sample's true neighbours that the probed cells must hold, and vectors that are asked.
 PROBE_TARGET, PROBE_ASKED = 0.98, 256
@@ -108,6 +111,23 @@ def nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmax(x[i : i + 1024] @ centre.T - half, axis=1) for i in range(0, len(x), 1024)]) if len(x) else np.empty(0, np.int64)
 
 
+def _in_line(centre: np.ndarray) -> np.ndarray:
+    """The centres in order of their main direction, so that numbers next to each other are neighbours."""
+    main = np.linalg.svd(centre - centre.mean(axis=0), full_matrices=False)[2][0]
+    return centre[np.argsort(centre @ main, kind="stable")]
+
+
+def bundles(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bundle of each cell, by the cells' sizes, and the parts that each bundle is dealt into."""
+    bundle, held, number = np.zeros(len(sizes), np.int64), 0, 0
+    for cell, size in enumerate(sizes):
+        if held and held + size > BLOCK_ROWS:
+            number, held = number + 1, 0
+        bundle[cell] = number
+        held += size
+    return bundle, np.maximum(1, np.ceil(np.bincount(bundle, sizes) / BLOCK_ROWS)).astype(np.int64)
+
+
 class Codebook:
     """Centres of the cells and 16 words for each piece of what is left."""
 
@@ -116,7 +136,7 @@ class Codebook:
         self.pieces = math.ceil(self.dim / SUB)
         self.pieces += self.pieces % 2
         self.eta = max(1.0, (self.dim - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
-        self.centre = kmeans(sample, cells, ROUNDS)
+        self.centre = _in_line(kmeans(sample, cells, ROUNDS))
         cell = nearest(sample, self.centre)
         left, unit, _ = self._split(sample, cell)
         self.word = np.stack([np.resize(kmeans(left[:, m], WORDS, 4, m), (WORDS, SUB)) for m in range(self.pieces)])
@@ -212,38 +232,68 @@ def _encode(shared):
     return run
 
 
-def _probe(shared, n: int):
+def _probe(shared, n: int, bundle: np.ndarray):
+    """For each query the bundles that hold its best cells, with those cells; ``first``: that of the best one."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cells = shared.value.probes(np.array(pdf["v"].tolist(), float), n)
-            yield pd.DataFrame({"query": pdf["entry"], "v": pdf["v"], "cells": list(cells.astype(np.int32))})
+            cells = shared.value.probes(np.array(pdf["v"].tolist(), float), n).astype(np.int32)
+            for query, v, mine in zip(pdf["entry"], pdf["v"], cells):
+                of = bundle[mine]
+                each = np.unique(of)
+                yield pd.DataFrame({"query": query, "v": [v] * len(each), "bundle": each, "cells": [mine[of == b] for b in each], "first": each == of[0]})
 
     return run
 
 
 def _scan(shared, top: int):
-    """One sub-block of a cell: its codes (``v`` null) and the queries that probe it."""
+    """A part of a bundle: its codes (``v`` null) and the queries that probe it; at most ``top`` entries for each."""
+
+    def best(who: np.ndarray, at: np.ndarray, near: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best of each query; raises its floor to the last of them."""
+        order = np.lexsort((at, -near, who))
+        who, at, near = who[order], at[order], near[order]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        last = place == top - 1
+        floor[who[last]] = np.maximum(floor[who[last]], near[last])
+        kept = place < top
+        return who[kept], at[kept], near[kept]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         mine = pdf["code"].notna()
         codes, queries = pdf[mine].sort_values("id"), pdf[~mine]
+        codes = codes.sort_values("cell", kind="stable")
         out = {"query": np.empty(0, np.int64), "entry": np.empty(0, np.int64), "near": np.empty(0)}
         if not len(codes) or not len(queries):
             return pd.DataFrame(out)
         book, entry = shared.value, codes["id"].to_numpy()
         code = np.frombuffer(b"".join(codes["code"]), np.uint8).reshape(len(codes), -1)
         half, scale = codes["norm2"].to_numpy() / 2, codes["scale"].to_numpy()
-        centre = book.centre[int(codes["cell"].iloc[0])]
+        held, start = np.unique(codes["cell"].to_numpy().astype(np.int64), return_index=True)
+        end = np.append(start[1:], len(codes))
         parts = []
-        for at in range(0, len(queries), 64):
-            some = queries.iloc[at : at + 64]
-            q = np.array(some["v"].tolist(), float)
-            table_of, near = book.tables(q), np.zeros((len(q), len(code)))
-            for b in range(code.shape[1]):
-                near += table_of[:, b, code[:, b]]
-            near = near * scale + (q @ centre)[:, None] - half
-            order = np.argsort(-near, axis=1, kind="stable")[:, :top]  # ties: the smaller id
-            parts.append((np.repeat(some["id"].to_numpy(), order.shape[1]), entry[order].ravel(), np.take_along_axis(near, order, 1).ravel()))
+        for begin in range(0, len(queries), 64):
+            some = queries.iloc[begin : begin + 64]
+            q, floor = np.array(some["v"].tolist(), float), some["floor"].to_numpy(float, na_value=-np.inf).copy()
+            table_of = book.tables(q)
+            asks = np.zeros((len(q), len(book.centre)), bool)
+            for i, cells in enumerate(some["cells"]):
+                asks[i, cells] = True
+            found, waiting = [], 0
+            for c, a, b in zip(held, start, end):
+                who = np.flatnonzero(asks[:, c])
+                near = np.zeros((len(who), b - a))
+                for k in range(code.shape[1]):
+                    near += table_of[who, k][:, code[a:b, k]]
+                near = near * scale[a:b] + (q[who] @ book.centre[c])[:, None] - half[a:b]
+                i, j = np.nonzero(near >= floor[who, None])  # ties go on: the smaller id may be elsewhere
+                found.append((who[i], entry[a + j], near[i, j]))
+                waiting += len(i)
+                if waiting > 4 * top * len(q):
+                    found = [best(*(np.concatenate(x) for x in zip(*found)), floor)]
+                    waiting = len(found[0][0])
+            who, at, near = best(*(np.concatenate(x) for x in zip(*found)), floor)
+            parts.append((some["id"].to_numpy()[who], at, near))
         return pd.DataFrame(dict(zip(out, (np.concatenate(x) for x in zip(*parts)))))
 
     return run
@@ -338,20 +388,35 @@ def coded_best(entries: DataFrame, asked: DataFrame, k: int, n: int) -> DataFram
     shared = spark.sparkContext.broadcast(book)
     coded = materialize(entries.select("entry", "v").mapInPandas(_encode(shared), "entry long, cell int, norm2 double, scale double, code binary"), "ann-codes")
     n_probe, depth = measured(entries, coded, book, k)
-    probed = materialize(asked.mapInPandas(_probe(shared, n_probe), "query long, v array<double>, cells array<int>"), "ann-probes")
-    load = probed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("turns"))
-    sizes = coded.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
-    dealt = materialize(sizes.join(load.hint("merge"), "cell"), "ann-cells")  # a row for each centre
-
-    # a crowded cell has several sub-blocks; a query goes to each of them, an entry to one, for each part of the queries
+    sizes = coded.groupBy("cell").count().toPandas()  # a row for each centre, of which there are at most SAMPLE
+    entries_in = np.zeros(len(book.centre), np.int64)
+    entries_in[sizes["cell"]] = sizes["count"]
+    bundle, parts = bundles(entries_in)
+    placed = F.broadcast(spark.createDataFrame(pd.DataFrame({"cell": np.arange(len(bundle)), "bundle": bundle, "parts": parts[bundle]})))
+    dealt = F.broadcast(spark.createDataFrame(pd.DataFrame({"bundle": np.arange(len(parts)), "parts": parts})))
+    probed = materialize(asked.mapInPandas(_probe(shared, n_probe, bundle), "query long, v array<double>, bundle long, cells array<int>, first boolean"), "ann-probes")
+
+    # a large cell has several parts; a query goes to each of them, an entry to one, for each part of the queries
     one = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    none = lambda kind: F.lit(None).cast(kind)
-    left = coded.join(dealt, "cell").select("cell", one("entry", "parts").alias("part"), every("turns").alias("turn"), F.col("entry").alias("id"), "norm2", "scale", "code", none("array<double>").alias("v"))
-    asking = probed.select("query", "v", F.explode("cells").alias("cell")).join(dealt, "cell")
-    right = asking.select("cell", every("parts").alias("part"), one("query", "turns").alias("turn"), F.col("query").alias("id"), none("double").alias("norm2"), none("double").alias("scale"), none("binary").alias("code"), "v")
-    near = left.union(right).groupBy("cell", "part", "turn").applyInPandas(_scan(shared, depth), "query long, entry long, near double")
-    return _top(near, "query", [F.desc("near"), "entry"], depth)
+    every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+
+    def scanned(asking: DataFrame) -> DataFrame:
+        load = materialize(asking.groupBy("bundle").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("turns")), "ann-load")
+        left = coded.join(placed, "cell").join(load.hint("merge"), "bundle").select(
+            "bundle", one("entry", "parts").alias("part"), every("turns").alias("turn"), F.col("entry").alias("id"), "cell", "norm2", "scale", "code", none("array<double>", "v"), none("array<int>", "cells"), none("double", "floor")
+        )
+        right = asking.join(dealt, "bundle").join(load.hint("merge"), "bundle").select(
+            "bundle", every("parts").alias("part"), one("query", "turns").alias("turn"), F.col("query").alias("id"), none("int", "cell"), none("double", "norm2"), none("double", "scale"), none("binary", "code"), "v", "cells", "floor"
+        )
+        return left.union(right).groupBy("bundle", "part", "turn").applyInPandas(_scan(shared, depth), "query long, entry long, near double")
+
+    order = [F.desc("near"), "entry"]
+    first = scanned(probed.where("first").withColumn("floor", F.lit(None).cast("double")))
+    first = materialize(_top(first, "query", order, depth).select("query", "entry", "near"), "ann-first")
+    floor = first.groupBy("query").agg(F.when(F.count("*") >= depth, F.min("near")).alias("floor"))
+    rest = scanned(probed.where("not first").join(floor.hint("merge"), "query", "left"))
+    return _top(first.union(rest), "query", order, depth)
 
 
 def search(vectors: DataFrame, is_query, k: int = 10, exact: bool = False) -> DataFrame:
