@@ -115,6 +115,17 @@ def test_recall_and_rows_that_leave_the_scan_at_fifty_thousand(spark, tmp_path,
     print("recall", recall(got, want), "rows that leave the scan for a query", sum(left) / len(want))
 
 
+def test_queries_among_near_copies_far_from_zero(spark):
+    rng = np.random.default_rng(1)
+    x, query = rng.normal(size=(4000, 32)), np.arange(4000) % 100 == 0
+    close = query | (rng.random(4000) < 0.1)
+    x[close] = x[0] * 3 + 1e-3 * rng.normal(size=(close.sum(), 32))
+    rows = list(enumerate(x.tolist()))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    value = recall(found(ann.search(frame, F.col("vec_id") % 100 == 0).collect()), brute(rows, range(0, 4000, 100)))
+    assert value >= 0.95, value
+
+
 def test_words_weigh_the_parallel_error_more():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(2000, 16))

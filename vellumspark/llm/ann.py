@@ -7,16 +7,17 @@ vector that fills a third of the table is scanned once and can't crowd out other
   entries; a cell with many entries is dealt into parts of bounded size.
 * Codes: what is left of the centre, brought to length one, is cut into pieces of ``SUB`` values, each replaced by one
   of 16 words.  Words are chosen and trained by the anisotropic loss: the part of the error
-  that is parallel to the vector weighs ``ETA`` times the rest, since it is that part which
+  that is parallel to what is left weighs ``ETA`` times the rest, since it is that part which
   changes large inner products.
-* Scan: nearness of q and x is ``q.x - |x|^2 / 2``; ``|x|`` is kept exactly, ``q.x`` is read
-  from tables of 256 sums, one for each pair of four-bit codes.
+* Scan: nearness of q and x is ``-|q - x|^2 / 2``, that is ``(q - c).r - |r|^2 / 2 - |q - c|^2 / 2`` for the centre
+  c and ``r = x - c``.  Lengths are exact, ``(q - c).r`` is read from tables of 256 sums, one for each pair
+  of four-bit codes.  So errors are as large as the cell, however far from zero it lies.
 * Each query probes its best cells.  How many is measured when the index is built: as many as
   hold ``PROBE_TARGET`` of the true neighbours of ``PROBE_ASKED`` sampled vectors among the
   sample.  Clustered vectors need few cells, vectors without any structure most of them.  The best candidates are compared exactly with
   the original vectors in double precision.
 * How many candidates is measured over the whole index: the exact neighbours of ``DEPTH_ASKED``
-  vectors among all vectors are ranked by their codes among all probed ones, and as many are
+  of the queries among all vectors are ranked by their codes among all probed ones, and as many are
   compared as hold ``DEPTH_TARGET`` of them, ``RERANK`` at least.  The probes are raised likewise.
 
 Centres and words are trained on at most ``SAMPLE`` vectors, those of the smallest id hashes;
@@ -160,10 +161,11 @@ class Codebook:
         return np.pad(x, ((0, 0), (0, self.pieces * SUB - self.dim))).reshape(len(x), self.pieces, SUB)
 
     def _split(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What is left of the centres as unit vectors, the unit vectors themselves, and the lengths of what is left."""
+        """What is left of the centres as unit vectors, the direction whose errors weigh more, which is the same, and the lengths."""
         left = x - self.centre[cell]
         scale = np.maximum(np.linalg.norm(left, axis=1), 1e-300)
-        return self._padded(left / scale[:, None]), self._padded(x / np.linalg.norm(x, axis=1, keepdims=True)), scale
+        left = self._padded(left / scale[:, None])
+        return left, left, scale
 
     def _choose(self, left: np.ndarray, unit: np.ndarray) -> np.ndarray:
         """Codes of least loss, one piece at a time with the others held."""
@@ -215,6 +217,14 @@ class Codebook:
         one = np.einsum("qms,mcs->qmc", self._padded(q), self.word)
         return (one[:, 1::2, :, None] + one[:, 0::2, None, :]).reshape(len(q), -1, 256)
 
+    @staticmethod
+    def sums(table_of: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Inner products of each query, by its tables, and each code."""
+        near = np.zeros((len(table_of), len(code)))
+        for b in range(code.shape[1]):
+            near += table_of[:, b][:, code[:, b]]
+        return near
+
 
 def sample_of(entries: DataFrame, size: int = SAMPLE) -> np.ndarray:
     """At most ``size`` vectors, those of the smallest hashes of their ids."""
@@ -227,7 +237,7 @@ def _encode(shared):
         for pdf in batches:
             x = np.array(pdf["v"].tolist(), float)
             cell, code, scale = shared.value.encode(x)
-            yield pd.DataFrame({"entry": pdf["entry"], "cell": cell, "norm2": (x**2).sum(axis=1), "scale": scale, "code": [c.tobytes() for c in code]})
+            yield pd.DataFrame({"entry": pdf["entry"], "cell": cell, "scale": scale, "code": [c.tobytes() for c in code]})
 
     return run
 
@@ -268,9 +278,10 @@ def _scan(shared, top: int):
             return pd.DataFrame(out)
         book, entry = shared.value, codes["id"].to_numpy()
         code = np.frombuffer(b"".join(codes["code"]), np.uint8).reshape(len(codes), -1)
-        half, scale = codes["norm2"].to_numpy() / 2, codes["scale"].to_numpy()
+        scale = codes["scale"].to_numpy()
         held, start = np.unique(codes["cell"].to_numpy().astype(np.int64), return_index=True)
         end = np.append(start[1:], len(codes))
+        of_centre = np.concatenate([book.sums(book.tables(book.centre[[c]]), code[a:b])[0] for c, a, b in zip(held, start, end)])
         parts = []
         for begin in range(0, len(queries), 64):
             some = queries.iloc[begin : begin + 64]
@@ -282,10 +293,8 @@ def _scan(shared, top: int):
             found, waiting = [], 0
             for c, a, b in zip(held, start, end):
                 who = np.flatnonzero(asks[:, c])
-                near = np.zeros((len(who), b - a))
-                for k in range(code.shape[1]):
-                    near += table_of[who, k][:, code[a:b, k]]
-                near = near * scale[a:b] + (q[who] @ book.centre[c])[:, None] - half[a:b]
+                near = (book.sums(table_of[who], code[a:b]) - of_centre[a:b]) * scale[a:b] - scale[a:b] ** 2 / 2
+                near -= ((q[who] - book.centre[c]) ** 2).sum(axis=1)[:, None] / 2
                 i, j = np.nonzero(near >= floor[who, None])  # ties go on: the smaller id may be elsewhere
                 found.append((who[i], entry[a + j], near[i, j]))
                 waiting += len(i)
@@ -353,16 +362,19 @@ def _ahead(shared):
 
 def _nearness(book: Codebook, q: np.ndarray, table_of: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
     code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-    near = np.zeros((len(q), len(rows)))
-    for b in range(code.shape[1]):
-        near += table_of[:, b, code[:, b]]
-    return near * rows["scale"].to_numpy() + q @ book.centre[rows["cell"].to_numpy()].T - rows["norm2"].to_numpy() / 2
+    near, scale = book.sums(table_of, code), rows["scale"].to_numpy()
+    for cell, at in rows.groupby("cell", sort=False).indices.items():
+        centre = book.centre[cell]
+        near[:, at] -= book.sums(book.tables(centre[None]), code[at])
+        near[:, at] = near[:, at] * scale[at] - scale[at] ** 2 / 2 - ((q - centre) ** 2).sum(axis=1)[:, None] / 2
+    return near
 
 
-def measured(entries: DataFrame, coded: DataFrame, book: Codebook, k: int) -> tuple[int, int]:
-    """Probes and candidates that hold the targets' shares of true neighbours among all entries."""
+def measured(entries: DataFrame, asked: DataFrame, coded: DataFrame, book: Codebook, k: int) -> tuple[int, int]:
+    """Probes and candidates that hold the targets' shares of the queries' true neighbours among all entries."""
     spark = entries.sparkSession
-    some = entries.orderBy(F.xxhash64("entry"), "entry").limit(DEPTH_ASKED).select("entry", "v").toPandas()
+    chosen = F.broadcast(asked.orderBy(F.xxhash64("entry"), "entry").limit(DEPTH_ASKED).select("v"))
+    some = entries.join(chosen, "v", "left_semi").select("entry", "v").toPandas()
     q = np.array(some["v"].tolist(), float)
     own = spark.sparkContext.broadcast((some["entry"].to_numpy(), q))
     close = entries.select("entry", "v").mapInPandas(_exact(own, k, True), "asked int, entry long, far double")
@@ -386,8 +398,8 @@ def coded_best(entries: DataFrame, asked: DataFrame, k: int, n: int) -> DataFram
     spark = entries.sparkSession
     book = Codebook(sample_of(entries), math.isqrt(n - 1) + 1)
     shared = spark.sparkContext.broadcast(book)
-    coded = materialize(entries.select("entry", "v").mapInPandas(_encode(shared), "entry long, cell int, norm2 double, scale double, code binary"), "ann-codes")
-    n_probe, depth = measured(entries, coded, book, k)
+    coded = materialize(entries.select("entry", "v").mapInPandas(_encode(shared), "entry long, cell int, scale double, code binary"), "ann-codes")
+    n_probe, depth = measured(entries, asked, coded, book, k)
     sizes = coded.groupBy("cell").count().toPandas()  # a row for each centre, of which there are at most SAMPLE
     entries_in = np.zeros(len(book.centre), np.int64)
     entries_in[sizes["cell"]] = sizes["count"]
@@ -404,10 +416,10 @@ def coded_best(entries: DataFrame, asked: DataFrame, k: int, n: int) -> DataFram
     def scanned(asking: DataFrame) -> DataFrame:
         load = materialize(asking.groupBy("bundle").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("turns")), "ann-load")
         left = coded.join(placed, "cell").join(load.hint("merge"), "bundle").select(
-            "bundle", one("entry", "parts").alias("part"), every("turns").alias("turn"), F.col("entry").alias("id"), "cell", "norm2", "scale", "code", none("array<double>", "v"), none("array<int>", "cells"), none("double", "floor")
+            "bundle", one("entry", "parts").alias("part"), every("turns").alias("turn"), F.col("entry").alias("id"), "cell", "scale", "code", none("array<double>", "v"), none("array<int>", "cells"), none("double", "floor")
         )
         right = asking.join(dealt, "bundle").join(load.hint("merge"), "bundle").select(
-            "bundle", every("parts").alias("part"), one("query", "turns").alias("turn"), F.col("query").alias("id"), none("int", "cell"), none("double", "norm2"), none("double", "scale"), none("binary", "code"), "v", "cells", "floor"
+            "bundle", every("parts").alias("part"), one("query", "turns").alias("turn"), F.col("query").alias("id"), none("int", "cell"), none("double", "scale"), none("binary", "code"), "v", "cells", "floor"
         )
         return left.union(right).groupBy("bundle", "part", "turn").applyInPandas(_scan(shared, depth), "query long, entry long, near double")
 
