@@ -53,6 +53,20 @@ def test_filters_never_change_scores(spark):
     assert set(some) == {1, 3} and all(abs(whole[i] - s) < 1e-12 for i, s in some.items())
 
 
+def test_cosine_search_passes_on_no_more_than_k_for_each_task(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(f"é{i % 290:03d}", [float(rng.randrange(-1, 2)) for _ in range(4)]) for i in range(300)]  # ties, and ids on two rows
+    vectors = spark.createDataFrame(rows, "id string, v array<float>").repartition(3)
+    asked = vectors.where("id < 'é040'").withColumnRenamed("id", "qid")
+    left, plain = [], dense.ranked
+    want = sorted((r.qid, r.rank, r.id) for r in plain(dense.cosine_scores(vectors, asked), 6).collect())
+    monkeypatch.setattr(dense, "ranked", lambda found, k: left.append(found.count()) or plain(found, k))
+    monkeypatch.setattr(dense, "ROWS", 20)
+    monkeypatch.setattr(dense, "TILE", 100)
+    assert sorted((r.qid, r.rank, r.id) for r in dense.search(vectors, asked, 6).collect()) == want
+    assert left[0] <= 6 * asked.count() * spark.sparkContext.defaultParallelism
+
+
 def test_cosine_in_blocks(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(50)] + [(99, [0.0] * 5)]
