@@ -130,10 +130,13 @@ def is_semantic_table(rows: Column) -> Column:
 
 def table_markdown(rows: Column) -> Column:
     """The table as Markdown, the first row as its header; empty for no rows."""
-    wide = F.array_max(F.transform(rows, F.size))
     cell = lambda c: F.coalesce(strip(F.replace(c, F.lit("\n"), F.lit(" "))), F.lit(""))
-    full = lambda r: F.concat(F.transform(r, cell), F.array_repeat(F.lit(""), wide - F.size(r)))
     line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
-    lines = F.transform(rows, lambda r: line(full(r)))
-    rule = line(F.array_repeat(F.lit("---"), wide))
-    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.size(rows))), "\n")).otherwise(F.lit(""))
+
+    def whole(wide: Column) -> Column:
+        full = lambda r: F.concat(F.transform(r, cell), F.array_repeat(F.lit(""), wide - F.size(r)))
+        rule = F.concat(F.lit("\n"), line(F.array_repeat(F.lit("---"), wide)))
+        return F.array_join(F.transform(rows, lambda r, i: F.concat(line(full(r)), F.when(i == 0, rule).otherwise(F.lit("")))), "\n")
+
+    # the width is bound once: in the lambda of the rows it would be sought anew for each of them
+    return F.when(F.size(rows) > 0, let(F.array_max(F.transform(rows, F.size)), whole)).otherwise(F.lit(""))
