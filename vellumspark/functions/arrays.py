@@ -42,7 +42,7 @@ def prefix_sums(values: Column) -> Column:
         before = lambda w: F.concat(F.array(F.lit(0).cast("long")), _running(F.transform(w, lambda x: F.element_at(x, -1))))
         return let(inside, lambda w: F.flatten(F.zip_with(w, F.slice(before(w), 1, F.size(w)), lambda x, b: F.transform(x, lambda v: v + b))))
 
-    return let(values, lambda a: F.when(F.size(a) > 0, blocks(a)).otherwise(F.array().cast("array<long>")))
+    return let(values, lambda a: F.when(F.size(a) > BLOCK, blocks(a)).otherwise(_running(a)))
 
 
 #: Characters of the blocks that a long text is cut into before parts of it are taken.
@@ -66,6 +66,24 @@ def with_parts(text: Column, body: Callable[[Callable[[Column, Column], Column]]
     return let(blocks, lambda held: body(part(held)))
 
 
+#: Put around matches to part a text at them; a text that holds this character is searched twice instead.
+MARK = "\x01"
+
+
+def _gaps_and_hits(text: Column, pattern: str) -> Column:
+    """``struct<gap, hit>``: what lies before, between and after all matches, and the matches, by one search of the text."""
+
+    def parted(t: Column) -> Column:
+        marked = F.regexp_replace(t, F.lit(pattern), F.lit(f"{MARK}$0{MARK}"))
+        # a split at one character needs no pattern
+        pieces = let(marked, lambda m: F.when(F.contains(m, F.lit(MARK)), F.split(m, MARK, -1)).otherwise(F.array(m)))
+        once = let(pieces, lambda p: F.struct(F.filter(p, lambda _, i: i % 2 == 0).alias("gap"), F.filter(p, lambda _, i: i % 2 == 1).alias("hit")))
+        twice = F.struct(F.split(t, pattern, -1).alias("gap"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("hit"))
+        return F.when(F.contains(t, F.lit(MARK)), twice).when(t.isNotNull(), once)
+
+    return let(text, parted)
+
+
 def match_spans(text: Column, pattern: str, beside: int = 0, least: int = 1, keep: Callable[[Column], Column] | None = None) -> Column:
     """All matches of a pattern as ``array<struct<start, end, text>>``; code points, end exclusive.
 
@@ -77,7 +95,6 @@ def match_spans(text: Column, pattern: str, beside: int = 0, least: int = 1, kee
     most.  They are put together from the ends of the gaps and matches next to it, never cut
     from the text, whose start may be far away.  No match is shorter than ``least``.
     """
-    both = F.struct(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
     # so many neighbours hold all the characters that are asked for
     near = -(-beside // least)
     head = lambda s: F.substring(s, 1, beside)
@@ -109,7 +126,7 @@ def match_spans(text: Column, pattern: str, beside: int = 0, least: int = 1, kee
         some = let(F.struct(kept.alias("kept"), tails.alias("tails"), heads.alias("heads")), sides)
         return F.when(F.size(hits) > 0, some).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,text:string,before:string,after:string>>"))
 
-    return let(both, spans)
+    return let(_gaps_and_hits(text, pattern), spans)
 
 
 def _at(counted: Column, k: Column) -> Column:

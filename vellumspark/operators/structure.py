@@ -67,8 +67,8 @@ def parents(nodes: Column) -> Column:
 def structure(text: Column, profile: TextProfile) -> Column:
     """The nodes of a parsed document (``schemas.NODES``)."""
 
-    def whole(n: Column) -> Column:
-        extra = F.arrays_zip(node_ends(n, F.length(text)).alias("end"), parents(n).alias("parent"))
+    def whole(t: Column, n: Column) -> Column:
+        extra = F.arrays_zip(node_ends(n, F.length(t)).alias("end"), parents(n).alias("parent"))
         return F.zip_with(n, extra, lambda x, e: F.struct(x["type"].alias("type"), x["label"].alias("label"), x["start"].alias("start"), e["end"].alias("end"), x["title"].alias("title"), e["parent"].alias("parent")))
 
-    return let(markers(text, profile), whole)
+    return let(text, lambda t: let(markers(t, profile), lambda n: whole(t, n)))

@@ -17,10 +17,15 @@ TEXTS = ("documents", "pages", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; texts in fewer files than there are cores are spread, since a row group is one task's work."""
-    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    few = name in TEXTS and len(rows._jdf.inputFiles()) < cores
-    return rows.repartition(cores) if few else rows
+    """A table; texts are spread."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows with much work each: those in fewer files than there are cores are dealt anew, since a row group is one task's work."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows._jdf.inputFiles()) < cores else rows
 
 
 class Registry:
