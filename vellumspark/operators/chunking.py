@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import let, match_spans, prefix_sums, with_parts
-from ..functions.text import SPACE, slug, strip, tokens_chunked, tokens_parsed
+from ..functions.text import slug, strip, strip_left, tokens_chunked, tokens_parsed
 from ..profiles import TextProfile
 
 SPAN = "array<struct<s:int,e:int>>"
@@ -87,26 +87,31 @@ def _sections(within: Callable[[Column, Column], Column], nodes: Column, profile
     by_start = lambda kind: F.array_sort(F.filter(nodes, lambda n: n["type"] == kind), lambda a, b: a["start"] - b["start"])
     no = F.lit("")
 
-    def piece(suffix, kind, label, parent, title, s, e, cap=True) -> Column:
-        body = within(s, e)
-        lead = F.length(body) - F.length(F.regexp_replace(body, rf"^{SPACE}+", ""))
-        return F.struct(suffix.alias("suffix"), F.lit(kind).alias("type"), label.alias("label"), parent.alias("parent"), title.alias("title"), s.cast("int").alias("start"), e.cast("int").alias("end"), strip(body).alias("text"), lead.cast("int").alias("lead"))
+    def piece(suffix, kind, label, parent, title, s, e) -> Column:
+        def made(body: Column) -> Column:
+            lead = F.length(body) - F.length(strip_left(body))
+            return F.struct(suffix.alias("suffix"), F.lit(kind).alias("type"), label.alias("label"), parent.alias("parent"), title.alias("title"), s.cast("int").alias("start"), e.cast("int").alias("end"), strip(body).alias("text"), lead.cast("int").alias("lead"))
+
+        return let(within(s, e), made)
 
     def article(a: Column, i: Column, paras: Column) -> Column:
         """``paras``: the paragraphs between this article and the next."""
         name = F.concat(slug(a["label"]), F.format_string("_%03d", i))
         one = piece(name, "artigo", a["label"], no, a["title"], a["start"], a["end"])
-        windowed = piece(name, "artigo", a["label"], no, no, a["start"], a["end"])
 
-        def split(subs: Column) -> Column:
+        def split(whole: Column, subs: Column) -> Column:
+            windowed = F.struct(*[(no if k == "title" else whole[k]).alias(k) for k in ("suffix", "type", "label", "parent", "title", "start", "end", "text", "lead")])
             caput = piece(F.concat(name, F.lit("__caput")), "artigo", a["label"], no, F.lit("caput"), a["start"], F.get(subs, F.lit(0))["start"])
             each = lambda p, j: piece(F.concat(name, F.lit("__"), slug(p["label"]), F.format_string("_%03d", j)), "paragrafo", p["label"], a["label"], no, p["start"], p["end"])
             return F.when(F.size(subs) > 0, F.concat(F.array(caput), F.transform(subs, each))).otherwise(F.array(windowed))
 
         mine = F.filter(paras, lambda p: (p["parent"] == a["label"]) & (p["start"] >= a["start"]) & (p["end"] <= a["end"]))
-        body = strip(within(a["start"], a["end"]))
-        small = F.length(body) < profile.least_chars
-        return F.when(small, F.filter(F.array(one), lambda x: F.lit(False))).when(tokens_chunked(body) <= profile.most_tokens, F.array(one)).otherwise(let(mine, split))
+
+        def kept(x: Column) -> Column:
+            small = F.length(x["text"]) < profile.least_chars
+            return F.when(small, F.filter(F.array(x), lambda _: F.lit(False))).when(tokens_chunked(x["text"]) <= profile.most_tokens, F.array(x)).otherwise(let(mine, lambda subs: split(x, subs)))
+
+        return let(one, kept)
 
     def between(ps: Column, arts: Column) -> Column:
         """For each article the paragraphs from its start to the next article's, by running counts over both."""
@@ -145,10 +150,9 @@ def chunk_documents(docs: DataFrame, profile: TextProfile) -> DataFrame:
     kept = [c for c in whole.columns if c not in ("text", "structure", "n_tokens_est")]
     parts = whole.select(*kept, F.explode(sections).alias("x"))
     capped = (F.col("tier") == "B") | ((F.col("tier") == "A") & (tokens_chunked(F.col("x.text")) > profile.most_tokens))
-    one = F.array(F.struct(F.lit(0).alias("s"), F.length("x.text").alias("e")))
-    spans = F.when(capped, windows(F.col("x.text"), profile)).otherwise(one)
-    texts = with_parts(F.col("x.text"), lambda within: F.transform(spans, lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), within(w["s"], w["e"]).alias("text"))))
-    cut = parts.select(*kept, "x", capped.alias("capped"), F.posexplode(texts).alias("k", "w"))
+    one = F.array(F.struct(F.lit(0).alias("s"), F.length("x.text").alias("e"), F.col("x.text").alias("text")))
+    texts = with_parts(F.col("x.text"), lambda within: F.transform(windows(F.col("x.text"), profile), lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), within(w["s"], w["e"]).alias("text"))))
+    cut = parts.select(*kept, "x", capped.alias("capped"), F.posexplode(F.when(capped, texts).otherwise(one)).alias("k", "w"))
     body = strip(F.col("w.text"))
     at = F.col("x.start") + F.col("x.lead")
     title = F.when(F.col("capped") & (F.col("x.type") == "artigo") & (F.col("x.title") != "caput"), no).otherwise(F.col("x.title"))
