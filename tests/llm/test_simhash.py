@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from vellumspark.llm import simhash
 from vellumspark.llm.components import connected_components
@@ -190,3 +191,20 @@ def test_minima_of_alike_sets_seldom_differ_too_much():
         half = len(x) // 2
         differ.append(int(np.bitwise_count((x ^ y)[:half] | (x ^ y)[half:]).sum()))
     assert 34 < np.mean(differ) < 38 and 4.5 < np.std(differ) < 6.5 and max(differ) <= simhash.DIFFER
+
+
+def test_fingerprints_propose_near_duplicates_of_the_pipeline(spark, monkeypatch):
+    """Without any band that is shared, close copies are still found, and compared by their sets."""
+    rng = random.Random(17)
+    rows = []
+    for base in range(10):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:-1] + ["n"]))]
+    texts = [(r[0], simhash.fingerprint([r[1]])[0]) for r in rows]
+    assert all((a ^ b).item().bit_count() <= simhash.BITS for (_, a), (_, b) in zip(texts[::2], texts[1::2]))
+    monkeypatch.setattr(simhash, "_shared", lambda texts: texts.select(F.col("node").alias("__vs_node")).limit(0))
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == set(jaccard_groups(dict(rows)).values()) == set(range(0, 20, 2))
+    far = [(0, rows[0][1]), (1, rows[2][1])]  # a component is no proof
+    monkeypatch.setattr(simhash, "_met", lambda texts: texts.agg(F.max("node").alias("a"), F.min("node").alias("b")))
+    assert simhash.drop_near_duplicates(spark.createDataFrame(far, "doc_id long, text string")).count() == 2

@@ -16,9 +16,12 @@ fingerprints can meet there, and each is linked to the smallest only.  So the wo
 the bucket, not with its square, and no link between different fingerprints is lost.
 
 The pipeline's near duplicates (``drop_near_duplicates``) have a law of their own: five-word
-shingle sets with a Jaccard similarity of 0.8 or more.  Only texts that share one of 40 bands of
+shingle sets with a Jaccard similarity of 0.8 or more.  First comes the method above: fingerprints of
+the five-word shingles, dealt in blocks, linked within four bits; each text is compared with the
+smallest of its component.  Four bits are few for a similarity of 0.8 (texts so alike differ in 9 or 10
+on average), so the rest is found beside them: texts that share one of 40 bands of
 six minima with another go on; at a similarity of 0.8 that leaves out 5 pairs in a million.  Of
-these, shingles are ordered from the rarest to the most frequent: two sets that are so alike
+all these, shingles are ordered from the rarest to the most frequent: two sets that are so alike
 share one of their rarest fifth, and where they share the first one says how much they can have
 in common at most.  So in a cloud of copies that were edited too much, each text's own shingles
 keep it from meeting the others.  Texts made of the same sentences have no shingles of their own:
@@ -248,8 +251,10 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 
 def _sketch(text: pd.Series) -> pd.DataFrame:
-    low = [minima(shingle_set(t)) for t in text]
-    return pd.DataFrame({"bands": [band_hashes(x) for x in low], "planes": [planes(x) for x in low]})
+    hashes = [shingle_hashes(t, NEAR_SHINGLE) for t in text]
+    low = [minima(np.unique(h)) for h in hashes]
+    fp = np.fromiter(map(majority, hashes), np.uint64, len(hashes)).view(np.int64)
+    return pd.DataFrame({"fp": fp, "bands": [band_hashes(x) for x in low], "planes": [planes(x) for x in low]})
 
 
 def _set(text: pd.Series) -> pd.Series:
@@ -271,6 +276,12 @@ def _shared(texts: DataFrame) -> DataFrame:
     return dealt.join(keys.hint("merge"), "key", "left_semi").select(F.col("node").alias("__vs_node")).distinct()
 
 
+def _met(texts: DataFrame) -> DataFrame:
+    """Pairs ``a, b``: each text and the smallest of those that its fingerprint leads to, within ``BITS`` bits a step."""
+    prints = texts.select(F.col("node").alias("doc_id"), F.col("s.fp").alias("fp"))
+    return prints.join(components(prints), "fp").where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+
+
 def rare_shingles(sets: DataFrame) -> DataFrame:
     """``g, node, n, own, pos``: the shingles among which a text shares one with each that is alike.
 
@@ -304,11 +315,14 @@ def jaccard_links(texts: DataFrame, docs: DataFrame) -> DataFrame:
     """Links ``a, b`` that join all texts of a Jaccard similarity of 0.8 or more.
 
     ``texts`` has a row for each distinct text: ``node`` (hash of the text) and its sketch ``s``
-    (``bands``, ``planes``).
-    Each text is compared with one of those that hold the same rare shingle first, the one with
-    the fewest shingles of its own; then all that may be alike and aren't joined yet.
+    (``fp``, ``bands``, ``planes``).
+    Each text is compared first with the smallest one of its fingerprint's component, and with one of
+    those that hold the same rare shingle, the one with the fewest shingles of its own; then all that
+    may be alike and aren't joined yet.
     """
-    nodes = materialize(_shared(texts), "near-nodes")
+    same = materialize(_met(texts), "near-met")
+    ends = same.select(F.explode(F.array("a", "b")).alias("__vs_node"))
+    nodes = materialize(_shared(texts).union(ends).distinct(), "near-nodes")
     named = docs.select(F.xxhash64("text").alias("node"), "text")
     some = named.join(nodes.hint("merge"), F.col("node") == F.col("__vs_node"), "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = materialize(some.select("node", F.pandas_udf(_set, "array<long>")("text").alias("set")), "near-sets")
@@ -320,7 +334,7 @@ def jaccard_links(texts: DataFrame, docs: DataFrame) -> DataFrame:
     met = rare.join(hubs.hint("merge"), "g")
     stars = met.alias("x").where("node <> hub.node").where(_MAY.format(x="x", y="hub"))
     stars = materialize(_close(stars.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), marks), "near-stars")
-    links = materialize(_alike(stars, sets).union(alike), "near-star-links")
+    links = materialize(_alike(same.union(stars).distinct(), sets).union(alike), "near-star-links")
     root = connected_components(links)
     rooted = met.join(root.hint("merge"), "node", "left").select("g", "node", "n", "pos", F.col("hub.node").alias("hub"), F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted.where("node <> hub").join(marks.hint("merge"), "node"), "near-rooted")
@@ -333,11 +347,11 @@ def jaccard_links(texts: DataFrame, docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """Keep one document of each group: the smallest id, without ids the smallest text hash.
 
-    A group is joined by five-word shingle sets with a Jaccard similarity of 0.8 or more;
-    texts without words have equal sets.
+    A group is joined by five-word shingle sets with a Jaccard similarity of 0.8 or more, which
+    fingerprints, then minima propose; texts without words have equal sets.
     """
     small_batches(docs.sparkSession)
-    sketch = F.pandas_udf(_sketch, "bands array<long>, planes array<long>")("text")
+    sketch = F.pandas_udf(_sketch, "fp long, bands array<long>, planes array<long>")("text")
     prints = materialize(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), sketch.alias("s")), "near-prints")
     texts = materialize(prints.groupBy(F.col("text_hash").alias("node")).agg(F.first("s").alias("s")), "near-texts")
     prints = prints.drop("s")
