@@ -23,10 +23,10 @@ TASKS = {
 FORM = 'Responda em JSON: {"pergunta": "...", "resposta_esperada": "..."}'
 
 
-def described(chunk: Column) -> Column:
-    """Metadata line (title cut) and text (cut) of a chunk struct."""
+def described(chunk: Column, label: Callable[[Column, Column, Column, Column], Column] = label_line) -> Column:
+    """Metadata line (title cut) and text (cut) of a chunk struct; ``label`` puts kind, year, title and section together."""
     section = F.coalesce(F.nullif(chunk["section_label"], F.lit("")), chunk["section_type"])
-    return F.concat(label_line(chunk["tipo_ato"], chunk["year"], F.substring(chunk["title"], 1, TITLE_CHARS), section), F.lit("\n"), F.substring(chunk["text"], 1, TEXT_CHARS))
+    return F.concat(label(chunk["tipo_ato"], chunk["year"], F.substring(chunk["title"], 1, TITLE_CHARS), section), F.lit("\n"), F.substring(chunk["text"], 1, TEXT_CHARS))
 
 
 def prompt(kind: str, *chunks: Column, tasks: dict[str, str] = TASKS) -> Column:
