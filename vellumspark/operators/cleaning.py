@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import let
-from ..functions.text import collapse_blanks, dehyphenate, drop_footnotes, drop_patterns, footnotes, join_lone_numbers, normalize_chars, process_number, split_lines, strip, title_and_summary, tokens_parsed, type_of_stem, year_of
+from ..functions.text import BREAK, collapse_blanks, dehyphenate, drop_footnotes, drop_patterns, footnotes, join_lone_numbers, normalize_chars, process_number, split_lines, strip, title_and_summary, tokens_parsed, type_of_stem, year_of
 from ..profiles import TextProfile
 from .structure import structure
 
@@ -37,28 +37,34 @@ def page_with_tables(pages: DataFrame) -> DataFrame:
     return found.select("doc_id", "page", F.concat("body", marks).alias("text"), bare.alias("tables"))
 
 
-def repeated_lines(pages: DataFrame, doc: str, page: str, text: str, least_pages: int = 3, shortest: int = 8, longest: int = 200) -> DataFrame:
-    """``doc, line, pages``: trimmed lines that stand on at least ``least_pages`` pages of a document."""
-    lines = pages.select(doc, page, F.explode(F.array_distinct(split_lines(F.col(text)))).alias("line")).where(F.length("line").between(shortest, longest))
+def repeated_lines(pages: DataFrame, doc: str, page: str | None, text: str, least_pages: int = 3, shortest: int = 8, longest: int = 200, head: int | None = None) -> DataFrame:
+    """``doc, line, pages``: trimmed lines that stand on at least ``least_pages`` pages of a document.
+
+    Without ``page`` each row is a page.  With ``head`` only so many lines at a page's top are looked at.
+    """
+    lines = split_lines(F.col(text)) if head is None else F.transform(F.slice(F.split(text, BREAK, head + 1), 1, head), strip)
+    found = pages.select(doc, *([page] if page else []), F.explode(F.array_distinct(lines)).alias("line")).where(F.length("line").between(shortest, longest))
     # a page counts once for each of its lines; counted by line and page first, so a frequent line is summed in parts
-    once = lines.groupBy(doc, "line", page).agg(F.lit(1).alias("one"))
+    once = found.groupBy(doc, "line", page).agg(F.lit(1).alias("one")) if page else found
     return once.groupBy(doc, "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
 
 
-def drop_lines(text: Column, repeated: Column) -> Column:
-    """The text without lines whose trimmed form is in an array; untouched where that is empty or null."""
-    lines = F.split(text, r"\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x85\u2028\u2029]", -1)
+def drop_lines(text: Column, repeated: Column, head: int | None = None) -> Column:
+    """The text without lines whose trimmed form is in an array; untouched where that is empty or null, and below its ``head`` lines if given."""
+    lines = F.split(text, BREAK, -1 if head is None else head + 1)
+    top = (lambda x: x) if head is None else lambda x: F.slice(x, 1, head)
     # the few that stand here are found by hash, then told line by line
-    here = lambda x: F.array_intersect(F.transform(x, strip), F.coalesce(repeated, F.array().cast("array<string>")))
-    left = let(lines, lambda x: let(here(x), lambda gone: F.filter(x, lambda line: ~F.array_contains(gone, strip(line)))))
+    here = lambda x: F.array_intersect(F.transform(top(x), strip), F.coalesce(repeated, F.array().cast("array<string>")))
+    below = lambda i: F.lit(False) if head is None else i >= head
+    left = let(lines, lambda x: let(here(x), lambda gone: F.filter(x, lambda line, i: below(i) | ~F.array_contains(gone, strip(line)))))
     return F.when(F.size(F.coalesce(repeated, F.array().cast("array<string>"))) > 0, F.array_join(left, "\n")).otherwise(text)
 
 
-def drop_repeated(pages: DataFrame, repeated: DataFrame, doc: str, text: str) -> DataFrame:
+def drop_repeated(pages: DataFrame, repeated: DataFrame, doc: str, text: str, head: int | None = None) -> DataFrame:
     """``pages`` without the lines of ``repeated(doc, line)``, each in its own row; a null text stays null."""
     common = repeated.groupBy(doc).agg(F.collect_set("line").alias("__repeated"))
     joined = pages.join(common, doc, "left")
-    return joined.select(*[drop_lines(F.col(text), F.col("__repeated")).alias(c) if c == text else F.col(c) for c in pages.columns])
+    return joined.select(*[drop_lines(F.col(text), F.col("__repeated"), head).alias(c) if c == text else F.col(c) for c in pages.columns])
 
 
 def clean(text: Column, repeated: Column, profile: TextProfile) -> dict[str, Column]:
