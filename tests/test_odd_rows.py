@@ -65,3 +65,17 @@ def test_repeated_lines_of_a_head(spark):
     assert left(1) == rest + Counter({(1, "second line\nbody\r\nsecond line\n"): 3, (3, ""): 2, (3, "\nfirst line"): 1})
     assert left(2) == rest + Counter({(1, "body\r\nsecond line\n"): 3, (3, ""): 2, (3, "\nfirst line"): 1})
     assert left(None) == rest + Counter({(1, "body\n"): 3, (3, ""): 3})
+
+
+def test_labels_of_a_chunk(spark):
+    """Left to itself the label has no empty parts; as fields all keep their place."""
+    from pyspark.sql import functions as F
+
+    from vellumspark.functions import text as T
+    from vellumspark.operators import golden
+
+    rows = [("prt", 2001, "t" * 90, "Art. 1º", "x"), ("", 0, "", "", "x"), (None, None, None, "", "x")]
+    chunks = spark.createDataFrame([(i, *r[:4], "doc", r[4]) for i, r in enumerate(rows)], "i int, tipo_ato string, year int, title string, section_label string, section_type string, text string").select("i", F.struct("*").alias("c"))
+    got = chunks.select("i", golden.described(F.col("c")).alias("a"), golden.described(F.col("c"), T.label_fields).alias("b")).orderBy("i").collect()
+    assert [r.a for r in got] == [f"PRT | 2001 | {'t' * 80} | Art. 1º\nx", "doc\nx", "doc\nx"]
+    assert [r.b for r in got] == [f"PRT | 2001 | {'t' * 80} | Art. 1º\nx", " |  | doc\nx", None]
